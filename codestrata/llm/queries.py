@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import leaks, secrets, splitting, tokenizer
+from codestrata.llm import leaks, neardup, provenance, reading, secrets, splitting, tokenizer
 from codestrata.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.found(table(spark, d, "code_memory"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.membership(table(spark, d, "code_memory"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.beliefs(table(spark, d, "code_memory")).where("label <> 'handwritten'").select("id")
+
+
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.beliefs(table(spark, d, "code_memory"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "code_memory"))
 
@@ -36,5 +52,9 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leaks.removal_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_spans)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_spans, p9_found)}
 ORACLE = {"p5_found": "SELECT id FROM code_memory WHERE length(new_code) > 2000"}
