@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codestrata.llm import leaks, neardup, provenance, reading, secrets, splitting, tokenizer
+from codestrata.llm import leaks, neardup, neighbours, provenance, reading, secrets, splitting, tokenizer
 from codestrata.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.found(table(spark, d, "code_memory"))
+
+
+def p2_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "code_memory"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.found(table(spark, d, "code_memory"))
 
@@ -56,5 +64,5 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(table(spark, d, "documents"), table(spark, d, "reading_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_spans, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_nearest, p3_found, p3_classes, p4_found, p4_labels, p5_found, p5_pieces, p6_found, p6_redacted, p7_ids, p8_found, p8_spans, p9_found)}
 ORACLE = {"p5_found": "SELECT id FROM code_memory WHERE length(new_code) > 2000"}
