@@ -177,31 +177,32 @@ def row_evidence(path: str | None, code: str | None) -> np.ndarray:
     return e
 
 
-def _lse(x: Column | list[Column]) -> Column:
-    """log of the sum of exp of columns, stable."""
-    top = F.greatest(*x)
-    total = F.lit(0.0)
-    for c in x:
-        total = total + F.exp(c - top)
-    return top + F.log(total)
+def _lse(x: np.ndarray) -> np.ndarray:
+    """log of the sum of exp over the last axis, stable."""
+    top = x.max(-1, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(-1, keepdims=True)))[..., 0]
 
 
-def _pass_up(cols: list[Column], matrix: np.ndarray) -> list[Column]:
-    """Message from a child with log weights ``cols`` to its parent."""
-    return [_lse([c + float(matrix[p, k]) for k, c in enumerate(cols)]) for p in range(5)]
+def pass_up(weights: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Messages of children with log weights (n, 5) to their parents."""
+    return _lse(weights[:, None, :] + matrix[None])
 
 
-def _pass_down(cols: list[Column], matrix: np.ndarray) -> list[Column]:
-    return [_lse([c + float(matrix[p, k]) for p, c in enumerate(cols)]) for k in range(5)]
+def pass_down(weights: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Messages of parents with log weights (n, 5) to their children."""
+    return _lse(weights[:, None, :] + matrix.T[None])
 
 
 def _five(prefix: str) -> list[str]:
     return [f"{prefix}{i}" for i in range(5)]
 
 
-def _centred(cols: list[str]) -> list[Column]:
-    top = F.greatest(*cols)
-    return [(F.col(c) - top).alias(c) for c in cols]
+def _doubles(prefix: str) -> str:
+    return ", ".join(f"{c} double" for c in _five(prefix))
+
+
+def _take(pdf: pd.DataFrame, prefix: str) -> np.ndarray:
+    return pdf[_five(prefix)].to_numpy(float).reshape(-1, 5)
 
 
 def beliefs(df: DataFrame, key: str = "id", path: str = "file_path", code: str = "new_code", max_depth: int = 24) -> DataFrame:
@@ -210,20 +211,17 @@ def beliefs(df: DataFrame, key: str = "id", path: str = "file_path", code: str =
 
     def evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            e = np.stack([row_evidence(p, c) for p, c in zip(pdf["p"], pdf["c"], strict=True)]) if len(pdf) else np.zeros((0, 5))
-            out = pd.DataFrame(e, columns=_five("e"))
-            out.insert(0, "k", pdf["k"].to_numpy())
-            out.insert(1, "d", pdf["d"].to_numpy())
-            yield out
+            e = np.array([row_evidence(p, c) for p, c in zip(pdf["p"], pdf["c"], strict=True)]).reshape(-1, 5)
+            up = pass_up(e, ROW_GIVEN_DIR)
+            yield pd.concat([pdf[["k", "d"]].reset_index(drop=True), pd.DataFrame(e, columns=_five("e")), pd.DataFrame(up, columns=_five("u"))], axis=1)
 
     depth_cut = F.array_join(F.slice(F.split("d", "/"), 1, max_depth), "/")
     rows = df.select(F.col(key).alias("k"), F.col(path).alias("p"), F.col(code).alias("c"), directory(F.col(path)).alias("d"))
-    rows = rows.mapInPandas(evidence, f"k {kind}, d string, " + ", ".join(f"{c} double" for c in _five("e"))).withColumn("d", depth_cut)
+    rows = rows.mapInPandas(evidence, f"k {kind}, d string, {_doubles('e')}, {_doubles('u')}").withColumn("d", depth_cut)
     rows = written(rows, "provenance-rows")
 
     # up from the rows: one message per row, summed per directory before and after the shuffle
-    up_row = _pass_up([F.col(f"e{i}") for i in range(5)], ROW_GIVEN_DIR)
-    direct = rows.select("d", *[m.alias(f"u{i}") for i, m in enumerate(up_row)]).groupBy("d").agg(*[F.sum(c).alias(c) for c in _five("u")])
+    direct = rows.groupBy("d").agg(*[F.sum(c).alias(c) for c in _five("u")])
     # every directory with all its ancestors; those without rows of their own get no direct message
     parts = F.split("d", "/")
     anc = direct.select(F.explode(F.when(F.col("d") == "", F.array(F.lit(""))).otherwise(
@@ -245,39 +243,42 @@ def beliefs(df: DataFrame, key: str = "id", path: str = "file_path", code: str =
     if deepest is None:
         return df.select(key, F.lit(None).cast("string").alias("label"), *[F.lit(None).cast("double").alias(f"p_{x}") for x in LABELS])
 
-    # up the tree: s = evidence below and at the node, m = its message to the parent
-    done: DataFrame | None = None
+    # up the tree: b is what is known at and below a node, m its message to the parent
+    def rise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            b = _take(pdf, "b") + np.nan_to_num(_take(pdf, "c"))
+            b -= b.max(1, keepdims=True) if len(b) else 0
+            m = np.where(pdf["sure"].to_numpy(bool)[:, None], 0.0, pass_up(b, DIR_GIVEN_DIR))
+            yield pd.concat([pdf[["d", "parent", "depth"]].reset_index(drop=True), pd.DataFrame(b, columns=_five("b")), pd.DataFrame(m, columns=_five("m"))], axis=1)
+
+    # down the tree: g is what is known from all sides; the child's own message is taken out again
+    def sink(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            g = _take(pdf, "b") + pass_down(_take(pdf, "g") - _take(pdf, "m"), DIR_GIVEN_DIR)
+            g -= g.max(1, keepdims=True) if len(g) else 0
+            yield pd.concat([pdf[["d"]].reset_index(drop=True), pd.DataFrame(g, columns=_five("g"))], axis=1)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            e = _take(pdf, "e")
+            f = e + pass_down(_take(pdf, "g") - _take(pdf, "u"), ROW_GIVEN_DIR)
+            p = np.exp(f - _lse(f)[:, None])
+            out = pd.DataFrame({key: pdf["k"].to_numpy(), "label": np.array(LABELS)[p.argmax(1)] if len(p) else []})
+            yield pd.concat([out, pd.DataFrame(p, columns=[f"p_{x}" for x in LABELS])], axis=1)
+
+    done: list[DataFrame] = []
     above: DataFrame | None = None
     for depth in range(deepest, -2, -1):
         level = tree.where(F.col("depth") == depth)
-        if above is not None:
-            level = level.join(above, "d", "left").select(
-                "d", "sure", "depth", "parent", *[(F.col(f"b{i}") + F.coalesce(f"c{i}", F.lit(0.0))).alias(f"b{i}") for i in range(5)]
-            )
-        level = level.select("d", "sure", "depth", "parent", *_centred(_five("b")))
-        level = level.select("*", *[F.when(F.col("sure"), 0.0).otherwise(m).alias(f"m{i}") for i, m in enumerate(_pass_up([F.col(f"b{i}") for i in range(5)], DIR_GIVEN_DIR))])
-        level = cut(level)
+        level = level.join(above, "d", "left") if above is not None else level.select("*", *[F.lit(0.0).alias(c) for c in _five("c")])
+        level = cut(level.mapInPandas(rise, f"d string, parent string, depth int, {_doubles('b')}, {_doubles('m')}"))
         above = level.groupBy(F.col("parent").alias("d")).agg(*[F.sum(f"m{i}").alias(f"c{i}") for i in range(5)])
-        done = level if done is None else done.unionByName(level)
+        done.append(level)
 
-    # down the tree: g = what the node knows from all sides; a child's own message is taken out again
-    total: DataFrame | None = None
-    known = done.where("depth = -1").select("d", *[(F.col(f"b{i}") + float(PRIOR[i])).alias(f"g{i}") for i in range(5)])
+    known = done[-1].select("d", *[(F.col(f"b{i}") + float(PRIOR[i])).alias(f"g{i}") for i in range(5)])
     total = known
-    for depth in range(0, deepest + 1):
-        level = done.where(F.col("depth") == depth).join(known.withColumnRenamed("d", "parent"), "parent")
-        down = _pass_down([F.col(f"g{i}") - F.col(f"m{i}") for i in range(5)], DIR_GIVEN_DIR)
-        level = level.select("d", *[F.col(f"b{i}").alias(f"b{i}") for i in range(5)], *[x.alias(f"h{i}") for i, x in enumerate(down)])
-        level = level.select("d", *[(F.col(f"b{i}") + F.col(f"h{i}")).alias(f"g{i}") for i in range(5)]).select("d", *_centred(_five("g")))
-        known = cut(level)
+    for level in reversed(done[:-1]):
+        met = level.join(known.withColumnRenamed("d", "parent"), "parent")
+        known = cut(met.mapInPandas(sink, f"d string, {_doubles('g')}"))
         total = total.unionByName(known)
-
-    out = rows.join(total, "d")
-    up = _pass_up([F.col(f"e{i}") for i in range(5)], ROW_GIVEN_DIR)
-    out = out.select("k", *_five("e"), *[(F.col(f"g{i}") - u).alias(f"g{i}") for i, u in enumerate(up)])
-    down = _pass_down([F.col(f"g{i}") for i in range(5)], ROW_GIVEN_DIR)
-    out = out.select("k", *[(F.col(f"e{i}") + x).alias(f"f{i}") for i, x in enumerate(down)])
-    out = out.withColumn("z", _lse([F.col(f"f{i}") for i in range(5)]))
-    probs = [F.exp(F.col(f"f{i}") - F.col("z")).alias(f"p_{x}") for i, x in enumerate(LABELS)]
-    best = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position(F.array(*_five("f")), F.greatest(*_five("f"))).cast("int"))
-    return out.select(F.col("k").alias(key), best.alias("label"), *probs)
+    return rows.join(total, "d").mapInPandas(finish, f"{key} {kind}, label string, " + ", ".join(f"p_{x} double" for x in LABELS))
