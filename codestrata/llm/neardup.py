@@ -70,7 +70,7 @@ def required(size: np.ndarray | int, t: float):  # noqa: ANN201
 
 
 def classes(df: DataFrame, key: str, codes: list[str], n: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(members: key, cls) and (sets: cls, size, runs), each class once; both written."""
+    """(members: key, cls) and (sets: src, cls, size, runs), each class once; both written."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +103,7 @@ def classes(df: DataFrame, key: str, codes: list[str], n: int = 4) -> tuple[Data
     sent = table.where("size > 0")
     again = sent.groupBy("cls").agg(F.min("src").alias("keep"), F.collect_list("src").alias("all")).where(F.size("all") > 1)
     again = again.select(F.explode(F.array_remove("all", F.col("keep"))).alias("src"))
-    return members, sent.join(again, "src", "left_anti").select("cls", "size", "runs")
+    return members, sent.join(again, "src", "left_anti").select("src", "cls", "size", "runs")
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -145,84 +145,132 @@ def _boundary(sets: DataFrame, t: float, counts: np.ndarray) -> int:
     return best
 
 
+def _pairs_of_groups(key: np.ndarray, src: np.ndarray, meta: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, need) of the pairs within equal keys; keys are sorted. need: meetings a pair must have."""
+    starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    sizes = np.diff(np.concatenate((starts, [len(key)])))
+    out_a, out_b, out_n = [], [], []
+    for m in np.unique(sizes):
+        if m < 2:
+            continue
+        base = starts[sizes == m]
+        i, j = np.triu_indices(m, 1)
+        x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
+        sx, sy, kx, ky = meta[x] >> 2, meta[y] >> 2, meta[x] & 3, meta[y] & 3
+        small, large = np.minimum(sx, sy), np.maximum(sx, sy)
+        keep = (src[x] != src[y]) & (small >= t * large - 1e-9) & ((kx == 0) == (ky == 0)) & ((kx == 0) | (kx + ky > 2))
+        x, y = x[keep], y[keep]
+        out_a.append(np.minimum(src[x], src[y]))
+        out_b.append(np.maximum(src[x], src[y]))
+        out_n.append(np.where(kx[keep] == 0, 1, np.minimum(HEAVY_K, required(small[keep], t))))
+    if not out_a:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
+
+
 def candidates(sets: DataFrame, t: float, block: int = 1000) -> DataFrame:
-    """(a, b), a < b, once each: all pairs of classes that may be similar."""
+    """(a, b), a < b, once each: all pairs of sets (by ``src``) that may be similar."""
     spark = sets.sparkSession
     counts = _sketch(sets)
     bound = _boundary(sets, t, counts)
-    shared = spark.sparkContext.broadcast(counts.astype(np.int32))
+    shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
+    mix_a, mix_b = np.int64(-7046029254386353131), np.int64(2862933555777941757)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # meta = 4 * size + kind; kind 0: subset of two, 1: list of a light set, 2: list of a heavy one
         freq, mask = shared.value, (1 << SKETCH_BITS) - 1
         for batch in batches:
-            sigs, cls, size, heavy = [], [], [], []
+            sigs, src, meta, hot = [], [], [], []
             flat, off = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
             off = off - off[0]
             for i, (name, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 runs = flat[off[i] : off[i + 1]]
-                order = runs[np.lexsort((runs, freq[runs & mask]))]
-                begin = n - int(required(n, t)) + 1
-                light = n <= bound
-                if light:
-                    two = order[: min(n, begin + 1)]
-                    if n == 1 or int(required(n, t)) < 2:  # a pair may share a single run only
+                df = freq[runs & mask]
+                order = np.lexsort((runs, df))
+                need = int(required(n, t))
+                begin = n - need + 1
+
+                def emit(sig: np.ndarray, df: np.ndarray, kind: int, name: int = name, n: int = n) -> None:
+                    keep = df > 1  # the sketch never counts too little: this run is in one set only
+                    sigs.append(sig[keep])
+                    hot.append(df[keep] > block)
+                    src.append(np.full(int(keep.sum()), name, np.int64))
+                    meta.append(np.full(int(keep.sum()), 4 * n + kind, np.int32))
+
+                if n <= bound:
+                    if need < 2:  # a pair may share a single run only
                         two = order[:begin]
-                        sig = two * -7046029254386353131 ^ 1
+                        emit((runs[two] * mix_a) ^ np.int64(1), df[two], 0)
                     else:
-                        a, b = np.triu_indices(len(two), 1)
-                        sig = (two[a] * -7046029254386353131) ^ (two[b] * 2862933555777941757 + 7)
-                    sigs.append(sig)
-                    cls += [name] * len(sig)
-                    size += [n] * len(sig)
-                    heavy += [0] * len(sig)
-                if not light or n >= t * (bound + 1) - 1e-9:
+                        two = order[: begin + 1]
+                        x, y = np.triu_indices(len(two), 1)
+                        x, y = two[x], two[y]
+                        emit((runs[x] * mix_a) ^ (runs[y] * mix_b + np.int64(7)), np.minimum(df[x], df[y]), 0)
+                if n > bound or n >= t * (bound + 1) - 1e-9:
                     lists = order[: begin + HEAVY_K - 1]
-                    sigs.append(lists)
-                    cls += [name] * len(lists)
-                    size += [n] * len(lists)
-                    heavy += [1 if light else 2] * len(lists)
+                    emit(runs[lists], df[lists], 1 if n <= bound else 2)
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(cls, pa.binary()), pa.array(size, pa.int32()), pa.array(heavy, pa.int8())], ["sig", "cls", "size", "kind"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, src, meta, hot)], ["sig", "src", "meta", "hot"])
 
     def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             yield from signatures(batches)
 
-    post = sets.select("cls", "size", "runs").mapInArrow(quiet, "sig bigint, cls binary, size int, kind tinyint")
-    post = written(post, "neardup-lists")
-    # kind 0 meets kind 0; in the lists at least one side is heavy
-    post = post.withColumn("space", F.when(F.col("kind") == 0, 0).otherwise(1))
-    # lists of one class meet nobody and go before the join
-    groups = post.groupBy("space", "sig").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    groups = groups.select("space", "sig", F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int").alias("parts"))
-    post = post.join(groups, ["space", "sig"])
-    part = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
-    one = post.withColumn("x", part).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    two = post.withColumn("y", part).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    on = ["space", "sig", "x", "y"]
-    p = one.select(*on, F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("kind").alias("ka"))
-    q = two.select(*on, F.col("cls").alias("b"), F.col("size").alias("sb"), F.col("kind").alias("kb"))
-    met = p.join(q, on).where((F.col("a") < F.col("b")) & ((F.col("space") == 0) | (F.col("ka") + F.col("kb") > 2)))
-    met = met.where((F.least("sa", "sb") >= t * F.greatest("sa", "sb") - 1e-9))
-    # subsets of two need one meeting; the lists k, or as many as a similar pair of this size must share
-    least = F.least(F.lit(HEAVY_K), F.ceil(F.least("sa", "sb") * t - 1e-9), F.ceil(F.greatest("sa", "sb") * t - 1e-9))
-    times = met.groupBy("space", "a", "b").agg(F.count("*").alias("n"), F.first(least).alias("least"))
-    return times.where((F.col("space") == 0) | (F.col("n") >= F.col("least"))).select("a", "b").distinct()
+    post = sets.select("src", "size", "runs").mapInArrow(quiet, "sig bigint, src bigint, meta int, hot boolean")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of each list; lists of cold runs are sorted, whole and at most ``block`` long."""
+        key = src = meta = None
+        for last, b in _with_end(batches):
+            if b is not None and b.num_rows:
+                cols = [b.column(i).to_numpy() for i in range(3)]
+                key, src, meta = cols if key is None else (np.concatenate(x) for x in zip((key, src, meta), cols, strict=True))
+            if key is None or not len(key):
+                continue
+            end = len(key) if last else int(np.searchsorted(key, key[-1], "left"))  # the last list may go on
+            if end:
+                x, y, n = _pairs_of_groups(key[:end], src[:end], meta[:end].astype(np.int64), t)
+                key, src, meta = key[end:], src[end:], meta[end:]
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n.astype(np.int32))], ["a", "b", "need"])
+
+    cold = post.where("not hot").select("sig", "src", "meta").repartition("sig").sortWithinPartitions("sig")
+    met = cold.mapInArrow(meet, "a bigint, b bigint, need int")
+
+    # lists of runs that may be longer than a block: their blocks meet pairwise, each pair of blocks in its own task
+    warm = post.where("hot")
+    lists = warm.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    warm = warm.join(lists.select("sig", F.ceil(F.col("n") / block).cast("int").alias("parts")), "sig")
+    part = F.pmod(F.xxhash64("src"), F.col("parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    size, kind = F.col("meta").bitwiseAND(-4) / 4, F.col("meta").bitwiseAND(3)
+    side = lambda own, other, s: warm.withColumn(own, part).withColumn(other, every).select("sig", "x", "y", F.col("src").alias(s), size.cast("int").alias(f"s{s}"), kind.alias(f"k{s}"))
+    hot = side("x", "y", "a").join(side("y", "x", "b"), ["sig", "x", "y"]).where("a < b")
+    hot = hot.where((F.least("sa", "sb") >= t * F.greatest("sa", "sb") - 1e-9) & ((F.col("ka") == 0) == (F.col("kb") == 0)) & ((F.col("ka") == 0) | (F.col("ka") + F.col("kb") > 2)))
+    need = F.when(F.col("ka") == 0, 1).otherwise(F.least(F.lit(HEAVY_K), F.greatest(F.lit(1), F.ceil(F.least("sa", "sb") * t - 1e-9)))).cast("int")
+    both = met.unionByName(hot.select("a", "b", need.alias("need")))
+    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+
+
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
+    for b in batches:
+        yield False, b
+    yield True, None
 
 
 def similar_classes(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, common, similarity) of all similar pairs of classes, a < b."""
+    """(a, b, common, similarity) of all similar pairs of classes (by name)."""
     pairs = written(candidates(sets, t), "neardup-candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    need = pairs.select(F.explode(F.array("a", "b")).alias("src")).distinct()
     # only sets with a partner move
-    wanted = sets.join(need, "cls", "left_semi")
-    wanted = written(wanted, "neardup-wanted")
-    left = wanted.select(F.col("cls").alias("a"), F.col("size").alias("sa"), F.col("runs").alias("ra"))
-    right = wanted.select(F.col("cls").alias("b"), F.col("size").alias("sb"), F.col("runs").alias("rb"))
+    wanted = written(sets.join(need, "src", "left_semi"), "neardup-wanted")
+    left = wanted.select(F.col("src").alias("a"), F.col("cls").alias("ca"), F.col("size").alias("sa"), F.col("runs").alias("ra"))
+    right = wanted.select(F.col("src").alias("b"), F.col("cls").alias("cb"), F.col("size").alias("sb"), F.col("runs").alias("rb"))
     both = pairs.join(left, "a").join(right, "b")
     both = both.withColumn("common", F.size(F.array_intersect("ra", "rb")))
     sim = F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))
-    return both.select("a", "b", "common", sim.alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+    return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "common", sim.alias("similarity")).where(F.col("similarity") >= t - 1e-12)
 
 
 def found(df: DataFrame, key: str = "id", codes: tuple[str, ...] = ("new_code", "old_code"), t: float = 0.7, n: int = 4) -> DataFrame:
