@@ -16,8 +16,8 @@ Angles between unit vectors are a metric, so the triangle inequality prunes.
 ``factor = 1`` restores exact search; the default is chosen for a recall of well
 over 0.9 (measured in the tests and the README). All vectors are indexed and all
 are queries. Shards above ``shard_rows`` are split, queries in blocks, so no
-task grows with a dense region. Vectors sent to shards as queries have half
-precision (full if ``factor`` <= 1).
+task grows with a dense region. Vectors are kept in half precision, which moves
+cosines by some 1e-5 (in full precision if ``factor`` <= 1).
 
 Equal vectors are one element of the search, whatever their number, and expand
 to their smallest ids only: k of them are all that any row can need.
@@ -115,7 +115,7 @@ class VPTree:
         return best, row
 
 
-def _usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
+def _usable(df: DataFrame, key: str, vector: str, dim: int, kept: type) -> DataFrame:
     """(id, cls, vec): unit vectors as bytes and the 128-bit name of their direction."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,37 +130,42 @@ def _usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
             rows, x = rows[good], (x[good] / norm[good][:, None]).astype(np.float32)
             name = np.round(x * 1e6).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(rows)), pa.array([xxhash.xxh128_digest(r.tobytes()) for r in name], pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "cls", "vec"]
+                [b.column(0).take(pa.array(rows)), pa.array([xxhash.xxh128_digest(r.tobytes()) for r in name], pa.binary()), pa.array([r.tobytes() for r in x.astype(kept)], pa.binary())], ["id", "cls", "vec"]
             )
 
     kind = df.schema[key].dataType.simpleString()
     return df.where(F.size(vector) == dim).select(key, F.col(vector).cast("array<float>")).mapInArrow(run, f"id {kind}, cls binary, vec binary")
 
 
-def _matrix(col: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.float32).reshape(-1, dim)
+def _matrix(col: pa.Array, dim: int, kept: type) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), kept).reshape(-1, dim).astype(np.float32)
 
 
 def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", k: int = 5, dim: int = 384, factor: float = 32.0, tree_factor: float | None = None,
-            max_pivots: int = 4096, per_pivot: int = 220, shard_rows: int = 4096, block_rows: int = 16384) -> DataFrame:
+            max_pivots: int = 4096, per_pivot: int = 220, shard_rows: int = 4096, block_rows: int = 16384, broadcast_rows: int = 500_000) -> DataFrame:
     """(key, rank, neighbour, cosine): the k nearest rows of every usable row."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
     tree_factor = tree_factor or max(1.0, factor / 4)
-    rows = written(_usable(df, key, vector, dim), "neighbours-rows")
+    half = np.float16 if factor > 1 else np.float32
+    rows = _usable(df, key, vector, dim, half).withColumn("rid", F.monotonically_increasing_id())
+    rows = written(rows, "neighbours-rows")
 
     # equal vectors: the k + 1 smallest ids name the class, found without moving the vectors
     order = Window.partitionBy("cls").orderBy("id")
-    small = rows.select("cls", "id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    groups = written(small.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("ids")), "neighbours-classes")
-    doubles = rows.select("cls", "id").join(groups.where(F.size("ids") > 1).select("cls", F.col("ids")[0].alias("rep")), "cls").where("id <> rep").select("id")
-    reps = rows.join(doubles, "id", "left_anti")
+    small = rows.select("cls", "id", "rid").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
+    groups = small.groupBy("cls").agg(F.min_by("rid", "n").alias("rep"), F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"))
+    groups = written(groups, "neighbours-classes")
+    doubles = rows.select("cls", "rid").join(groups.where(F.size("ids") > 1).select("cls", "rep"), "cls").where("rid <> rep").select("rid")
 
     n = groups.count()
+    # the vectors stay where they are unless too many rows are copies
+    few = rows.count() - n <= broadcast_rows
+    reps = rows.join(F.broadcast(doubles) if few else doubles, "rid", "left_anti")
     if n == 0:
         return df.select(key, F.lit(0).alias("rank"), F.col(key).alias("neighbour"), F.lit(0.0).alias("cosine")).where("false")
     want = int(min(max_pivots, max(1, n // per_pivot)))
-    pivots = _matrix(reps.select("vec", F.xxhash64("cls").alias("h"), "cls").orderBy("h", "cls").limit(want).toArrow().column("vec").combine_chunks(), dim)
+    pivots = _matrix(reps.select("vec", F.xxhash64("cls").alias("h"), "cls").orderBy("h", "cls").limit(want).toArrow().column("vec").combine_chunks(), dim, half)
     shared = spark.sparkContext.broadcast(pivots)  # at most max_pivots vectors
 
     def route(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,20 +181,19 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", k: int =
         total = np.zeros((len(shared.value), 2), np.int64)
         for b in batches:
             if b.num_rows:
-                home, visits = route(_matrix(b.column(0), dim))
+                home, visits = route(_matrix(b.column(0), dim, half))
                 total[:, 0] += np.bincount(home, minlength=len(total))
                 total[:, 1] += visits.sum(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total[:, 0]), pa.array(total[:, 1])], ["c", "s", "v"])
 
     sizes = reps.select("vec").mapInArrow(load, "c int, s bigint, v bigint").groupBy("c").agg(F.sum("s").alias("s"), F.sum("v").alias("v")).toPandas().set_index("c").sort_index()
     subs = spark.sparkContext.broadcast(np.stack((-(-sizes["s"].to_numpy() // shard_rows), -(-sizes["v"].to_numpy() // block_rows)), 1).clip(1))
-    half = np.float16 if factor > 1 else np.float32
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                x = _matrix(b.column(2), dim)
+                x = _matrix(b.column(2), dim, half)
                 home, visits = route(x)
                 low = np.array([int.from_bytes(c[:8], "little") >> 1 for c in b.column(1).to_pylist()], np.int64)
                 out: list[tuple[int, int, int, bool, int]] = []
@@ -199,39 +203,39 @@ def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", k: int =
                 for i, c in zip(*np.nonzero(visits), strict=True):
                     s, q = subs.value[c]
                     out += [(int(c), j, int(low[i] % q), True, i) for j in range(s)]
-                full, short = [r.tobytes() for r in x], [r.tobytes() for r in x.astype(half)]
+                raw = b.column(2).to_pylist()
                 cell, sub, blk, query, src = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), pa.array(sub, pa.int32()), pa.array(blk, pa.int32()), pa.array(query), b.column(0).take(pa.array(src)), pa.array([short[i] if q else full[i] for q, i in zip(query, src, strict=True)], pa.binary())],
+                    [pa.array(cell, pa.int32()), pa.array(sub, pa.int32()), pa.array(blk, pa.int32()), pa.array(query), b.column(0).take(pa.array(src)), pa.array([raw[i] for i in src], pa.binary())],
                     ["cell", "sub", "blk", "query", "id", "vec"],
                 )
 
     def meet(t: pa.Table) -> pa.Table:
         query = t.column("query").to_numpy()
         data, asks = t.filter(pa.array(~query)), t.filter(pa.array(query))
-        schema = pa.schema([("id", t.schema.field("id").type), ("near", pa.list_(t.schema.field("id").type)), ("cos", pa.list_(pa.float64()))])
+        schema = pa.schema([("id", pa.int64()), ("near", pa.list_(pa.int64())), ("cos", pa.list_(pa.float32()))])
         if not data.num_rows or not asks.num_rows:
             return schema.empty_table()
         # rows reach a task in any order; the tree must not depend on it
         data = data.sort_by("id")
-        x = _matrix(data.column("vec").combine_chunks(), dim)
-        q = np.frombuffer(b"".join(asks.column("vec").to_pylist()), half).reshape(-1, dim).astype(np.float32)
+        x = _matrix(data.column("vec").combine_chunks(), dim, half)
+        q = _matrix(asks.column("vec").combine_chunks(), dim, half)
         take = min(k + 1, len(x))
         cos, row = VPTree(x).search(q, take, tree_factor if factor > 1 else 1.0)
         ok = row >= 0
         ends = np.concatenate(([0], np.cumsum(ok.sum(1)))).astype(np.int32)
         near = data.column("id").combine_chunks().take(pa.array(row[ok]))
-        return pa.Table.from_arrays([asks.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends), near), pa.ListArray.from_arrays(pa.array(ends), pa.array(cos[ok].astype(np.float64)))], schema=schema)
+        return pa.Table.from_arrays([asks.column("id").combine_chunks(), pa.ListArray.from_arrays(pa.array(ends), near), pa.ListArray.from_arrays(pa.array(ends), pa.array(cos[ok]))], schema=schema)
 
-    dealt = reps.mapInArrow(deal, f"cell int, sub int, blk int, query boolean, id {kind}, vec binary")
-    met = dealt.groupBy("cell", "sub", "blk").applyInArrow(meet, f"id {kind}, near array<{kind}>, cos array<double>")
+    dealt = reps.select("rid", "cls", "vec").mapInArrow(deal, "cell int, sub int, blk int, query boolean, id bigint, vec binary")
+    met = dealt.groupBy("cell", "sub", "blk").applyInArrow(meet, "id bigint, near array<bigint>, cos array<float>")
     # a query has at most (visited shards) x (k + 1) candidates
-    pairs = F.transform(F.arrays_zip("near", "cos"), lambda z: F.struct((-F.round(z["cos"], 7)).alias("d"), z["near"].alias("near")))
+    pairs = F.transform(F.arrays_zip("near", "cos"), lambda z: F.struct((-F.round(z["cos"].cast("double"), 6)).alias("d"), z["near"].alias("near")))
     best = met.groupBy("id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(pairs)))), 1, k + 1).alias("best"))
     best = best.select("id", F.explode("best").alias("b")).select("id", F.col("b.d").alias("d"), F.col("b.near").alias("near"))
     best = cut(best.where("id <> near"))
     # back to rows: a class stands for its smallest ids, and its own are at cosine 1
-    ids = groups.select(F.col("ids")[0].alias("near"), "ids", "cls")
+    ids = groups.select(F.col("rep").alias("near"), "ids", "cls")
     other = best.join(ids.select("near", "ids"), "near").select("id", "d", F.explode("ids").alias("nb"))
     own = ids.where(F.size("ids") > 1).select(F.col("near").alias("id"), F.lit(-1.0).alias("d"), F.explode("ids").alias("nb"))
     lists = other.unionByName(own).groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "nb"))), 1, k + 1).alias("l"))
