@@ -142,7 +142,7 @@ def _matrix(col: pa.Array, dim: int, kept: type) -> np.ndarray:
 
 
 def nearest(df: DataFrame, key: str = "id", vector: str = "embedding", k: int = 5, dim: int = 384, factor: float = 32.0, tree_factor: float | None = None,
-            max_pivots: int = 4096, per_pivot: int = 220, shard_rows: int = 4096, block_rows: int = 16384, broadcast_rows: int = 500_000) -> DataFrame:
+            max_pivots: int = 4096, per_pivot: int = 600, shard_rows: int = 4096, block_rows: int = 16384, broadcast_rows: int = 500_000) -> DataFrame:
     """(key, rank, neighbour, cosine): the k nearest rows of every usable row."""
     spark = df.sparkSession
     kind = df.schema[key].dataType.simpleString()
