@@ -19,7 +19,7 @@ order both have at least k in common.
 The boundary between light and heavy is chosen by cost: subsets emitted against
 the expected length of the lists, both from the sketch and the sizes of all
 sets. Lists longer than ``block`` are cut into blocks that meet pairwise in
-separate tasks, so a hot run never lands in one task. Candidates are verified
+separate groups, so a hot run never lands in one task. Candidates are verified
 on the whole sets; the result is exact (up to 64-bit hashes of runs).
 
 Defined results: null codes do not take part; a code of fewer than four tokens
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,7 +70,7 @@ def required(size: np.ndarray | int, t: float):  # noqa: ANN201
     return np.maximum(1, np.ceil(np.asarray(size) * t - 1e-9)).astype(np.int64)
 
 
-def classes(df: DataFrame, key: str, codes: list[str], n: int = 4) -> tuple[DataFrame, DataFrame]:
+def classes(df: DataFrame, key: str, codes: list[str], n: int = 4, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(members: key, cls) and (sets: src, cls, size, runs), each class once; both written."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -103,23 +104,41 @@ def classes(df: DataFrame, key: str, codes: list[str], n: int = 4) -> tuple[Data
     sent = table.where("size > 0")
     again = sent.groupBy("cls").agg(F.min("src").alias("keep"), F.collect_list("src").alias("all")).where(F.size("all") > 1)
     again = again.select(F.explode(F.array_remove("all", F.col("keep"))).alias("src"))
-    return members, sent.join(again, "src", "left_anti").select("src", "cls", "size", "runs")
+    few = again.count() <= broadcast_rows
+    return members, sent.join(F.broadcast(again) if few else again, "src", "left_anti").select("src", "cls", "size", "runs")
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """Counts of all runs by the low bits of their hash: of fixed size, whatever the number of runs."""
+def _sketch(sets: DataFrame, tasks: int = 512) -> np.ndarray:
+    """Counts of all runs by the low bits of their hash: of fixed size, whatever the number of runs.
+
+    At most ``tasks`` partial sketches are made; they travel compressed and in
+    blocks, so what is shuffled and collected is bounded as well.
+    """
+    blocks, per = 64, (1 << SKETCH_BITS) // 64
+    schema = "block int, counts binary"
+
+    def pack(total: np.ndarray) -> pa.RecordBatch:
+        parts = [zlib.compress(total[i * per : (i + 1) * per].tobytes(), 1) for i in range(blocks)]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
             flat = b.column(0).flatten().to_numpy()
             total += np.bincount(flat & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["b", "c"])
+        yield pack(np.minimum(total, 2**31 - 1).astype(np.int32))
 
-    rows = sets.select("runs").mapInArrow(count, "b int, c bigint").groupBy("b").agg(F.sum("c").alias("c")).toArrow()
+    def join(t: pa.Table) -> pa.Table:
+        total = np.zeros(per, np.int64)
+        for raw in t.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(raw), np.int32)
+        packed = zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)
+        return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([packed], pa.binary())})
+
+    rows = sets.select("runs").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInArrow(join, schema).collect()
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows.column("b").to_numpy()] = rows.column("c").to_numpy()
+    for r in rows:
+        out[r.block * per : (r.block + 1) * per] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int32)
     return out
 
 
@@ -145,24 +164,32 @@ def _boundary(sets: DataFrame, t: float, counts: np.ndarray) -> int:
     return best
 
 
-def _pairs_of_groups(key: np.ndarray, src: np.ndarray, meta: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, need) of the pairs within equal keys; keys are sorted. need: meetings a pair must have."""
+def _pairs_of_groups(cols: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, need) of the pairs within equal keys; keys are sorted. need: meetings a pair must have.
+
+    meta = 8 * size + 2 * kind + side; blocks that meet another block pair across the sides only.
+    """
+    key, src, meta, xy = cols
     starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     sizes = np.diff(np.concatenate((starts, [len(key)])))
     out_a, out_b, out_n = [], [], []
     for m in np.unique(sizes):
         if m < 2:
             continue
-        base = starts[sizes == m]
         i, j = np.triu_indices(m, 1)
-        x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
-        sx, sy, kx, ky = meta[x] >> 2, meta[y] >> 2, meta[x] & 3, meta[y] & 3
-        small, large = np.minimum(sx, sy), np.maximum(sx, sy)
-        keep = (src[x] != src[y]) & (small >= t * large - 1e-9) & ((kx == 0) == (ky == 0)) & ((kx == 0) | (kx + ky > 2))
-        x, y = x[keep], y[keep]
-        out_a.append(np.minimum(src[x], src[y]))
-        out_b.append(np.maximum(src[x], src[y]))
-        out_n.append(np.where(kx[keep] == 0, 1, np.minimum(HEAVY_K, required(small[keep], t))))
+        heads = starts[sizes == m]
+        step = max(1, 4_000_000 // len(i))
+        for at in range(0, len(heads), step):
+            base = heads[at : at + step]
+            x, y = (base[:, None] + i).ravel(), (base[:, None] + j).ravel()
+            sx, sy, kx, ky = meta[x] >> 3, meta[y] >> 3, meta[x] >> 1 & 3, meta[y] >> 1 & 3
+            small, large = np.minimum(sx, sy), np.maximum(sx, sy)
+            keep = (src[x] != src[y]) & (xy[x] == xy[y]) & ((xy[x] >> 32 == (xy[x] & 0xFFFFFFFF)) | ((meta[x] ^ meta[y]) & 1 == 1))
+            keep &= (small >= t * large - 1e-9) & ((kx == 0) == (ky == 0)) & ((kx == 0) | (kx + ky > 2))
+            x, y = x[keep], y[keep]
+            out_a.append(np.minimum(src[x], src[y]))
+            out_b.append(np.maximum(src[x], src[y]))
+            out_n.append(np.where(kx[keep] == 0, 1, np.minimum(HEAVY_K, required(small[keep], t))))
     if not out_a:
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -174,83 +201,77 @@ def candidates(sets: DataFrame, t: float, block: int = 1000) -> DataFrame:
     spark = sets.sparkSession
     counts = _sketch(sets)
     bound = _boundary(sets, t, counts)
-    shared = spark.sparkContext.broadcast(np.minimum(counts, 2**31 - 1).astype(np.int32))
-    mix_a, mix_b = np.int64(-7046029254386353131), np.int64(2862933555777941757)
+    shared = spark.sparkContext.broadcast(counts.astype(np.int32))
+    mix_a, mix_b, mix_c = np.int64(-7046029254386353131), np.int64(2862933555777941757), np.int64(3202034522624059733)
 
     def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # meta = 4 * size + kind; kind 0: subset of two, 1: list of a light set, 2: list of a heavy one
+        # kind 0: subset of two, 1: list of a light set, 2: list of a heavy one
         freq, mask = shared.value, (1 << SKETCH_BITS) - 1
         for batch in batches:
-            sigs, src, meta, hot = [], [], [], []
+            out: list[list[np.ndarray]] = [[], [], [], []]
             flat, off = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
             off = off - off[0]
+
+            def put(key: np.ndarray, name: int, meta: int, xy: np.ndarray, out: list = out) -> None:
+                for o, v in zip(out, (key ^ (xy * mix_c), np.full(len(key), name, np.int64), np.full(len(key), meta, np.int32), xy), strict=True):
+                    o.append(v)
+
+            def emit(sig: np.ndarray, df: np.ndarray, kind: int, name: int, n: int) -> None:
+                cold = (df > 1) & (df <= block)  # the sketch never counts too little: a run counted once is in one set only
+                put(sig[cold], name, 8 * n + 2 * kind, np.zeros(int(cold.sum()), np.int64))
+                for s, c in zip(sig[df > block], df[df > block].tolist(), strict=True):
+                    parts = -(-c // block)  # the blocks of a long list meet pairwise, each pair in its own group
+                    own = xxhash.xxh32_intdigest(int(name).to_bytes(8, "little")) % parts
+                    rest = np.arange(parts, dtype=np.int64)
+                    xy = (np.minimum(rest, own) << 32) | np.maximum(rest, own)
+                    for side in (0, 1):
+                        part = xy[(rest < own) == bool(side)]
+                        put(np.full(len(part), s, np.int64), name, 8 * n + 2 * kind + side, part)
+
             for i, (name, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 runs = flat[off[i] : off[i + 1]]
                 df = freq[runs & mask]
                 order = np.lexsort((runs, df))
                 need = int(required(n, t))
                 begin = n - need + 1
-
-                def emit(sig: np.ndarray, df: np.ndarray, kind: int, name: int = name, n: int = n) -> None:
-                    keep = df > 1  # the sketch never counts too little: this run is in one set only
-                    sigs.append(sig[keep])
-                    hot.append(df[keep] > block)
-                    src.append(np.full(int(keep.sum()), name, np.int64))
-                    meta.append(np.full(int(keep.sum()), 4 * n + kind, np.int32))
-
                 if n <= bound:
                     if need < 2:  # a pair may share a single run only
                         two = order[:begin]
-                        emit((runs[two] * mix_a) ^ np.int64(1), df[two], 0)
+                        emit((runs[two] * mix_a) ^ np.int64(1), df[two], 0, name, n)
                     else:
                         two = order[: begin + 1]
                         x, y = np.triu_indices(len(two), 1)
                         x, y = two[x], two[y]
-                        emit((runs[x] * mix_a) ^ (runs[y] * mix_b + np.int64(7)), np.minimum(df[x], df[y]), 0)
+                        emit((runs[x] * mix_a) ^ (runs[y] * mix_b + np.int64(7)), np.minimum(df[x], df[y]), 0, name, n)
                 if n > bound or n >= t * (bound + 1) - 1e-9:
                     lists = order[: begin + HEAVY_K - 1]
-                    emit(runs[lists], df[lists], 1 if n <= bound else 2)
-            if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (sigs, src, meta, hot)], ["sig", "src", "meta", "hot"])
+                    emit(runs[lists], df[lists], 1 if n <= bound else 2, name, n)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "src", "meta", "xy"])
 
     def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             yield from signatures(batches)
 
-    post = sets.select("src", "size", "runs").mapInArrow(quiet, "sig bigint, src bigint, meta int, hot boolean")
-
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pairs of each list; lists of cold runs are sorted, whole and at most ``block`` long."""
-        key = src = meta = None
+        """Pairs of each group; groups arrive sorted and whole and are at most some ``block`` long."""
+        held: list[np.ndarray] | None = None
         for last, b in _with_end(batches):
             if b is not None and b.num_rows:
-                cols = [b.column(i).to_numpy() for i in range(3)]
-                key, src, meta = cols if key is None else (np.concatenate(x) for x in zip((key, src, meta), cols, strict=True))
-            if key is None or not len(key):
+                cols = [b.column(i).to_numpy().astype(np.int64) for i in range(4)]
+                held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            if held is None or not len(held[0]):
                 continue
-            end = len(key) if last else int(np.searchsorted(key, key[-1], "left"))  # the last list may go on
+            end = len(held[0]) if last else int(np.searchsorted(held[0], held[0][-1], "left"))  # the last group may go on
             if end:
-                x, y, n = _pairs_of_groups(key[:end], src[:end], meta[:end].astype(np.int64), t)
-                key, src, meta = key[end:], src[end:], meta[end:]
+                x, y, n = _pairs_of_groups([c[:end] for c in held], t)
+                held = [c[end:] for c in held]
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n.astype(np.int32))], ["a", "b", "need"])
 
-    cold = post.where("not hot").select("sig", "src", "meta").repartition("sig").sortWithinPartitions("sig")
-    met = cold.mapInArrow(meet, "a bigint, b bigint, need int")
-
-    # lists of runs that may be longer than a block: their blocks meet pairwise, each pair of blocks in its own task
-    warm = post.where("hot")
-    lists = warm.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
-    warm = warm.join(lists.select("sig", F.ceil(F.col("n") / block).cast("int").alias("parts")), "sig")
-    part = F.pmod(F.xxhash64("src"), F.col("parts")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    size, kind = F.col("meta").bitwiseAND(-4) / 4, F.col("meta").bitwiseAND(3)
-    side = lambda own, other, s: warm.withColumn(own, part).withColumn(other, every).select("sig", "x", "y", F.col("src").alias(s), size.cast("int").alias(f"s{s}"), kind.alias(f"k{s}"))
-    hot = side("x", "y", "a").join(side("y", "x", "b"), ["sig", "x", "y"]).where("a < b")
-    hot = hot.where((F.least("sa", "sb") >= t * F.greatest("sa", "sb") - 1e-9) & ((F.col("ka") == 0) == (F.col("kb") == 0)) & ((F.col("ka") == 0) | (F.col("ka") + F.col("kb") > 2)))
-    need = F.when(F.col("ka") == 0, 1).otherwise(F.least(F.lit(HEAVY_K), F.greatest(F.lit(1), F.ceil(F.least("sa", "sb") * t - 1e-9)))).cast("int")
-    both = met.unionByName(hot.select("a", "b", need.alias("need")))
-    return both.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    post = sets.select("src", "size", "runs").mapInArrow(quiet, "key bigint, src bigint, meta int, xy bigint")
+    met = post.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, need int")
+    return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
