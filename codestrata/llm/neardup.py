@@ -280,18 +280,47 @@ def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.Reco
     yield True, None
 
 
-def similar_classes(sets: DataFrame, t: float) -> DataFrame:
-    """(a, b, common, similarity) of all similar pairs of classes (by name)."""
+def similar_classes(sets: DataFrame, t: float, block: int = 2000, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(a, b, common, similarity) of all similar pairs of classes (by name).
+
+    Candidates are verified around owners: the owner of a pair is the least number
+    among the neighbours of its ends, so the versions of one text mostly share an
+    owner and each set travels there once, not once per pair. Owners of more than
+    ``block`` sets are cut into pairs of blocks.
+    """
     pairs = written(candidates(sets, t), "neardup-candidates")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("src")).distinct()
-    # only sets with a partner move
-    wanted = written(sets.join(need, "src", "left_semi"), "neardup-wanted")
-    left = wanted.select(F.col("src").alias("a"), F.col("cls").alias("ca"), F.col("size").alias("sa"), F.col("runs").alias("ra"))
-    right = wanted.select(F.col("src").alias("b"), F.col("cls").alias("cb"), F.col("size").alias("sb"), F.col("runs").alias("rb"))
-    both = pairs.join(left, "a").join(right, "b")
-    both = both.withColumn("common", F.size(F.array_intersect("ra", "rb")))
-    sim = F.col("common") / (F.col("sa") + F.col("sb") - F.col("common"))
-    return both.select(F.col("ca").alias("a"), F.col("cb").alias("b"), "common", sim.alias("similarity")).where(F.col("similarity") >= t - 1e-12)
+    ends = pairs.select("a", F.col("b").alias("o")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("o")))
+    label = ends.groupBy(F.col("a").alias("n")).agg(F.least("n", F.min("o")).alias("l"))
+    own = pairs.join(label.select(F.col("n").alias("a"), F.col("l").alias("la")), "a").join(label.select(F.col("n").alias("b"), F.col("l").alias("lb")), "b")
+    own = own.select("a", "b", F.least("la", "lb").alias("owner"))
+    size = own.select("owner", F.explode(F.array("a", "b")).alias("src")).distinct().groupBy("owner").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("parts")).cast("int")
+    own = own.join(size, "owner").select("a", "b", "owner", F.least(part("a"), part("b")).alias("x"), F.greatest(part("a"), part("b")).alias("y"))
+    own = written(own, "neardup-owners")
+    need = own.select("owner", "x", "y", F.explode(F.array("a", "b")).alias("src")).distinct()
+    # the sets stay where they are while the list of wanted ones is small enough to be sent to them
+    few = need.count() <= broadcast_rows
+    moved = sets.join(F.broadcast(need) if few else need, "src").select("owner", "x", "y", "src", "cls", "runs")
+
+    def verify(p: pa.Table, q: pa.Table) -> pa.Table:
+        place = {k: i for i, k in enumerate(q.column("src").to_pylist())}
+        runs = q.column("runs").combine_chunks()
+        flat, off = runs.values.to_numpy(), runs.offsets.to_numpy()
+        get = lambda i: flat[off[i] : off[i + 1]]
+        names = q.column("cls").to_pylist()
+        out: list[tuple[bytes, bytes, int, float]] = []
+        for a, b in zip(p.column("a").to_pylist(), p.column("b").to_pylist(), strict=True):
+            i, j = place[a], place[b]
+            x, y = get(i), get(j)
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            sim = common / (len(x) + len(y) - common)
+            if sim >= t - 1e-12:
+                out.append((names[i], names[j], common, sim))
+        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
+        return pa.table({"a": pa.array(cols[0], pa.binary()), "b": pa.array(cols[1], pa.binary()), "common": pa.array(cols[2], pa.int32()), "similarity": pa.array(cols[3], pa.float64())})
+
+    keys = ["owner", "x", "y"]
+    return own.groupBy(*keys).cogroup(moved.groupBy(*keys)).applyInArrow(verify, "a binary, b binary, common int, similarity double")
 
 
 def found(df: DataFrame, key: str = "id", codes: tuple[str, ...] = ("new_code", "old_code"), t: float = 0.7, n: int = 4) -> DataFrame:
