@@ -300,7 +300,7 @@ def similar_classes(sets: DataFrame, t: float, block: int = 2000, broadcast_rows
     need = own.select("owner", "x", "y", F.explode(F.array("a", "b")).alias("src")).distinct()
     # the sets stay where they are while the list of wanted ones is small enough to be sent to them
     few = need.count() <= broadcast_rows
-    moved = sets.join(F.broadcast(need) if few else need, "src").select("owner", "x", "y", "src", "cls", "runs")
+    moved = sets.join(F.broadcast(need) if few else need, "src").select(F.col("owner").alias("o"), F.col("x").alias("i"), F.col("y").alias("j"), "src", "cls", "runs")
 
     def verify(p: pa.Table, q: pa.Table) -> pa.Table:
         place = {k: i for i, k in enumerate(q.column("src").to_pylist())}
@@ -319,8 +319,7 @@ def similar_classes(sets: DataFrame, t: float, block: int = 2000, broadcast_rows
         cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.table({"a": pa.array(cols[0], pa.binary()), "b": pa.array(cols[1], pa.binary()), "common": pa.array(cols[2], pa.int32()), "similarity": pa.array(cols[3], pa.float64())})
 
-    keys = ["owner", "x", "y"]
-    return own.groupBy(*keys).cogroup(moved.groupBy(*keys)).applyInArrow(verify, "a binary, b binary, common int, similarity double")
+    return own.groupBy("owner", "x", "y").cogroup(moved.groupBy("o", "i", "j")).applyInArrow(verify, "a binary, b binary, common int, similarity double")
 
 
 def found(df: DataFrame, key: str = "id", codes: tuple[str, ...] = ("new_code", "old_code"), t: float = 0.7, n: int = 4) -> DataFrame:
