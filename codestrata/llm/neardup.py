@@ -12,8 +12,8 @@ order both have at least k in common.
 * Light sets enumerate all subsets of k = 2 of that beginning; a common subset
   is a candidate. Pairs that share a single, frequent run never meet.
 * Heavy sets, whose subsets would be too many, scan the inverted lists of the
-  runs of their beginning with k = 3 and count how often a list names the same
-  partner; light sets within reach of a heavy one by size put their runs into
+  runs of their beginning with k rising with the size and count how often a list
+  names the same partner; light sets within reach of a heavy one by size put their runs into
   the lists as well.
 
 The boundary between light and heavy is chosen by cost: subsets emitted against
@@ -45,7 +45,6 @@ from codestrata.session import cut, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 SKETCH_BITS = 21
-HEAVY_K = 3
 
 
 def shingles(code: str, n: int = 4) -> np.ndarray:
@@ -70,6 +69,11 @@ def required(size: np.ndarray | int, t: float):  # noqa: ANN201
     return np.maximum(1, np.ceil(np.asarray(size) * t - 1e-9)).astype(np.int64)
 
 
+def heavy_k(size: np.ndarray | int):  # noqa: ANN201
+    """How many common runs in their beginnings similar sets of lists must show: more for larger sets."""
+    return 3 + np.asarray(size) // 24
+
+
 def classes(df: DataFrame, key: str, codes: list[str], n: int = 4, broadcast_rows: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(members: key, cls) and (sets: src, cls, size, runs), each class once; both written."""
     kind = df.schema[key].dataType.simpleString()
@@ -158,7 +162,7 @@ def _boundary(sets: DataFrame, t: float, counts: np.ndarray) -> int:
     for size in sorted(hist["size"]):
         begin = size - int(required(size, t)) + 1
         subsets = (begin + 1) * begin / 2
-        if subsets > (begin + HEAVY_K) * (1 + mean_list / 4):
+        if subsets > (begin + int(heavy_k(size))) * (1 + mean_list / 4):
             break
         best = int(size)
     return best
@@ -189,7 +193,7 @@ def _pairs_of_groups(cols: list[np.ndarray], t: float) -> tuple[np.ndarray, np.n
             x, y = x[keep], y[keep]
             out_a.append(np.minimum(src[x], src[y]))
             out_b.append(np.maximum(src[x], src[y]))
-            out_n.append(np.where(kx[keep] == 0, 1, np.minimum(HEAVY_K, required(small[keep], t))))
+            out_n.append(np.where(kx[keep] == 0, 1, np.minimum(heavy_k(small[keep]), required(small[keep], t))))
     if not out_a:
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -244,7 +248,7 @@ def candidates(sets: DataFrame, t: float, block: int = 1000) -> DataFrame:
                         x, y = two[x], two[y]
                         emit((runs[x] * mix_a) ^ (runs[y] * mix_b + np.int64(7)), np.minimum(df[x], df[y]), 0, name, n)
                 if n > bound or n >= t * (bound + 1) - 1e-9:
-                    lists = order[: begin + HEAVY_K - 1]
+                    lists = order[: begin + min(int(heavy_k(n)), need) - 1]
                     emit(runs[lists], df[lists], 1 if n <= bound else 2, name, n)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "src", "meta", "xy"])
