@@ -22,10 +22,10 @@ def read_lines(spark: SparkSession, directory: str, since: str | None = None) ->
     A file is split into lines by the scan of whole texts, so ``pos`` is exact; files
     that cannot be read are left out.
     """
-    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("wholetext", "true").option("ignoreCorruptFiles", "true")
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").option("ignoreCorruptFiles", "true")
     if since:
         r = r.option("modifiedAfter", since)
-    files = r.text(directory).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    files = r.text(directory, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     return files.select("path", "modified", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
 
 
