@@ -20,7 +20,7 @@ The boundary between light and heavy is chosen by cost: subsets emitted against
 the expected length of the lists, both from the sketch and the sizes of all
 sets. Lists longer than ``block`` are cut into blocks that meet pairwise in
 separate groups, so a hot run never lands in one task. Candidates are verified
-on the whole sets; the result is exact (up to 64-bit hashes of runs).
+on the whole sets; the result is exact (up to 48-bit hashes of runs within a pair).
 
 Defined results: null codes do not take part; a code of fewer than four tokens
 has no runs and is similar to nothing; classes are named by a 128-bit hash;
@@ -48,7 +48,7 @@ SKETCH_BITS = 21
 
 
 def shingles(code: str, n: int = 4) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of n tokens."""
+    """Sorted distinct 48-bit hashes of the runs of n tokens."""
     tokens = TOKEN.findall(code)
     if len(tokens) < n:
         return np.zeros(0, np.int64)
@@ -61,7 +61,25 @@ def shingles(code: str, n: int = 4) -> np.ndarray:
             mix ^= mix >> np.uint64(29)
             mix *= np.uint64(0xBF58476D1CE4E5B9)
         mix ^= mix >> np.uint64(32)
-    return np.unique(mix.view(np.int64))
+    return np.unique((mix >> np.uint64(16)).view(np.int64))
+
+
+def pack(runs: np.ndarray) -> bytes:
+    """Six bytes for each run."""
+    return runs.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpack(raw: bytes | memoryview) -> np.ndarray:
+    six = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(six), 8), np.uint8)
+    out[:, :6] = six
+    return out.view("<i8").ravel()
+
+
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All runs of a column of packed sets and where each set starts."""
+    raw = col.to_pylist()
+    return unpack(b"".join(raw)), np.concatenate(([0], np.cumsum([len(r) // 6 for r in raw]))).astype(np.int64)
 
 
 def required(size: np.ndarray | int, t: float):  # noqa: ANN201
@@ -83,7 +101,7 @@ def classes(df: DataFrame, key: str, codes: list[str], n: int = 4, broadcast_row
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, cls, runs = [], [], []
+                keys, cls, runs, sizes = [], [], [], []
                 ids = part.column(0).to_pylist()
                 for c in range(1, part.num_columns):
                     for k, code in zip(ids, part.column(c).to_pylist(), strict=True):
@@ -93,15 +111,13 @@ def classes(df: DataFrame, key: str, codes: list[str], n: int = 4, broadcast_row
                                 name = xxhash.xxh128_digest(s.tobytes())
                                 keys.append(k)
                                 cls.append(name)
-                                runs.append(None if name in seen else s)
+                                sizes.append(0 if name in seen else len(s))
+                                runs.append(b"" if name in seen else pack(s))
                                 if len(seen) < 1_000_000:
                                     seen.add(name)
-                sizes = [0 if r is None else len(r) for r in runs]
-                flat = np.concatenate([r for r in runs if r is not None]) if any(sizes) else np.zeros(0, np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), pa.array(cls, pa.binary()), pa.array([len(r) if r is not None else 0 for r in runs], pa.int32()), lists], ["k", "cls", "size", "runs"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, part.column(0).type), pa.array(cls, pa.binary()), pa.array(sizes, pa.int32()), pa.array(runs, pa.binary())], ["k", "cls", "size", "runs"])
 
-    table = df.select(key, *codes).mapInArrow(run, f"k {kind}, cls binary, size int, runs array<bigint>")
+    table = df.select(key, *codes).mapInArrow(run, f"k {kind}, cls binary, size int, runs binary")
     table = written(table.withColumn("src", F.monotonically_increasing_id()), "neardup-sets")
     members = table.select(F.col("k").alias(key), "cls").distinct()
     # several tasks may have sent the same class: one of them is kept, chosen without moving the runs
@@ -128,7 +144,7 @@ def _sketch(sets: DataFrame, tasks: int = 512) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for b in batches:
-            flat = b.column(0).flatten().to_numpy()
+            flat = _flat(b.column(0))[0]
             total += np.bincount(flat & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
         yield pack(np.minimum(total, 2**31 - 1).astype(np.int32))
 
@@ -213,8 +229,7 @@ def candidates(sets: DataFrame, t: float, block: int = 1000) -> DataFrame:
         freq, mask = shared.value, (1 << SKETCH_BITS) - 1
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            flat, off = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
-            off = off - off[0]
+            flat, off = _flat(batch.column(2))
 
             def put(key: np.ndarray, name: int, meta: int, xy: np.ndarray, out: list = out) -> None:
                 for o, v in zip(out, (key ^ (xy * mix_c), np.full(len(key), name, np.int64), np.full(len(key), meta, np.int32), xy), strict=True):
@@ -308,8 +323,7 @@ def similar_classes(sets: DataFrame, t: float, block: int = 2000, broadcast_rows
 
     def verify(p: pa.Table, q: pa.Table) -> pa.Table:
         place = {k: i for i, k in enumerate(q.column("src").to_pylist())}
-        runs = q.column("runs").combine_chunks()
-        flat, off = runs.values.to_numpy(), runs.offsets.to_numpy()
+        flat, off = _flat(q.column("runs").combine_chunks())
         get = lambda i: flat[off[i] : off[i + 1]]
         names = q.column("cls").to_pylist()
         out: list[tuple[bytes, bytes, int, float]] = []
