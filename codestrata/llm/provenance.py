@@ -119,7 +119,7 @@ def row_evidence(path: str | None, code: str | None) -> np.ndarray:
     head = lines[:_HEAD]
     for raw in head:
         body = _MARKS.sub("", raw)
-        comment = body != raw.strip() or raw.strip()[:1] in "#/*;<-\"'" or not re.search(r"[=(){}\[\]]", raw)
+        comment = body != raw.strip() or not re.search(r"[=(){}\[\]]", raw) or bool(_BANNER.match(body) or _THIRD.match(body))
         if not comment:
             continue
         if _BANNER.match(body) and not _ONCE.search(body):

@@ -96,6 +96,8 @@ def usable(v: str, quoted: bool) -> bool:
         return False
     if re.fullmatch(r"[0-9a-f]{24,}|[0-9A-F]{24,}", v):
         return True
+    if re.fullmatch(r"[A-Za-z0-9]{3,}[!$#%*^~?][A-Za-z0-9]{3,}", v):
+        return True
     kinds = digit + lower + upper + special
     return kinds >= 3 or (digit and (special or "-" in v or len(v) >= 16)) if quoted else kinds >= 3 and len(v) >= 8 and not re.fullmatch(r"\w+[.]\w+", v) or len(v) >= 20 and digit and "." not in v
 
@@ -205,7 +207,8 @@ def find(texts: list[str | None], auto: Automaton | None = None) -> list[list[tu
         for i, name in enumerate(auto.names):
             if bits >> i & 1 and (v := _value(text, at, name)):
                 old = found[which].get(v[0])
-                if old is None or old[1] < v[1]:
+                # in an address the grammar of addresses tells where the value ends
+                if old is None or name == "url" or (old[1] < v[1] and "@" not in text[old[1] : old[1] + 1]):
                     found[which][v[0]] = v
     out = []
     for spans in found:
