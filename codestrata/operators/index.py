@@ -20,6 +20,7 @@ SCHEMAS = {
     "references": f"name string, {_RANGE}, resolved string, scope_id int, is_read boolean, is_write boolean, is_call boolean",
     "scopes": f"scope_id int, kind string, name string, {_RANGE}, parent_id int",
     "calls": "caller string, callee string, line int, col int",
+    "all_names": "name string",
 }
 
 

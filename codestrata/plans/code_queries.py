@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
-from codestrata.operators import chunking, churn, classify, index
+from codestrata.operators import chunking, churn, classify, index, modules, recall
 from codestrata.plans.churn_queries import AS_OF
 from codestrata.session import table, written
 
@@ -143,12 +143,30 @@ def index_changed(spark: SparkSession, d: str) -> DataFrame:
     return index.changed_files(index.latest_files(cm), first).select("file_path", "hash")
 
 
+def module_exports(spark: SparkSession, d: str) -> DataFrame:
+    p = written(_parsed(spark, d), "index-facts")
+    return modules.exported_names(index.facts_table(p, "symbols"), index.facts_table(p, "all_names"))
+
+
+def module_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Where every imported name is defined, through stars and re-exports."""
+    p = written(_parsed(spark, d), "index-facts")
+    return modules.resolve(index.facts_table(p, "symbols"), index.facts_table(p, "all_names"))
+
+
+def recall_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text shown before every extracted edit: search, chunk, score, group, budget, render."""
+    pending = table(spark, d, "code_change")
+    r = recall.recall(_cm(spark, d), pending, F.lit(AS_OF).cast("timestamp"), F.lit("/srv/work/kestrel-relay"))
+    return recall.hook_text(r, pending)
+
+
 def code_outlines(spark: SparkSession, d: str) -> DataFrame:
     return index.outlines(_cm(spark, d), "id", "file_path", "new_code")
 
 
 QUERIES = {f.__name__: f for f in (code_chunks, generic_chunks, change_classes, change_history, repetitive_changes, greedy_groups, group_labels, rendered_results, injections, index_symbols, index_summary, index_search,
-    index_exports, index_hover, index_definitions, index_references, index_unused, index_positions, index_types, index_calls, index_imports, index_changed, code_outlines)}
+    index_exports, index_hover, index_definitions, index_references, index_unused, index_positions, index_types, index_calls, index_imports, index_changed, module_exports, module_imports, recall_texts, code_outlines)}
 
 ORACLE = {
     "generic_chunks": r"""WITH l AS (SELECT id, unnest(string_split(new_code, chr(10))) AS line, generate_subscripts(string_split(new_code, chr(10)), 1) AS i FROM code_memory),

@@ -139,6 +139,11 @@ def token_bucket(requests: DataFrame, key: str, ts: str, order: str, capacity: i
     return s.groupBy(key, "__g").applyInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, accepted boolean")
 
 
+def notify(events: DataFrame, kind: str, ts: str, order: str, seconds: float = 60.0) -> DataFrame:
+    """Add ``accepted``: at most one notice of each kind in ``seconds`` (a bucket of one token)."""
+    return token_bucket(events, kind, ts, order, 1, 1 / seconds)
+
+
 # --- metrics ----------------------------------------------------------------------------
 
 

@@ -6,8 +6,9 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from codestrata import cli, config
 from codestrata.functions import code_filter, embed, language, outline, paths, pycode, relevance, symbols
-from codestrata.operators import budget, chunking, churn, classify, graph, index, memory, search
+from codestrata.operators import budget, chunking, churn, classify, graph, index, memory, modules, recall, search
 from codestrata.sources import files, transcripts
 from codestrata.streaming import backfill
 
@@ -287,3 +288,49 @@ def test_retry_and_rate(spark):
     df = spark.createDataFrame(rows, "k string, i int, t long").withColumn("t", F.timestamp_seconds("t"))
     got = [r.accepted for r in backfill.token_bucket(df, "k", "t", "i", 2, 1.0).orderBy("i").collect()]
     assert got == [True, True, False, True, True, True, False]
+
+
+def test_modules(spark):
+    f = spark.createDataFrame([
+        ("a.py", "from b import f, g as h, gone\nfrom os import path\nimport sys\n"), ("b.py", "from c import *\nfrom d import g\n"), ("c.py", "from e import *\nx = 1\n_p = 2\n"),
+        ("d.py", "from b import g\n"), ("e.py", "__all__ = ['f']\ndef f():\n    pass\ndef other():\n    pass\n"),
+    ], "file_path string, code string")
+    p = index.facts(f)
+    s, a = index.facts_table(p, "symbols"), index.facts_table(p, "all_names")
+    names = {(r.module, r.name) for r in modules.exported_names(s, a).collect()}
+    assert ("e", "f") in names and ("e", "other") not in names and ("c", "_p") not in names and ("d", "g") in names
+    stars = {(r.module, r.name) for r in modules.star_names(s, a).collect()}
+    assert stars == {("c", "f"), ("b", "x"), ("b", "f")}
+    got = {(r.module, r.name): (r.origin, r.target, r.status) for r in modules.resolve(s, a).collect()}
+    assert got["a", "f"] == ("e", "f", "resolved") and got["a", "path"][2] == "external" and got["a", "h"][2] == "unresolved" and got["a", "gone"][2] == "unresolved"
+
+
+def test_recall(spark):
+    code = "def load_thing(x):\n    return x + {}\n"
+    m = spark.createDataFrame([(str(i), "src/a.py", code.format(i), None, "2024-01-05T00:00:00Z") for i in range(6)] + [("z", "other/b.py", "class Unrelated:\n    pass\n", None, "junk")], "id string, file_path string, new_code string, context string, timestamp string")
+    p = spark.createDataFrame([(1, "src/a.py", "def load_thing(y):\n    return y\n", "Edit"), (2, "q.py", "zzz", "Write")], "change_id long, file_path string, new_code string, tool_type string")
+    r = recall.recall(m, p, F.lit("2024-01-06 00:00:00+00:00").cast("timestamp"), F.lit("src"))
+    got = {x.query_id: x for x in r.collect()}
+    assert set(got) == {1} and got[1].groups == 1 and "Similar occurrences: 6" in got[1].text
+    assert recall.hook_text(r, p).first().text.startswith('<memory context="You are editing a.py">')
+
+
+def test_config_and_cli(spark, tmp_path, capsys):
+    (tmp_path / "c.yaml").write_text("search_limit: 9\nmax_tokens: 77\nbad: 1\n")
+    c = config.load(str(tmp_path / "c.yaml"), {"CODESTRATA_MAX_TOKENS": "88", "CODESTRATA_BATCH_SIZE": "x"})
+    assert (c.search_limit, c.max_tokens, c.batch_size) == (9, 88, 32)
+    from tests.conftest import SF
+
+    for argv in (["stats"], ["recent", "-l", "3"], ["search", "signal parser", "-p", "/"], ["hotspots", "--as-of", "2025-06-15T12:00:00Z"], ["files", "--tier", "gold", "--as-of", "2025-06-15T12:00:00Z"], ["churn", "nofile"], ["churn", "nofile", "-H"], ["churn", "nofile", "-f"]):
+        assert cli.main(["--store", SF, "--json", *argv]) == 0
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/s.jsonl").write_text(json.dumps({"tool": "Write", "input": {"file_path": "n.py", "content": "x = 1\n"}, "timestamp": "2024-01-01T00:00:00Z"}) + "\n")
+    assert cli.main(["--store", SF, "ingest", str(tmp_path / "t"), str(tmp_path / "new")]) == 0
+    (row,) = spark.read.parquet(str(tmp_path / "new")).collect()
+    assert row.file_path == "n.py" and len(row.embedding) == 384
+
+
+def test_notifications_keep_their_distance(spark):
+    rows = [("e", i, t) for i, t in enumerate([0, 30, 59, 60, 61, 130])]
+    df = spark.createDataFrame(rows, "k string, i int, t long").withColumn("t", F.timestamp_seconds("t"))
+    assert [r.accepted for r in backfill.notify(df, "k", "t", "i").orderBy("i").collect()] == [True, False, False, True, False, True]
