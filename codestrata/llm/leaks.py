@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.session import written
+
 WORD = re.compile(r"[^\W_]+")
 FORMAT = re.compile("[" + "".join(re.escape(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cf") + "]")
 SAMPLE = 16
@@ -277,7 +279,7 @@ def _report(docs: list, ids: list, phrases: Phrases, spans: bool) -> pd.DataFram
     return pd.DataFrame([f[:3] for f in found], columns=["doc_id", "item_id", "spans"])
 
 
-def removal_spans(documents: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+def removal_spans(documents: DataFrame, items: DataFrame, n: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
     """(doc_id, items, spans, clean): the leaked items of each document, the merged
     spans to remove and the text without them. Documents without leaks have no row.
 
@@ -293,11 +295,13 @@ def removal_spans(documents: DataFrame, items: DataFrame, n: int = 10) -> DataFr
             F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    grouped = grouped.withColumn("spans", merged)
+    grouped = written(grouped.withColumn("spans", merged), "leaks-spans")
+    # texts stay where they are unless very many documents leak
+    grouped = F.broadcast(grouped) if grouped.count() <= broadcast_rows else grouped
     cut = F.aggregate(
         "spans",
         F.struct(F.lit("").alias("t"), F.lit(0).cast("bigint").alias("at")),
         lambda acc, x: F.struct(F.concat(acc["t"], F.substring(F.col("text"), acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int"))).alias("t"), x["end"].alias("at")),
         lambda acc: F.concat(acc["t"], F.substring(F.col("text"), acc["at"].cast("int") + 1, F.length("text"))),
     )
-    return grouped.join(documents.select(F.col("doc_id").cast("bigint"), "text"), "doc_id").select("doc_id", "items", "spans", cut.alias("clean"))
+    return documents.select(F.col("doc_id").cast("bigint"), "text").join(grouped, "doc_id").select("doc_id", "items", "spans", cut.alias("clean"))
