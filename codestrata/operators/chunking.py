@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,10 +96,41 @@ def similarity(a: dict, b: dict) -> float:
     return 0.7 * code + 0.2 * path_similarity(a["path"], b["path"]) + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
 
 
-def _bound(a: dict, b: dict) -> float:
-    """An upper bound of :func:`similarity` from lengths alone, so most pairs need no comparison."""
-    n = len(a["norm"]) + len(b["norm"])
-    return 0.7 * (2 * min(len(a["norm"]), len(b["norm"])) / n if n else 1.0) + 0.2 * path_similarity(a["path"], b["path"]) + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
+def letter_counts(texts: list[str]) -> np.ndarray:
+    """How often each text has each character (those beyond ASCII together)."""
+    out = np.zeros((len(texts), 129), np.int32)
+    for i, t in enumerate(texts):
+        if t:
+            out[i] = np.bincount(np.minimum(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), 128), minlength=129)
+    return out
+
+
+def greedy(items: list[dict], threshold: float) -> list[int]:
+    """Group numbers from 1: each item that has none takes all later ones that are like it.
+
+    Characters in common bound the ratio from above, for all others at once, so only
+    pairs that may pass are aligned.
+    """
+    counts = letter_counts([x["norm"] for x in items])
+    size = counts.sum(1)
+    group = np.zeros(len(items), int)
+    n = 0
+    for i, a in enumerate(items):
+        if group[i]:
+            continue
+        n += 1
+        group[i] = n
+        rest = i + 1 + np.flatnonzero(group[i + 1 :] == 0)
+        if not len(rest):
+            break
+        both = np.maximum(size[i] + size[rest], 1)
+        most = np.where(size[i] + size[rest] == 0, 1.0, 2 * np.minimum(counts[i], counts[rest]).sum(1) / both)
+        for j, ratio in zip(rest.tolist(), most.tolist(), strict=True):
+            b = items[j]
+            other = 0.2 * path_similarity(a["path"], b["path"]) + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
+            if 0.7 * ratio + other >= threshold and (a["norm"] == b["norm"] or similarity(a, b) >= threshold):
+                group[j] = n
+    return group.tolist()
 
 
 def group_snippets(df: DataFrame, query: str, key: str, path: str, code: str, kind: Column, score: Column, threshold: float = 0.7, most: int = 50) -> DataFrame:
@@ -113,18 +146,9 @@ def group_snippets(df: DataFrame, query: str, key: str, path: str, code: str, ki
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         items = pdf.sort_values("rank").to_dict("records")
-        group: dict[int, int] = {}
-        n = 0
-        for i, a in enumerate(items):
-            if i in group:
-                continue
-            n += 1
-            group[i] = n
-            for j in range(i + 1, len(items)):
-                if j not in group and _bound(a, items[j]) >= threshold and similarity(a, items[j]) >= threshold:
-                    group[j] = n
-        sizes = pd.Series(group).value_counts()
-        return pd.DataFrame([(x[query], x[key], group[i], int(sizes[group[i]])) for i, x in enumerate(items)], columns=[query, key, "group_no", "size"])
+        group = greedy(items, threshold)
+        sizes = Counter(group)
+        return pd.DataFrame([(x[query], x[key], g, sizes[g]) for x, g in zip(items, group, strict=True)], columns=[query, key, "group_no", "size"])
 
     return s.groupBy(query).applyInPandas(run, f"{query} {qt}, {key} {kt}, group_no int, size int")
 

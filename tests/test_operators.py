@@ -334,3 +334,13 @@ def test_notifications_keep_their_distance(spark):
     rows = [("e", i, t) for i, t in enumerate([0, 30, 59, 60, 61, 130])]
     df = spark.createDataFrame(rows, "k string, i int, t long").withColumn("t", F.timestamp_seconds("t"))
     assert [r.accepted for r in backfill.notify(df, "k", "t", "i").orderBy("i").collect()] == [True, False, False, True, False, True]
+
+
+def test_written_and_cut(spark):
+    from codestrata.session import cut, release, written
+
+    df = spark.range(10).withColumn("x", F.array("id"))
+    w = written(df, "t")
+    assert sorted(r.id for r in w.collect()) == list(range(10)) and w.columns == df.columns
+    assert cut(df).where("id > 4").count() == 5
+    assert release(spark) >= 1 and release(spark) == 0
