@@ -19,10 +19,10 @@ def pending_terms(pending: DataFrame) -> DataFrame:
 
 def score_chunks(results: DataFrame, as_of: Column, root: Column, semantic: Column | None = None) -> DataFrame:
     """Chunks of results (query_id, id, file_path, new_code, at, current) with their relevance; weak ones are dropped."""
-    keyed = results.withColumn("rid", F.concat_ws("|", "query_id", "id"))
-    parts = chunking.chunks(keyed, "rid", "file_path", "new_code")
-    info = keyed.select("rid", "query_id", "id", "file_path", "at", "current", (F.lit(None).cast("double") if semantic is None else semantic).alias("sem"))
-    s = parts.join(info, "rid")
+    # a row found by many queries is chunked once
+    parts = chunking.chunks(results.dropDuplicates(["id"]), "id", "file_path", "new_code")
+    info = results.select(F.concat_ws("|", "query_id", "id").alias("rid"), "query_id", "id", "file_path", "at", "current", (F.lit(None).cast("double") if semantic is None else semantic).alias("sem"))
+    s = info.join(parts, "id")
     score = relevance.combine(relevance.recency(F.col("at"), as_of), relevance.proximity(F.col("file_path"), F.col("current")), F.coalesce("sem", F.lit(0.5)), relevance.project(F.col("file_path"), root))
     return s.withColumn("score", F.round(score, 6)).where(F.col("score") >= relevance.LEAST)
 
