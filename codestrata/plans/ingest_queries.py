@@ -92,4 +92,9 @@ ORACLE = {
   SELECT id, extension, CASE WHEN {" OR ".join(f"contains(file_path, '{s}')" for s in code_filter.SKIP_PATHS)} THEN false WHEN contains(b, '.min.') THEN false WHEN b IN ({_list(code_filter.NAMES)}) THEN true
   WHEN extension IN ({_list(code_filter.SKIP)}) THEN false WHEN extension IN ({_list(code_filter.CODE)}) THEN true WHEN new_code IS NULL THEN false ELSE {_looks('new_code')} END AS is_code FROM y""",
     "code_filter_content": f"SELECT doc_id, ({_score('text')})::INTEGER AS score, {_looks('text')} AS is_code FROM documents WHERE text IS NOT NULL",
+    "code_symbols": "SELECT id, array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(new_code, '{p}', 1)" for p in symbols.DEFINITIONS) + "]))), ',') AS symbols FROM code_memory",
+    "search_terms": "WITH t AS (SELECT id, flatten([" + ", ".join(
+        f"list_transform(list_zip(regexp_extract_all(new_code, '{p}', 1), regexp_extract_all(new_code, '{p}', 2)), lambda x: CASE WHEN x[1] <> '' THEN x[1] ELSE x[2] END)" if g == 2 else f"regexp_extract_all(new_code, '{p}', 1)" for p, g in symbols.SEARCHED
+    ) + r", [CASE WHEN regexp_matches(string_split(file_path, '/')[-1], '^.+\.[^.]*$') THEN regexp_replace(string_split(file_path, '/')[-1], '\.[^.]*$', '') ELSE string_split(file_path, '/')[-1] END]]) AS l FROM code_memory)"
+    " SELECT id, array_to_string(list_filter(list_filter(l, lambda x, i: list_position(l, x) = i), lambda x: length(x) > 2)[1:8], ' ') AS terms FROM t",
 }
