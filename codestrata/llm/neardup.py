@@ -340,17 +340,19 @@ def similar_classes(sets: DataFrame, t: float, block: int = 2000, broadcast_rows
     return own.groupBy("owner", "x", "y").cogroup(moved.groupBy("o", "i", "j")).applyInArrow(verify, "a binary, b binary, common int, similarity double")
 
 
-def found(df: DataFrame, key: str = "id", codes: tuple[str, ...] = ("new_code", "old_code"), t: float = 0.7, n: int = 4) -> DataFrame:
+def found(df: DataFrame, key: str = "id", codes: tuple[str, ...] = ("new_code", "old_code"), t: float = 0.7, n: int = 4, block: int = 1000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of records with a similar code each."""
     members, sets = classes(df, key, list(codes), n)
     links = cut(similar_classes(sets, t).select("a", "b"))
     m = members.select("cls", F.col(key).alias("k"))
     x, y = m.withColumnRenamed("cls", "a").withColumnRenamed("k", "ka"), m.withColumnRenamed("cls", "b").withColumnRenamed("k", "kb")
     apart = links.join(x, "a").join(y, "b").select("ka", "kb")
-    # copies of one code: every pair is a case by definition
-    shared = m.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")
-    own = m.join(shared, "cls", "left_semi")
-    same = own.select("cls", F.col("k").alias("ka")).join(own.select("cls", F.col("k").alias("kb")), "cls").where("ka < kb").select("ka", "kb")
+    # copies of one code: every pair is a case by definition; large classes in pairs of blocks
+    sizes = m.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    own = m.join(sizes, "cls").withColumn("p", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int"))
+    left = own.select("cls", F.col("p").alias("x"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("y"), F.col("k").alias("ka"))
+    right = own.select("cls", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("x"), F.col("p").alias("y"), F.col("k").alias("kb"))
+    same = left.join(right, ["cls", "x", "y"]).where("x < y or ka < kb").select("ka", "kb")
     pairs = apart.unionByName(same).where("ka <> kb")
     return pairs.select(F.least("ka", "kb").alias("id_a"), F.greatest("ka", "kb").alias("id_b")).distinct()
 
