@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from codestrata.functions import paths
 from codestrata.operators import chunking, churn, classify, index, modules, recall
 from codestrata.plans.churn_queries import AS_OF
-from codestrata.session import table, written
+from codestrata.session import spread, table, written
 
 
 def _cm(spark: SparkSession, d: str) -> DataFrame:
@@ -17,7 +17,7 @@ def _cm(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(_cm(spark, d), "id", "file_path", "new_code").drop("dependencies")
+    return chunking.chunks(spread(_cm(spark, d).select("id", "file_path", "new_code")), "id", "file_path", "new_code").drop("dependencies")
 
 
 def generic_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -25,7 +25,7 @@ def generic_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def change_classes(spark: SparkSession, d: str) -> DataFrame:
-    return classify.changes(table(spark, d, "code_change"), "change_id")
+    return classify.changes(spread(table(spark, d, "code_change").select("change_id", "file_path", "old_code", "new_code")), "change_id")
 
 
 def change_history(spark: SparkSession, d: str) -> DataFrame:

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import language as L
-from codestrata.session import table
+from codestrata.session import spread, table
 
 
 def language_memory(spark: SparkSession, d: str) -> DataFrame:
-    r = L.detect(table(spark, d, "code_memory").select("id", "file_path", "new_code"), "file_path", "new_code")
+    r = L.detect(spread(table(spark, d, "code_memory").select("id", "file_path", "new_code")), "file_path", "new_code")
     return r.select("id", "language", "confidence", "method", "is_code")
 
 
 def language_documents(spark: SparkSession, d: str) -> DataFrame:
     """Documents by content alone."""
-    r = L.detect(table(spark, d, "documents").select("doc_id", "text"), None, "text")
+    r = L.detect(spread(table(spark, d, "documents").select("doc_id", "text")), None, "text")
     return r.select("doc_id", "language", "confidence", "is_code")
 
 
