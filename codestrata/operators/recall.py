@@ -48,7 +48,7 @@ def summarise(scored: DataFrame, threshold: float = 0.7, shown: int = SHOWN) ->
 def inject(entries: DataFrame, tier: str = "standard") -> DataFrame:
     """(query_id, snippets, groups, tokens, text): entries in order while they fit, larger ones skipped."""
     e = entries.withColumn("tokens", paths.estimate_tokens(F.col("text"), "summary"))
-    taken = budget.skip_fold(e, "query_id", ["rank"], F.col("tokens"), budget.TIERS[tier], keep=SHOWN)
+    taken = budget.skip_fold(e, "query_id", ["rank"], F.col("tokens"), budget.TIERS[tier])
     k = e.join(taken.select("query_id", F.col("n").alias("rank")), ["query_id", "rank"])
     out = k.groupBy("query_id").agg(F.count_if(F.col("size") < GROUPED).alias("snippets"), F.count_if(F.col("size") >= GROUPED).alias("groups"), F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["text"]), "\n\n")

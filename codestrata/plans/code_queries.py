@@ -68,7 +68,7 @@ def injections(spark: SparkSession, d: str) -> DataFrame:
     s = cm.select("session_id", "id", (-F.round(score, 6)).alias("o"), chunking.render(F.col("file_path"), F.col("new_code"), score, F.col("context")).alias("markdown"), paths.estimate_block(F.col("new_code")).alias("tokens"))
     taken = budget.skip_fold(s, "session_id", ["o", "id"], F.col("tokens"), budget.TIERS["standard"] - budget.OVERHEAD, budget.MOST_SNIPPET)
     w = Window.partitionBy("session_id").orderBy("o", "id")
-    top = s.withColumn("n", F.row_number().over(w)).where(F.col("n") <= 1000).join(taken.select("session_id", "n"), ["session_id", "n"])
+    top = s.withColumn("n", F.row_number().over(w)).join(taken.select("session_id", "n"), ["session_id", "n"])
     out = top.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("n", "markdown"))).alias("l"), F.sum("tokens").alias("tokens"))
     return out.select("session_id", F.size("l").alias("snippets"), "tokens", F.array_join(F.transform("l", lambda x: x["markdown"]), "\n\n").alias("text"))
 

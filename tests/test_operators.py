@@ -139,6 +139,30 @@ def test_budget(spark):
     assert est(kept) <= 60 < est(kept + "\n" + "x" * 20) and r.n is None and r.w == code
 
 
+def test_budget_of_long_groups(spark):
+    # over 1000 rows that do not fit, then small ones; sizes in any mixture against the plain loop
+    sizes = {"big": [600] * 1500 + [40, 7], "mixed": [(i * 7919) % 530 for i in range(3000)] + [1, 2, 0, 3], "tail": [490] * 3 + [431] * 1200 + [5] * 3}
+    df = spark.createDataFrame([(g, i, t) for g, l in sizes.items() for i, t in enumerate(l)], "g string, i int, t int")
+    want = set()
+    for g, l in sizes.items():
+        left = 1900
+        for n, t in enumerate(l, 1):
+            if t <= min(left, 500):
+                left -= t
+                want.add((g, n, t))
+    assert {tuple(r) for r in budget.skip_fold(df, "g", ["i"], F.col("t"), 1900, 500).collect()} == want
+    assert ("big", 1501, 40) in want and ("tail", 1204, 5) in want
+
+
+def test_injections_of_a_long_session(spark, tmp_path):
+    from codestrata.plans import code_queries
+
+    rows = [(f"{i:05d}", "s", "/srv/work/kestrel-relay/engine/posting_loop.py", "x" * 2000, None) for i in range(1100)] + [("99999", "s", "/srv/work/kestrel-relay/engine/posting_loop.py", "last = 1", None)]
+    spark.createDataFrame(rows, "id string, session_id string, file_path string, new_code string, context string").write.parquet(f"{tmp_path}/code_memory.parquet")
+    got = code_queries.injections(spark, str(tmp_path)).collect()
+    assert len(got) == 1 and got[0].snippets == 1 and "last = 1" in got[0].text
+
+
 def test_relevance(spark):
     df = spark.createDataFrame([("a/b/c.py", "a/b/c.py"), ("a/b/d.py", "a/b/c.py"), ("a/x/d.py", "a/b/c.py"), ("a/q/r/s/d.py", "a/b/c.py"), (None, "a"), ("z.py", "y.py")], "p string, c string")
     got = [r[0] for r in df.select(F.round(relevance.proximity(F.col("p"), F.col("c")), 6)).collect()]
