@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -90,9 +90,12 @@ def path_similarity(a: str, b: str) -> float:
     return n / max(len(x), len(y))
 
 
-def similarity(a: dict, b: dict) -> float:
-    """0.7 code + 0.2 path ending + 0.1 kind (half of it if they differ); codes are normalised."""
-    code = SequenceMatcher(None, a["norm"], b["norm"]).ratio()
+def similarity(a: dict, b: dict, matcher: SequenceMatcher | None = None) -> float:
+    """0.7 code + 0.2 path ending + 0.1 kind (half of it if they differ); codes are normalised.
+    A ``matcher`` of ``b`` may serve for many ``a``."""
+    matcher = matcher or SequenceMatcher(None, "", b["norm"])
+    matcher.set_seq1(a["norm"])
+    code = matcher.ratio()
     return 0.7 * code + 0.2 * path_similarity(a["path"], b["path"]) + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
 
 
@@ -105,52 +108,93 @@ def letter_counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def greedy(items: list[dict], threshold: float) -> list[int]:
-    """Group numbers from 1: each item that has none takes all later ones that are like it.
+def places(text: str) -> dict[str, int]:
+    """Where each character stands, as the bits of a number."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
 
-    Characters in common bound the ratio from above, for all others at once, so only
-    pairs that may pass are aligned.
-    """
-    counts = letter_counts([x["norm"] for x in items])
-    size = counts.sum(1)
-    group = np.zeros(len(items), int)
-    n = 0
-    for i, a in enumerate(items):
-        if group[i]:
-            continue
-        n += 1
-        group[i] = n
-        rest = i + 1 + np.flatnonzero(group[i + 1 :] == 0)
-        if not len(rest):
-            break
-        both = np.maximum(size[i] + size[rest], 1)
-        most = np.where(size[i] + size[rest] == 0, 1.0, 2 * np.minimum(counts[i], counts[rest]).sum(1) / both)
-        for j, ratio in zip(rest.tolist(), most.tolist(), strict=True):
-            b = items[j]
-            other = 0.2 * path_similarity(a["path"], b["path"]) + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
-            if 0.7 * ratio + other >= threshold and (a["norm"] == b["norm"] or similarity(a, b) >= threshold):
-                group[j] = n
-    return group.tolist()
+
+def common_length(a: str, b: str, at: dict[str, int] | None = None) -> int:
+    """Length of the longest common subsequence, all of ``b`` (its ``places``) at once."""
+    at = places(b) if at is None else at
+    v = full = (1 << len(b)) - 1
+    for c in a:
+        u = v & at.get(c, 0)
+        v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
 
 
-def group_snippets(df: DataFrame, query: str, key: str, path: str, code: str, kind: Column, score: Column, threshold: float = 0.7, most: int = 50) -> DataFrame:
-    """(query, key, group_no, size): greedy groups of the snippets of each query by falling score.
+class Grouper:
+    """Greedy groups of snippets that come by falling score; ``add`` gives the group number, from 1.
 
-    The snippets of a query are the ``most`` best ones (a search result, as the
-    reference operator takes; cut by rank with partial group limits), so a group in a task is
-    bounded whatever the number of rows.
+    A snippet belongs to the first representative it is like, and is the next one if there is
+    none: the same groups as when each representative in turn takes all later ones like it, but
+    only representatives are kept, and of the others a digest. Characters in common, then the longest common
+    subsequence bound the ratio from above, so only pairs that may pass are aligned.
     """
-    w = Window.partitionBy(query).orderBy(F.desc(score), key)
-    s = df.select(query, key, F.col(path).alias("path"), normalise_shape(F.col(code)).alias("norm"), kind.alias("kind"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= most)
-    qt, kt = s.schema[query].dataType.simpleString(), s.schema[key].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        items = pdf.sort_values("rank").to_dict("records")
-        group = greedy(items, threshold)
-        sizes = Counter(group)
-        return pd.DataFrame([(x[query], x[key], g, sizes[g]) for x, g in zip(items, group, strict=True)], columns=[query, key, "group_no", "size"])
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+        self.representatives: list[dict] = []
+        self.counts, self.size = np.zeros((16, 129), np.int32), np.zeros(16, np.int64)
+        self.known: dict[bytes, int] = {}
+
+    def add(self, b: dict) -> int:
+        digest = md5(repr((b["norm"], b["path"], b["kind"])).encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
+        if digest not in self.known:  # equal snippets meet the same representatives
+            self.known[digest] = self._find(b)
+        return self.known[digest]
+
+    def _find(self, b: dict) -> int:
+        n = len(self.representatives)
+        count = letter_counts([b["norm"]])[0]
+        both = self.size[:n] + len(b["norm"])
+        most = np.where(both == 0, 1.0, 2 * np.minimum(self.counts[:n], count).sum(1) / np.maximum(both, 1))
+        # a little below the threshold: bounds are rounded otherwise than similarities
+        low = self.threshold - 1e-9
+        at, matcher = None, None
+        for i in np.flatnonzero(0.7 * most + 0.3 >= low).tolist():
+            a = self.representatives[i]
+            other = 0.2 * path_similarity(a["path"], b["path"]) + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
+            if 0.7 * most[i] + other < low:
+                continue
+            at = at or places(b["norm"])
+            if a["norm"] != b["norm"] and 0.7 * 2 * common_length(a["norm"], b["norm"], at) / both[i] + other < low:
+                continue
+            matcher = matcher or SequenceMatcher(None, "", b["norm"])
+            if similarity(a, b, matcher) >= self.threshold:
+                return i + 1
+        if n == len(self.counts):
+            self.counts, self.size = np.concatenate([self.counts, np.zeros_like(self.counts)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.counts[n], self.size[n] = count, len(b["norm"])
+        self.representatives.append(b)
+        return n + 1
+
+
+def group_snippets(df: DataFrame, query: str, key: str, path: str, code: str, kind: Column, score: Column, threshold: float = 0.7) -> DataFrame:
+    """(query, key, group_no, size): greedy groups of all snippets of each query by falling score.
+
+    Rows of a query come sorted and pass in batches, whatever their number; a task keeps
+    the representatives and digests.
+    """
+    qt, kt = df.schema[query].dataType.simpleString(), df.schema[key].dataType.simpleString()
+    s = df.select(query, key, F.col(path).alias("path"), F.coalesce(normalise_shape(F.col(code)), F.lit("")).alias("norm"), kind.alias("kind"), score.alias("__score"))
+    s = s.repartition(query).sortWithinPartitions(query, F.desc("__score"), key).drop("__score")
 
-    return s.groupBy(query).applyInPandas(run, f"{query} {qt}, {key} {kt}, group_no int, size int")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, grouper = None, None
+        for pdf in batches:
+            group = []
+            for x in pdf.to_dict("records"):
+                if grouper is None or x[query] != current:
+                    current, grouper = x[query], Grouper(threshold)
+                group.append(grouper.add(x))
+            yield pd.DataFrame({query: pdf[query], key: pdf[key], "group_no": group})
+
+    g = s.mapInPandas(run, f"{query} {qt}, {key} {kt}, group_no int")
+    return g.withColumn("size", F.count("*").over(Window.partitionBy(query, "group_no")).cast("int"))
 
 
 # How a group is called by its most frequent kind.

@@ -128,6 +128,35 @@ def test_groups_equal_brute_force(spark):
     assert got == want
 
 
+def test_groups_of_long_queries(spark):
+    # every row of a query has a group, as by brute force over all pairs
+    import random
+
+    r = random.Random(3)
+    words = ["load", "keep", "rope", "badger", "ledger", "yield", "post", "fold"]
+    codes = ["\n".join(f"{r.choice(words)} = {r.choice(words)}({r.choice(words)})" for _ in range(r.randint(1, 4))) for _ in range(150)] + ["", ""]
+    df = spark.createDataFrame([("q", i, f"p/{'ab'[i % 2]}.py", c, "xy"[i % 3 == 0], -i) for i, c in enumerate(codes)], "q string, id int, path string, code string, kind string, s int")
+    got = {x.id: (x.group_no, x.size) for x in chunking.group_snippets(df, "q", "id", "path", "code", F.col("kind"), F.col("s")).collect()}
+    rows = df.orderBy("id").select("path", "kind", paths.normalise_shape(F.col("code")).alias("norm")).collect()
+    want, n = {}, 0
+    for i in range(len(rows)):
+        if i not in want:
+            n += 1
+            want[i] = n
+            for j in range(i + 1, len(rows)):
+                if j not in want and chunking.similarity(rows[i], rows[j]) >= 0.7:
+                    want[j] = n
+    size = Counter(want.values())
+    assert got == {i: (g, size[g]) for i, g in want.items()} and 20 < n < 150 and max(size.values()) > 1
+    for _ in range(50):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 90))) for _ in "ab")
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert chunking.common_length(a, b) == t[len(a)][len(b)]
+
+
 def test_budget(spark):
     df = spark.createDataFrame([("g", i, t) for i, t in enumerate([100, 300, 50, 400, 60])], "g string, i int, t int")
     got = budget.skip_fold(df, "g", ["i"], F.col("t"), 450).orderBy("n").collect()
