@@ -1,5 +1,6 @@
-"""Graph queries. The call graph of the tests: a supplier calls the supplier its
-largest first order lines point to."""
+"""Graph queries. The ``graph_*`` queries have SQL, which fixes their graph: a supplier
+calls the supplier its largest first order lines point to. The ``call_graph_*`` queries
+run the same operators over every call edge of the symbol index, without any filter."""
 
 from __future__ import annotations
 
@@ -7,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import graph
-from codestrata.session import table
+from codestrata.session import table, written
 
 
 def _e(spark: SparkSession, d: str) -> DataFrame:
@@ -82,7 +83,72 @@ def call_sites(spark: SparkSession, d: str) -> DataFrame:
     return h.groupBy("caller", "callee").agg(F.count("*").alias("sites"))
 
 
-QUERIES = {f.__name__: f for f in (graph_degrees, graph_entry_points, graph_leaves, graph_summary, graph_closure, graph_callers, graph_chains, graph_components, graph_recursive, graph_merge, graph_dot, call_sites)}
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """All call edges of the index; parsed and written once, as the operators read them often."""
+    from codestrata.plans import code_queries
+
+    return written(graph.edges(code_queries.index_calls(spark, d), "src", "dst"), "call-edges")
+
+
+def _first(e: DataFrame) -> DataFrame:
+    return e.agg(F.min("src").alias("node")).where("node is not null")
+
+
+def call_graph_degrees(spark: SparkSession, d: str) -> DataFrame:
+    return graph.degrees(_calls(spark, d))
+
+
+def call_graph_entry_points(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entry_points(_calls(spark, d))
+
+
+def call_graph_leaves(spark: SparkSession, d: str) -> DataFrame:
+    return graph.leaves(_calls(spark, d))
+
+
+def call_graph_summary(spark: SparkSession, d: str) -> DataFrame:
+    return graph.summary(_calls(spark, d))
+
+
+def call_graph_closure(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure(_calls(spark, d)).groupBy("src").agg(F.count("*").alias("reached"))
+
+
+def call_graph_callers(spark: SparkSession, d: str) -> DataFrame:
+    """Transitive callers of the name most call (the largest on a tie)."""
+    e = _calls(spark, d)
+    called = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).agg(F.max_by("node", F.struct("n", "node")).alias("node")).where("node is not null")
+    return graph.closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), called).select(F.col("dst").alias("caller"))
+
+
+def call_graph_chains(spark: SparkSession, d: str) -> DataFrame:
+    e = _calls(spark, d)
+    return graph.chains(e, _first(e)).select("dst", F.col("nodes").cast("bigint").alias("nodes"), F.array_join("path", ">").alias("path"))
+
+
+def call_graph_components(spark: SparkSession, d: str) -> DataFrame:
+    c = graph.components(_calls(spark, d))
+    return c.groupBy("component").agg(F.count("*").alias("members"), F.min("node").alias("least"))
+
+
+def call_graph_recursive(spark: SparkSession, d: str) -> DataFrame:
+    return graph.recursive(_calls(spark, d))
+
+
+def call_graph_merge(spark: SparkSession, d: str) -> DataFrame:
+    """All calls together with all imports between modules."""
+    from codestrata.plans import code_queries
+
+    return graph.merge(_calls(spark, d), graph.edges(code_queries.index_imports(spark, d), "src", "dst"))
+
+
+def call_graph_dot(spark: SparkSession, d: str) -> DataFrame:
+    e = _calls(spark, d)
+    return graph.dot_lines(e, graph.leaves(e)).select("line")
+
+
+QUERIES = {f.__name__: f for f in (graph_degrees, graph_entry_points, graph_leaves, graph_summary, graph_closure, graph_callers, graph_chains, graph_components, graph_recursive, graph_merge, graph_dot, call_sites,
+    call_graph_degrees, call_graph_entry_points, call_graph_leaves, call_graph_summary, call_graph_closure, call_graph_callers, call_graph_chains, call_graph_components, call_graph_recursive, call_graph_merge, call_graph_dot)}
 
 _E = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % (SELECT count(*) FROM supplier) + 1 AS dst FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1)"
 _N = "n AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"

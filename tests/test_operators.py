@@ -128,6 +128,28 @@ def test_groups_equal_brute_force(spark):
     assert got == want
 
 
+def test_call_graph_of_whole_index(spark, tmp_path):
+    # every call edge of the files reaches the graph operators; against brute force
+    from codestrata.plans import registry
+
+    code = {"m.py": "import m\nimport n\ndef f():\n    m.g()\ndef g():\n    m.f()\n    n.h()\n", "n.py": "import n\ndef h():\n    n.k()\ndef k():\n    print(1)\ndef r():\n    n.r()\n"}
+    spark.createDataFrame([(p, p, c, "2025-01-01") for p, c in code.items()], "id string, file_path string, new_code string, timestamp string").write.parquet(f"{tmp_path}/code_memory.parquet")
+    q = {n: f(spark, str(tmp_path)).collect() for n, f in registry.queries().items() if n.startswith("call_graph_")}
+    e = {(r.src, r.dst) for r in registry.queries()["index_calls"](spark, str(tmp_path)).collect()}
+    assert e == {("m.f", "m.g"), ("m.g", "m.f"), ("m.g", "n.h"), ("n.h", "n.k"), ("n.k", "print"), ("n.r", "n.r")}
+    c = set(e)
+    while more := {(a, d) for a, b in c for x, d in e if b == x} - c:
+        c |= more
+    assert {(r.src, r.reached) for r in q["call_graph_closure"]} == set(Counter(a for a, _ in c).items())
+    assert {r.node for r in q["call_graph_recursive"]} == {a for a, b in c if a == b} == {"m.f", "m.g", "n.r"}
+    assert {(r.component, r.members) for r in q["call_graph_components"]} == {("m.g", 2), ("n.h", 1), ("n.k", 1), ("print", 1), ("n.r", 1)}
+    assert {r.caller for r in q["call_graph_callers"]} == {a for a, b in c if b == "print"}  # called once as all others, the largest name
+    assert {r.dst: r.path for r in q["call_graph_chains"]}["print"] == "m.f>m.g>n.h>n.k>print"
+    assert q["call_graph_summary"][0].edges == len(e) and len(q["call_graph_degrees"]) == 6
+    assert {r.node for r in q["call_graph_leaves"]} == {"print"} and not q["call_graph_entry_points"]
+    assert {(r.src, r.dst) for r in q["call_graph_merge"]} >= e | {("m", "n")} and len(q["call_graph_dot"]) == len(e) + 1
+
+
 def test_groups_of_long_queries(spark):
     # every row of a query has a group, as by brute force over all pairs
     import random
