@@ -190,6 +190,33 @@ def test_budget(spark):
     assert est(kept) <= 60 < est(kept + "\n" + "x" * 20) and r.n is None and r.w == code
 
 
+def test_budget_truncating(spark):
+    import random
+
+    r = random.Random(5)
+    est = lambda t: (int(len(t) / 4 * 1.1) + 1 if t else 0) + 4
+    make = lambda lines, width: "\n".join("x" * r.randint(0, width) for _ in range(lines))
+    codes = {"a": [make(200, 60), make(5, 40), "y" * 3000, "", "\n" + "z" * 9000] + [make(r.randint(1, 30), 80) for _ in range(60)], "b": ["w" * 8000] * 1200 + ["k = 1"] * 40, "c": ["v" * 4000, make(300, 20)]}
+    want = set()
+    for g, l in codes.items():
+        left = 1900
+        for n, code in enumerate(l, 1):
+            if left < 50:
+                break
+            text = code
+            if est(code) > left:
+                parts = code.split("\n")
+                fits = [t for t in ("\n".join(parts[:i]) for i in range(1, len(parts) + 1)) if est(t) <= min(left, 500)]
+                if not fits or not fits[-1]:
+                    continue
+                text = fits[-1] + "\n# ... (truncated)"
+            left -= est(text)
+            want.add((g, n, est(text), text))
+    df = spark.createDataFrame([(g, i, c) for g, l in codes.items() for i, c in enumerate(l)], "g string, i int, c string")
+    got = {tuple(x) for x in budget.allocate_truncating(df, "g", ["i"], "c").collect()}
+    assert got == want and any(n > 1200 for _, n, _, _ in want) and any(t.endswith("(truncated)") for *_, t in want)
+
+
 def test_budget_of_long_groups(spark):
     # over 1000 rows that do not fit, then small ones; sizes in any mixture against the plain loop
     sizes = {"big": [600] * 1500 + [40, 7], "mixed": [(i * 7919) % 530 for i in range(3000)] + [1, 2, 0, 3], "tail": [490] * 3 + [431] * 1200 + [5] * 3}
