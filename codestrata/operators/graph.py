@@ -54,13 +54,13 @@ def summary(e: DataFrame) -> DataFrame:
     )
 
 
-def closure(e: DataFrame, start: DataFrame | None = None, most: int = 1000) -> DataFrame:
+def closure(e: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """(src, dst) for every dst reachable from src in one step or more; a node reaches
     itself only over a cycle. ``start`` (node) limits the sources."""
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("__n"))
     found = e if start is None else e.join(start.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
     found = new = cut(found.select("src", "dst"))
-    for _ in range(most):
+    while True:
         new = cut(new.join(step, "dst").select("src", F.col("__n").alias("dst")).distinct().join(found, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             break
@@ -93,7 +93,7 @@ def chains(e: DataFrame, start: DataFrame, most_nodes: int = 10) -> DataFrame:
     return found.select("src", "dst", F.size("path").alias("nodes"), "path")
 
 
-def components(e: DataFrame, most: int = 1000) -> DataFrame:
+def components(e: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their largest node.
 
     Forward colouring: every node takes the largest node that reaches it; the nodes
@@ -103,7 +103,7 @@ def components(e: DataFrame, most: int = 1000) -> DataFrame:
     rest = cut(e.where("src <> dst"))
     done = None
     left = cut(nodes(e))
-    for _ in range(most):
+    while True:
         while True:  # a node without a way in or out is a component of its own
             both = rest.select(F.col("src").alias("node")).distinct().join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
             single = cut(left.join(both, "node", "left_anti"))

@@ -123,7 +123,7 @@ def scope_at(positions: DataFrame, scopes: DataFrame) -> DataFrame:
     return hit.groupBy("pos_id").agg(F.min_by(F.struct("scope_id", "kind"), size).alias("s")).select("pos_id", "s.*")
 
 
-def scope_chains(scopes: DataFrame, most: int = 64) -> DataFrame:
+def scope_chains(scopes: DataFrame) -> DataFrame:
     """(file_path, scope_id, ancestor_id, depth): every scope with its ancestors, itself at 0.
 
     Parents come before children in a file, so the chain is folded within one
@@ -132,7 +132,7 @@ def scope_chains(scopes: DataFrame, most: int = 64) -> DataFrame:
     per = scopes.groupBy("file_path").agg(F.map_from_entries(F.collect_list(F.struct("scope_id", "parent_id"))).alias("up"), F.collect_list("scope_id").alias("ids"))
     one = per.select("file_path", "up", F.explode("ids").alias("scope_id"))
     chain = F.aggregate(
-        F.sequence(F.lit(1), F.lit(most)),
+        F.sequence(F.lit(1), F.size("up")),  # no chain is longer
         F.array(F.col("scope_id")),
         lambda acc, _: F.when(F.try_element_at(F.col("up"), F.element_at(acc, -1)).isNull(), acc).otherwise(F.concat(acc, F.array(F.try_element_at(F.col("up"), F.element_at(acc, -1))))),
     )

@@ -24,13 +24,13 @@ def defined(symbols: DataFrame) -> DataFrame:
     return s.select(module_name(F.col("file_path")).alias("module"), "name", "is_public").distinct()
 
 
-def star_names(symbols: DataFrame, all_names: DataFrame, most: int = 64) -> DataFrame:
+def star_names(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
     """(module, name, source): names that come in by stars, through chains of stars."""
     own = exported_names(symbols, all_names)
     stars = imports(symbols).where("original = '*' and source is not null").select("module", "source")
     new = cut(stars.join(own.select(F.col("module").alias("source"), "name"), "source").select("module", "name", "source").distinct())
     found = new
-    for _ in range(most):
+    while True:
         step = new.select(F.col("module").alias("source"), "name")
         new = cut(stars.join(step, "source").select("module", "name", "source").distinct().join(found.select("module", "name"), ["module", "name"], "left_anti"))
         if new.isEmpty():
@@ -48,7 +48,7 @@ def exported_names(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
     return listed.unionByName(rest)
 
 
-def resolve(symbols: DataFrame, all_names: DataFrame, most: int = 64) -> DataFrame:
+def resolve(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
     """(module, name, origin, target, status): where each imported name is defined.
 
     Each step follows one re-export or star. A name that comes back to a module it
@@ -63,7 +63,7 @@ def resolve(symbols: DataFrame, all_names: DataFrame, most: int = 64) -> DataFra
     here = symbols.select(module_name(F.col("file_path")).alias("source")).distinct()
     new = cut(links.withColumn("seen", F.array("module")))
     done = None
-    for _ in range(most):
+    while True:
         ok = new.join(known.withColumn("__k", F.lit(1)), ["source", "original"], "left")
         inside = ok.join(here.withColumn("__h", F.lit(1)), "source", "left")
         inside = cut(inside.withColumn("status", F.when(F.col("__k") == 1, "resolved").when(F.col("__h").isNull(), "external").when(F.array_contains("seen", F.col("source")), "unresolved")))

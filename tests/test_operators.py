@@ -150,6 +150,12 @@ def test_call_graph_of_whole_index(spark, tmp_path):
     assert {(r.src, r.dst) for r in q["call_graph_merge"]} >= e | {("m", "n")} and len(q["call_graph_dot"]) == len(e) + 1
 
 
+def test_deep_scopes(spark):
+    df = spark.createDataFrame([("a.py", i, i - 1 if i else None) for i in range(100)] + [("b.py", 0, None)], "file_path string, scope_id int, parent_id int")
+    got = {(r.file_path, r.scope_id, r.ancestor_id, r.depth) for r in index.scope_chains(df).collect()}
+    assert got == {("a.py", i, j, i - j) for i in range(100) for j in range(i + 1)} | {("b.py", 0, 0, 0)}
+
+
 def test_groups_of_long_queries(spark):
     # every row of a query has a group, as by brute force over all pairs
     import random
