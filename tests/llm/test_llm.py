@@ -161,12 +161,11 @@ def test_beliefs_equal_enumeration(spark):
     up = {d: d.rsplit("/", 1)[0] if "/" in d else "" for d in dirs[1:]}
     home = {"a": "p/q", "b": "p/q", "c": "p/r/gen", "d": "p"}
     ev = {i: provenance.row_evidence(p, c) for i, p, c in rows}
-    hint = {d: np.zeros(5) for d in dirs}
-    hint["p/r/gen"][provenance.GEN] = provenance.HINTS["gen"][1]
+    matrix = {d: provenance.MATRICES[0] for d in dirs} | {"p/r/gen": provenance.MATRICES[1 + list(provenance.NAMES).index("generated")]}
     total = {i: np.zeros(5) for i in home}
     for labels in itertools.product(range(5), repeat=len(dirs)):
         at = dict(zip(dirs, labels, strict=True))
-        w = provenance.PRIOR[at[""]] + sum(hint[d][at[d]] for d in dirs) + sum(provenance.DIR_GIVEN_DIR[at[u], at[d]] for d, u in up.items())
+        w = provenance.PRIOR[at[""]] + sum(matrix[d][at[u], at[d]] for d, u in up.items())
         parts = {i: provenance.ROW_GIVEN_DIR[at[home[i]]] + ev[i] for i in home}
         z = {i: np.log(np.exp(p).sum()) for i, p in parts.items()}
         for i in home:
@@ -176,6 +175,32 @@ def test_beliefs_equal_enumeration(spark):
         assert np.allclose([got[i][f"p_{x}"] for x in provenance.LABELS], want, atol=1e-6)
 
 
+def test_plain_rows_are_settled_by_the_tree(spark):
+    """A plain text takes the label of its siblings or of a telling directory above, not alone."""
+    banner = "# Code generated by tool. DO NOT EDIT.\n" + HAND
+    deep = "/".join(f"d{i}" for i in range(26))
+    rows = [(f"h{i}", f"srv/core/m{i}.py", HAND) for i in range(12)] + [("h99", "srv/out/alone.py", HAND)]
+    rows += [(f"g{i}", f"srv/stubs/s{i}.py", banner) for i in range(12)] + [("plain", "srv/stubs/plain.py", HAND)]
+    rows += [("below", "srv/vendor/a/b/x.py", HAND), ("deep", f"{deep}/vendor/lib/x.py", HAND)]
+    df = spark.createDataFrame(rows, "id string, file_path string, new_code string")
+    on = {r.id: r.label for r in provenance.beliefs(df).collect()}
+    off = {r.id: r.label for r in provenance.beliefs(df, propagate=False).collect()}
+    assert {k for k, v in on.items() if v != "handwritten"} == {f"g{i}" for i in range(12)} | {"plain", "below", "deep"}
+    assert (on["plain"], on["below"], on["deep"]) == ("generated", "vendored", "vendored")
+    assert {k for k, v in off.items() if v != "handwritten"} == {f"g{i}" for i in range(12)}
+
+
+def test_signs_of_the_whole_text():
+    licence = "".join(f"# line {i} of a long licence header\n" for i in range(40))
+    assert provenance.signs("a.py", licence + "# Code generated by tool. DO NOT EDIT.\n" + HAND)["banner"] == "head"
+    assert provenance.signs("a.go", "package x\n\nimport (\n// Code generated by tool. DO NOT EDIT.\n" + HAND)["banner"] == "head"
+    assert provenance.signs("a.py", HAND * 3 + "# generated by the tool when it runs\n" + HAND)["banner"] == "below"
+    assert provenance.signs("a.py", 'BANNER = "Code generated by %s"\n' + HAND)["banner"] == "none"
+    assert provenance.signs("a.c", "/*\n" + "  text\n" * 30 + "  Licensed under the terms of X\n*/\nint f();\n")["origin"] == "foreign"
+    for values in provenance.SIGNS.values():  # probabilities of each label add up to one
+        assert np.allclose(np.sum(list(values.values()), 0), 1)
+
+
 # --- p5 ---------------------------------------------------------------------------------
 
 
