@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +44,16 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (a single-machine test session) a temporary folder is made and kept in the
-    session for later calls.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    session is a local one (tests) a temporary folder is made, kept in the session for
+    later calls; on a cluster a missing setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.conf.get("codestrata.local.checkpoint", None)
         if not d:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
             d = tempfile.mkdtemp(prefix="codestrata-")
             spark.conf.set("codestrata.local.checkpoint", d)
     return d
@@ -70,8 +73,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     Columnar and compressed, so preferred to :func:`cut` for wide rows that are
     read more than once.
     """
-    import uuid
-
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
