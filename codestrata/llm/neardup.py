@@ -4,10 +4,11 @@ A record's codes (new and old) become sets of hashed runs of four tokens. Equal
 sets form one class, so a group of copies of any size is one element of the
 join. Two classes are similar if common / distinct runs reach the threshold.
 
-The join treats sets by size. A total order puts rare runs first (their counts
-come from a sketch of fixed size over all runs). A pair at threshold t shares
-at least o = ceil(t * size) runs, so among the first size - o + k runs in this
-order both have at least k in common.
+The join treats sets by size. A total order puts rare runs first. Their counts
+come from a sketch over all runs; it is sized by the number of runs up to a fixed
+bound and only ever counts too much, so order and cost may depend on it and the
+result does not. A pair at threshold t shares at least o = ceil(t * size) runs, so
+among the first size - o + k runs in this order both have at least k in common.
 
 * Light sets enumerate all subsets of k = 2 of that beginning; a common subset
   is a candidate. Pairs that share a single, frequent run never meet.
@@ -16,11 +17,14 @@ order both have at least k in common.
   names the same partner; light sets within reach of a heavy one by size put their runs into
   the lists as well.
 
-The boundary between light and heavy is chosen by cost: subsets emitted against
-the expected length of the lists, both from the sketch and the sizes of all
-sets. Lists longer than ``block`` are cut into blocks that meet pairwise in
-separate groups, so a hot run never lands in one task. Candidates are verified
-on the whole sets; the result is exact (up to 48-bit hashes of runs within a pair).
+The boundary between light and heavy is the size at which the whole join costs
+least: for every size the rows and the expected partners of both ways are summed
+over all sets, with the mean load of the sketch taken off its counts, so that the
+boundary follows the real lengths of lists at any number of runs. Lists whose
+counted length exceeds ``block`` are cut into blocks that meet pairwise in
+separate groups, so a hot run never lands in one task; what the sketch cannot rule
+out is counted exactly before. Candidates are verified on the whole sets; the
+result is exact (up to 48-bit hashes of runs within a pair).
 
 Defined results: null codes do not take part; a code of fewer than four tokens
 has no runs and is similar to nothing; classes are named by a 128-bit hash;
@@ -29,22 +33,24 @@ repeated rows (same id) are one record; very long codes are tokenised whole.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.session import cut, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
-SKETCH_BITS = 21
+#: At most 2 ** 24 counters of two bytes (32 MB), whatever the number of runs.
+SKETCH_BITS = (12, 24)
+#: What meeting a partner in a list costs beside sending a row to it.
+PARTNER_COST = 0.25
 
 
 def shingles(code: str, n: int = 4) -> np.ndarray:
@@ -119,7 +125,7 @@ def classes(df: DataFrame, key: str, codes: list[str], n: int = 4, broadcast_row
 
     table = df.select(key, *codes).mapInArrow(run, f"k {kind}, cls binary, size int, runs binary")
     table = written(table.withColumn("src", F.monotonically_increasing_id()), "neardup-sets")
-    members = table.select(F.col("k").alias(key), "cls").distinct()
+    members = written(table.select(F.col("k").alias(key), "cls").distinct(), "neardup-members")
     # several tasks may have sent the same class: one of them is kept, chosen without moving the runs
     sent = table.where("size > 0")
     again = sent.groupBy("cls").agg(F.min("src").alias("keep"), F.collect_list("src").alias("all")).where(F.size("all") > 1)
@@ -128,13 +134,13 @@ def classes(df: DataFrame, key: str, codes: list[str], n: int = 4, broadcast_row
     return members, sent.join(F.broadcast(again) if few else again, "src", "left_anti").select("src", "cls", "size", "runs")
 
 
-def _sketch(sets: DataFrame, tasks: int = 512) -> np.ndarray:
-    """Counts of all runs by the low bits of their hash: of fixed size, whatever the number of runs.
+def _sketch(sets: DataFrame, bits: int, tasks: int = 512) -> np.ndarray:
+    """Counts of all runs by the low bits of their hash, up to 65,535: of bounded size, whatever the number of runs.
 
     At most ``tasks`` partial sketches are made; they travel compressed and in
     blocks, so what is shuffled and collected is bounded as well.
     """
-    blocks, per = 64, (1 << SKETCH_BITS) // 64
+    blocks, per, mask = 64, (1 << bits) // 64, (1 << bits) - 1
     schema = "block int, counts binary"
 
     def pack(total: np.ndarray) -> pa.RecordBatch:
@@ -142,46 +148,92 @@ def _sketch(sets: DataFrame, tasks: int = 512) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(np.arange(blocks, dtype=np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for b in batches:
-            flat = _flat(b.column(0))[0]
-            total += np.bincount(flat & ((1 << SKETCH_BITS) - 1), minlength=1 << SKETCH_BITS)
-        yield pack(np.minimum(total, 2**31 - 1).astype(np.int32))
+            for at in range(0, b.num_rows, 2048):
+                slot, n = np.unique(_flat(b.column(0).slice(at, 2048))[0] & mask, return_counts=True)
+                total[slot] = np.minimum(total[slot] + n, 65535)
+        yield pack(total.astype(np.uint16))
 
     def join(t: pa.Table) -> pa.Table:
         total = np.zeros(per, np.int64)
         for raw in t.column("counts").to_pylist():
-            total += np.frombuffer(zlib.decompress(raw), np.int32)
-        packed = zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)
+            total += np.frombuffer(zlib.decompress(raw), np.uint16)
+        packed = zlib.compress(np.minimum(total, 65535).astype(np.uint16).tobytes(), 1)
         return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([packed], pa.binary())})
 
-    rows = sets.select("runs").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInArrow(join, schema).collect()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    rows = sets.select("runs").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInArrow(join, schema).toLocalIterator()
+    out = np.zeros(1 << bits, np.uint16)
     for r in rows:
-        out[r.block * per : (r.block + 1) * per] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int32)
+        out[r.block * per : (r.block + 1) * per] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.uint16)
     return out
 
 
-def _boundary(sets: DataFrame, t: float, counts: np.ndarray) -> int:
-    """The largest size whose subsets of two cost less than scanning lists.
+class Ordered:
+    """The sets of a part of a batch (src, size, runs), each with its rare runs first, laid end to end."""
 
-    A list holds, in expectation over rare-first beginnings, as many sets as a run
-    of the lower half of the counts; every size class pays for its own rows.
+    def __init__(self, batch: pa.RecordBatch, freq: np.ndarray):
+        runs, off = _flat(batch.column(2))
+        self.name, self.size, self.start = batch.column(0).to_numpy(), np.diff(off), off[:-1]
+        self.of = np.repeat(np.arange(len(self.size)), self.size)
+        count = freq[runs & (len(freq) - 1)].astype(np.int64)
+        order = np.argsort(self.of << 16 | count, kind="stable")  # runs of a set come sorted: ties fall by run
+        self.runs, self.count = runs[order], count[order]
+        self.rank = np.arange(len(runs)) - np.repeat(self.start, self.size)
+
+    @staticmethod
+    def of_batch(batch: pa.RecordBatch, freq: np.ndarray, rows: int = 2048) -> Iterator[Ordered]:
+        for at in range(0, batch.num_rows, rows):
+            yield Ordered(batch.slice(at, rows), freq)
+
+
+def beginning(size: np.ndarray, t: float) -> np.ndarray:
+    """How many rare runs of a set of each size go into lists."""
+    need = required(size, t)
+    return size - need + np.minimum(heavy_k(size), need)
+
+
+def subset_rows(size: np.ndarray, t: float) -> np.ndarray:
+    """How many subsets of two (single runs where a pair may share one only) a set of each size enumerates."""
+    need = required(size, t)
+    begin = size - need + 1
+    return np.where(need < 2, begin, (begin + 1) * begin // 2)
+
+
+def _boundary(sets: DataFrame, t: float, shared: Broadcast, load: float) -> int:
+    """The largest light size, 0 for none: where the sum of all costs is least.
+
+    A subset costs its row; a place in a list its row and its expected partners. Light
+    sets that a heavy one may reach by size pay for both.
     """
-    hist = sets.groupBy("size").agg(F.count("*").alias("n")).toPandas()
-    busy = np.sort(counts[counts > 0])
-    if not len(busy) or not len(hist):
+    schema = "size int, n bigint, partners double"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n: dict[int, int] = {}
+        partners: dict[int, float] = {}
+        for batch in batches:
+            for o in Ordered.of_batch(batch, shared.value):
+                listed = o.rank < beginning(o.size, t)[o.of]
+                real = np.maximum(o.count - load, 1) - 1
+                met = np.bincount(o.of, weights=real * listed, minlength=len(o.size))
+                for size in np.unique(o.size):
+                    here = o.size == size
+                    n[int(size)] = n.get(int(size), 0) + int(here.sum())
+                    partners[int(size)] = partners.get(int(size), 0.0) + float(met[here].sum())
+        keys = sorted(n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([n[k] for k in keys], pa.int64()), pa.array([partners[k] for k in keys], pa.float64())], ["size", "n", "partners"])
+
+    # one row for each size that occurs
+    hist = sets.select("src", "size", "runs").mapInArrow(work, schema).groupBy("size").agg(F.sum("n").alias("n"), F.sum("partners").alias("partners")).orderBy("size").toPandas()
+    if not len(hist):
         return 0
-    rare = busy[: max(1, len(busy) // 2)]
-    mean_list = float((rare.astype(float) ** 2).sum() / rare.sum())
-    best = 0
-    for size in sorted(hist["size"]):
-        begin = size - int(required(size, t)) + 1
-        subsets = (begin + 1) * begin / 2
-        if subsets > (begin + int(heavy_k(size))) * (1 + mean_list / 4):
-            break
-        best = int(size)
-    return best
+    size, n = hist["size"].to_numpy(np.int64), hist["n"].to_numpy(np.int64)
+    light = np.concatenate(([0], np.cumsum(n * subset_rows(size, t).astype(float))))
+    heavy = np.concatenate(([0], np.cumsum(n * beginning(size, t) + PARTNER_COST * hist["partners"].to_numpy())))
+    last = np.concatenate(([0], size))
+    reach = np.searchsorted(size, t * (last + 1) - 1e-9)  # the first light size that a heavy set may be like
+    total = light + heavy[-1] - heavy[np.minimum(reach, np.arange(len(last)))]
+    return int(last[int(total.argmin())])
 
 
 def _pairs_of_groups(cols: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,61 +268,29 @@ def _pairs_of_groups(cols: list[np.ndarray], t: float) -> tuple[np.ndarray, np.n
     return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_n)
 
 
-def candidates(sets: DataFrame, t: float, block: int = 1000) -> DataFrame:
+def candidates(sets: DataFrame, t: float, block: int = 1000, broadcast_rows: int = 500_000) -> DataFrame:
     """(a, b), a < b, once each: all pairs of sets (by ``src``) that may be similar."""
     spark = sets.sparkSession
-    counts = _sketch(sets)
-    bound = _boundary(sets, t, counts)
-    shared = spark.sparkContext.broadcast(counts.astype(np.int32))
-    mix_a, mix_b, mix_c = np.int64(-7046029254386353131), np.int64(2862933555777941757), np.int64(3202034522624059733)
-
-    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # kind 0: subset of two, 1: list of a light set, 2: list of a heavy one
-        freq, mask = shared.value, (1 << SKETCH_BITS) - 1
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            flat, off = _flat(batch.column(2))
-
-            def put(key: np.ndarray, name: int, meta: int, xy: np.ndarray, out: list = out) -> None:
-                for o, v in zip(out, (key ^ (xy * mix_c), np.full(len(key), name, np.int64), np.full(len(key), meta, np.int32), xy), strict=True):
-                    o.append(v)
-
-            def emit(sig: np.ndarray, df: np.ndarray, kind: int, name: int, n: int) -> None:
-                cold = (df > 1) & (df <= block)  # the sketch never counts too little: a run counted once is in one set only
-                put(sig[cold], name, 8 * n + 2 * kind, np.zeros(int(cold.sum()), np.int64))
-                for s, c in zip(sig[df > block], df[df > block].tolist(), strict=True):
-                    parts = -(-c // block)  # the blocks of a long list meet pairwise, each pair in its own group
-                    own = xxhash.xxh32_intdigest(int(name).to_bytes(8, "little")) % parts
-                    rest = np.arange(parts, dtype=np.int64)
-                    xy = (np.minimum(rest, own) << 32) | np.maximum(rest, own)
-                    for side in (0, 1):
-                        part = xy[(rest < own) == bool(side)]
-                        put(np.full(len(part), s, np.int64), name, 8 * n + 2 * kind + side, part)
-
-            for i, (name, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                runs = flat[off[i] : off[i + 1]]
-                df = freq[runs & mask]
-                order = np.lexsort((runs, df))
-                need = int(required(n, t))
-                begin = n - need + 1
-                if n <= bound:
-                    if need < 2:  # a pair may share a single run only
-                        two = order[:begin]
-                        emit((runs[two] * mix_a) ^ np.int64(1), df[two], 0, name, n)
-                    else:
-                        two = order[: begin + 1]
-                        x, y = np.triu_indices(len(two), 1)
-                        x, y = two[x], two[y]
-                        emit((runs[x] * mix_a) ^ (runs[y] * mix_b + np.int64(7)), np.minimum(df[x], df[y]), 0, name, n)
-                if n > bound or n >= t * (bound + 1) - 1e-9:
-                    lists = order[: begin + min(int(heavy_k(n)), need) - 1]
-                    emit(runs[lists], df[lists], 1 if n <= bound else 2, name, n)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["key", "src", "meta", "xy"])
-
-    def quiet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            yield from signatures(batches)
+    total = sets.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    bits = min(max(int(total).bit_length(), SKETCH_BITS[0]), SKETCH_BITS[1])
+    counts = _sketch(sets, bits)
+    shared = spark.sparkContext.broadcast(counts)
+    bound = _boundary(sets, t, shared, total / len(counts))
+    post = signatures(sets, t, shared, bound, block)
+    if (counts > block).any():
+        # keys that the sketch cannot rule out are counted; longer lists are cut into blocks that meet pairwise
+        hot = post.where("warm").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+        hot = written(hot, "neardup-hot")
+        few = hot.count() <= broadcast_rows
+        own, other = F.pmod(F.xxhash64("src"), F.col("parts")).cast("int"), F.col("other")
+        post = post.join(F.broadcast(hot) if few else hot, "key", "left")
+        cold = post.where("parts is null").select("key", "src", "meta", F.lit(0).cast("bigint").alias("xy"))
+        split = post.where("parts is not null").select("key", "src", "meta", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+        xy = F.shiftleft(F.least("own", other).cast("bigint"), 32).bitwiseOR(F.greatest("own", other).cast("bigint"))
+        split = split.select("key", "src", (F.col("meta") + (other < F.col("own")).cast("int")).alias("meta"), xy.alias("xy"))
+        post = cold.unionByName(split.select(F.xxhash64("key", "xy").alias("key"), "src", "meta", "xy"))
+    else:
+        post = post.select("key", "src", "meta", F.lit(0).cast("bigint").alias("xy"))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs of each group; groups arrive sorted and whole and are at most some ``block`` long."""
@@ -288,11 +308,44 @@ def candidates(sets: DataFrame, t: float, block: int = 1000) -> DataFrame:
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(n.astype(np.int32))], ["a", "b", "need"])
 
-    post = sets.select("src", "size", "runs").mapInArrow(quiet, "key bigint, src bigint, meta int, xy bigint")
     met = post.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "a bigint, b bigint, need int")
     return met.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
 
 
+def signatures(sets: DataFrame, t: float, shared: Broadcast, bound: int, block: int) -> DataFrame:
+    """(key, src, meta, warm): the keys under which each set meets others; ``warm`` where the
+    sketch allows a list longer than ``block``. meta = 8 * size + 2 * kind."""
+    mix_a, mix_b = np.int64(-7046029254386353131), np.int64(2862933555777941757)
+
+    def emit(o: Ordered) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        # kind 0: subset of two, 1: list of a light set, 2: list of a heavy one
+        need = required(o.size, t)
+        is_light = o.size <= bound
+        listed = (~is_light | (o.size >= t * (bound + 1) - 1e-9))[o.of] & (o.rank < beginning(o.size, t)[o.of])
+        at = o.of[listed]
+        yield o.runs[listed], o.count[listed], o.name[at], 8 * o.size[at] + np.where(is_light[at], 2, 4)
+        single = (is_light & (need < 2))[o.of] & (o.rank < (o.size - need + 1)[o.of])  # a pair may share a single run only
+        at = o.of[single]
+        yield (o.runs[single] * mix_a) ^ np.int64(1), o.count[single], o.name[at], 8 * o.size[at]
+        for size in np.unique(o.size[is_light & (need >= 2)]):  # equal sizes enumerate the same places
+            rows = np.flatnonzero(o.size == size)
+            x, y = np.triu_indices(int(size - required(size, t)) + 2, 1)
+            x, y = (o.start[rows][:, None] + x).ravel(), (o.start[rows][:, None] + y).ravel()
+            name = np.repeat(o.name[rows], len(x) // len(rows))
+            yield (o.runs[x] * mix_a) ^ (o.runs[y] * mix_b + np.int64(7)), np.minimum(o.count[x], o.count[y]), name, np.full(len(x), 8 * size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for o in Ordered.of_batch(batch, shared.value):
+                    for key, count, name, meta in emit(o):
+                        keep = count > 1  # the sketch never counts too little: a run counted once is in one set only
+                        if keep.any():
+                            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(name[keep]), pa.array(meta[keep].astype(np.int32)), pa.array(count[keep] > block)], ["key", "src", "meta", "warm"])
+
+    return sets.select("src", "size", "runs").mapInArrow(run, "key bigint, src bigint, meta int, warm boolean")
+
+
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch | None]]:
     for b in batches:
         yield False, b
