@@ -53,7 +53,7 @@ def combine(recency_: Column, proximity_: Column, semantic: Column, project_: Co
 def dependency_boost(score: Column, name: Column, code: Column, dependencies: Column) -> Column:
     """1.2 if a dependency bears the snippet's name, else 1.15 once if the code defines one; at most 1."""
     named = F.coalesce(F.array_contains(dependencies, name), F.lit(False))
-    defines = F.exists(dependencies, lambda d: code.contains(F.concat(F.lit("def "), d)) | code.contains(F.concat(F.lit("class "), d)) | code.contains(F.concat(F.lit("function "), d)))
+    defines = F.exists(dependencies, lambda d: code.contains(F.concat(F.lit("def "), d)) | code.contains(F.concat(F.lit("class "), d)))
     factor = F.when(named, 1.2).otherwise(1.0) * F.when(F.coalesce(defines, F.lit(False)), 1.15).otherwise(1.0)
     return F.least(F.lit(1.0), score * factor)
 

@@ -45,39 +45,35 @@ def refactor_ratio(old: str, new: str) -> float:
 
 
 def classify(old: str | None, new: str | None, ext: str) -> tuple[str, list, list, list]:
-    """(kind, added, modified, deleted): add for a new file, delete for an emptied one,
-    refactor if functions stayed and the text is much the same, else modify. Lists hold
-    (name, signature hash)."""
-    before, after = functions_of(old, ext), functions_of(new, ext)
-    hb = {signature_hash(f["signature"]): f for f in before}
-    ha = {signature_hash(f["signature"]): f for f in after}
-    lines_b, lines_a = (old or "").split("\n"), (new or "").split("\n")
+    """(kind, added, modified, deleted). Lists hold (name, signature hash).
+
+    A null old text makes everything new: add. Else, in this order: more functions deleted
+    than added and modified together is delete; some added and none modified is add; some
+    modified is modify; what is left is a refactor if the texts are much alike, else modify.
+    """
+    key = lambda fs: {signature_hash(f["signature"]): f for f in fs}
+    ha = key(functions_of(new, ext))
+    if old is None:
+        return "add", sorted((f["name"], h) for h, f in ha.items()), [], []
+    hb = key(functions_of(old, ext))
+    names_b, names_a = {f["name"] for f in hb.values()}, {f["name"] for f in ha.values()}
+    lines_b, lines_a = old.split("\n"), (new or "").split("\n")
     body = lambda f, lines: normalise("\n".join(lines[f["start"] - 1 : f["end"]]))
-    modified = [(f["name"], h) for h, f in ha.items() if h in hb and body(f, lines_a) != body(hb[h], lines_b)]
-    gone = {h: f for h, f in hb.items() if h not in ha}
-    by_name = {f["name"]: h for h, f in gone.items()}
-    added = []
-    for h, f in ha.items():
-        if h not in hb:
-            if f["name"] in by_name:  # the signature changed, the name stayed
-                modified.append((f["name"], h))
-                gone.pop(by_name.pop(f["name"]), None)
-            else:
-                added.append((f["name"], h))
-    deleted = [(f["name"], h) for h, f in gone.items()]
-    if not old:
-        kind = "add"
-    elif not new:
+    stayed = {h for h in ha.keys() & hb.keys() if body(ha[h], lines_a) != body(hb[h], lines_b)}
+    fresh = ha.keys() - hb.keys()
+    renewed = {h for h in fresh if ha[h]["name"] in names_b}  # the signature changed, the name stayed
+    added = sorted((ha[h]["name"], h) for h in fresh - renewed)
+    modified = sorted((ha[h]["name"], h) for h in stayed | renewed)
+    deleted = sorted((hb[h]["name"], h) for h in hb.keys() - ha.keys() if hb[h]["name"] not in names_a)
+    if len(deleted) > len(added) + len(modified):
         kind = "delete"
-    elif not (added or modified or deleted):
-        kind = "refactor" if refactor_ratio(old, new) > 0.8 else "modify"
-    elif added and not modified and not deleted:
+    elif added and not modified:
         kind = "add"
-    elif deleted and not modified and not added:
-        kind = "delete"
-    else:
+    elif modified or refactor_ratio(old, new or "") <= 0.8:
         kind = "modify"
-    return kind, sorted(added), sorted(modified), sorted(deleted)
+    else:
+        kind = "refactor"
+    return kind, added, modified, deleted
 
 
 _PAIRS = "array<struct<name:string,hash:string>>"

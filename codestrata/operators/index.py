@@ -25,9 +25,10 @@ SCHEMAS = {
 
 
 def latest_files(memory: DataFrame) -> DataFrame:
-    """One Python source per path: that of the last row by (timestamp, id). Texts of the losers do not move."""
+    """One Python source per path: that of the last row by (at_us, id); rows without a time come before
+    all others. Texts of the losers do not move."""
     py = memory.where(F.lower("file_path").endswith(".py"))
-    last = py.groupBy("file_path").agg(F.max_by("id", F.struct("timestamp", "id")).alias("id"))
+    last = py.groupBy("file_path").agg(F.max_by("id", F.struct("at_us", "id")).alias("id"))
     return py.join(last, ["file_path", "id"], "left_semi").select("file_path", F.col("new_code").alias("code"))
 
 

@@ -1,6 +1,8 @@
 """The code memory as a table: lookups, listings, statistics, changes, migration, backlog.
 
-Changes return the new table (copy on write); nothing is updated in place.
+Changes return the new table (copy on write); nothing is updated in place. What orders
+or compares by time takes a memory with ``at_us`` (see ``timestamps.timed``): the texts
+of ``timestamp`` come in many formats and zones and do not sort.
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ def get(memory: DataFrame, key: str) -> DataFrame:
     return memory.where(F.col("id") == key)
 
 
-def newest(memory: DataFrame, limit: int, by: str = "timestamp") -> DataFrame:
-    return memory.orderBy(F.desc(by), "id").limit(limit)
+def newest(memory: DataFrame, limit: int) -> DataFrame:
+    """Latest first; rows whose text names no time come last."""
+    return memory.orderBy(F.desc_nulls_last("at_us"), "id").limit(limit)
 
 
 def of_session(memory: DataFrame, session_id: str) -> DataFrame:
-    return memory.where(F.col("session_id") == session_id).orderBy("timestamp", "id")
+    return memory.where(F.col("session_id") == session_id).orderBy(F.asc_nulls_last("at_us"), "id")
 
 
 def path_search(memory: DataFrame, pattern: str, limit: int | None = None, case_sensitive: bool = False) -> DataFrame:
@@ -35,11 +38,16 @@ def with_embeddings(memory: DataFrame) -> DataFrame:
     return memory.where("embedding is not null")
 
 
+def clear(memory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the emptied table, one row with the number of rows ``cleared``); for the memory and the edit log alike."""
+    return memory.limit(0), memory.agg(F.count("*").alias("cleared"))
+
+
 def stats(memory: DataFrame) -> DataFrame:
     """All figures in one aggregation."""
     return memory.agg(
         F.count("*").alias("total"), F.count("embedding").alias("with_embeddings"), F.countDistinct("file_path").alias("files"),
-        F.countDistinct("session_id").alias("sessions"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"),
+        F.countDistinct("session_id").alias("sessions"), F.min("at_us").alias("oldest"), F.max("at_us").alias("newest"),
     )
 
 
@@ -68,7 +76,7 @@ def update_embedding(memory: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def export(memory: DataFrame) -> DataFrame:
     """All rows oldest first without embeddings."""
-    return memory.withColumn("embedding", F.lit(None).cast("array<float>")).orderBy("timestamp", "id")
+    return memory.withColumn("embedding", F.lit(None).cast("array<float>")).orderBy(F.asc_nulls_last("at_us"), "id")
 
 
 def migration_plan(source: DataFrame, target: DataFrame, batch: int = 100) -> DataFrame:
@@ -103,8 +111,13 @@ def number_batches(df: DataFrame, order: list[Column], size: int) -> DataFrame:
     return local.join(F.broadcast(starts), "__p").withColumn("batch", F.ceil((F.col("__s") + F.col("__n")) / size)).drop("__p", "__i", "__n", "__s")
 
 
-def backlog(memory: DataFrame, recent_after: str, limit: int | None = None) -> DataFrame:
-    """Rows without an embedding, recent ones first, newest first within both."""
-    rows = memory.where("embedding is null").withColumn("priority", F.when(F.col("timestamp") > recent_after, 0).otherwise(1))
-    rows = rows.orderBy("priority", F.desc("timestamp"), "id")
+def backlog(memory: DataFrame, recent_after: Column, limit: int | None = None) -> DataFrame:
+    """Rows without an embedding, those after the instant ``recent_after`` first, newest first within both."""
+    rows = memory.where("embedding is null").withColumn("priority", priority(recent_after))
+    rows = rows.orderBy("priority", F.desc_nulls_last("at_us"), "id")
     return rows if limit is None else rows.limit(limit)
+
+
+def priority(recent_after: Column) -> Column:
+    """0 for rows after the instant, 1 for older ones and those without a time."""
+    return F.when(F.col("at_us") > F.unix_micros(recent_after), 0).otherwise(1)

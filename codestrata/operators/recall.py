@@ -56,9 +56,10 @@ def inject(entries: DataFrame, tier: str = "standard") -> DataFrame:
 
 
 def recall(memory: DataFrame, pending: DataFrame, as_of: Column, root: Column) -> DataFrame:
-    """The text to show before each pending edit; edits for which nothing is relevant have no row."""
+    """The text to show before each pending edit; edits for which nothing is relevant have no row.
+    ``memory`` has ``at_us``, the instant of each row."""
     hits = search.batch_bm25(memory, pending_terms(pending), FETCH)
-    r = hits.join(memory.select("id", "file_path", "new_code", F.try_to_timestamp(F.regexp_extract("timestamp", r"^\d{4}-\d\d-\d\d", 0)).alias("at")), "id")
+    r = hits.join(memory.select("id", "file_path", "new_code", F.timestamp_micros("at_us").alias("at")), "id")
     r = r.join(pending.select(F.col("change_id").alias("query_id"), F.col("file_path").alias("current")), "query_id")
     return inject(summarise(score_chunks(r, as_of, root)))
 

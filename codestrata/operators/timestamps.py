@@ -2,9 +2,9 @@
 
 Texts are parsed by built-in expressions into a local wall-clock time and, if
 the text has one, an offset. Texts without an offset take the zone of their
-session. Zones become intervals of constant offset, exploded by year into a
-table of bounded size (IANA zones x years); each local time meets the intervals
-of its (zone, year) in one equi-join and the matching intervals decide:
+session. Zones become intervals of constant offset, exploded by the years that
+occur; each local time meets the intervals of its (zone, year) in one equi-join
+and the matching intervals decide:
 
 * one matches: its offset holds (``status = 'exact'``),
 * two match: the local time occurs twice; the first occurrence is taken
@@ -24,7 +24,9 @@ prefix ``__ts_`` so that columns of the input keep their names and values.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta, timezone, tzinfo
+from functools import lru_cache
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,7 +59,11 @@ FORMATS: dict[str, tuple[str, tuple[int, ...]]] = {
     "long": (rf"^(?:{_DAY},? )?{_MON} (\d{{1,2}}),? (\d{{4}}),? +(?:AT )?{_CLOCK} ?([AP]M)? ?{_ZONE}$", (3, 1, 2, 4, 5, 6, 7, 8, 9)),
 }
 _NUMBER = r"^(-?)(\d{1,19})(?:\.(\d{1,12}))?$"
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+#: Before the first of these years every zone keeps its first offset; after the last one the
+#: calendar and the rules in force repeat every 400 years. So the table of intervals is
+#: bounded (IANA zones x 701 years) and any year has its place in it.
+FIRST_YEAR, LAST_YEAR = 1800, 2500
+_CYCLE_US = 146_097 * 86_400_000_000
 
 
 def _clean(text: Column) -> Column:
@@ -127,57 +133,54 @@ def parse(df: DataFrame, column: str) -> DataFrame:
     return df.drop("__ts_t", "__ts_r", "__ts_mo", "__ts_h", "__ts_s", "__ts_z")
 
 
-def zone_intervals(name: str) -> list[tuple[int, int, int]]:
-    """(start, end, offset) in seconds of UTC from FIRST_YEAR to LAST_YEAR; the ends are open."""
-    from zoneinfo import ZoneInfo
-
+@lru_cache(maxsize=1024)
+def _zone(name: str) -> tzinfo:
     try:
-        zone = ZoneInfo(name)
-    except Exception:
-        zone = timezone.utc
+        return ZoneInfo(name)
+    except Exception:  # no such zone
+        return timezone.utc
+
+
+def zone_intervals(name: str, year: int) -> list[tuple[int, int, int]]:
+    """(start, end, offset) in seconds of UTC of the intervals that touch a local year; the outer ends are open."""
+    zone = _zone(name)
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     off = lambda s: int((epoch + timedelta(seconds=s)).astimezone(zone).utcoffset().total_seconds())
-    lo, hi = int(datetime(FIRST_YEAR, 1, 1, tzinfo=timezone.utc).timestamp()), int(datetime(LAST_YEAR + 1, 1, 1, tzinfo=timezone.utc).timestamp())
-    cuts, at, cur = [], lo, off(lo)
-    while at < hi:
-        nxt = min(at + 10 * 86400, hi)
-        if (o := off(nxt)) != cur:
+    lo, hi = (int((datetime(y, 1, 1, tzinfo=timezone.utc) - epoch).total_seconds()) + d * 86400 for y, d in ((year, -2), (year + 1, 2)))
+    cuts, cur = [], off(lo)
+    for at in range(lo, hi, 86400):
+        nxt = at + 86400
+        while (o := off(nxt)) != cur:
             a, b = at, nxt  # the change lies in (a, b]
             while b - a > 1:
                 m = (a + b) // 2
                 a, b = (m, b) if off(m) == cur else (a, m)
-            cuts.append((b, cur, off(b)))
-            cur, at = off(b), b
-        else:
-            at, cur = nxt, o
+            o = off(b)
+            cuts.append((b, cur, o))
+            cur, at = o, b
     big = 1 << 42
-    out, start, o = [], -big, off(lo)
+    out, start, o = [], -big, cuts[0][1] if cuts else cur
     for when, before, after in cuts:
         out.append((start, when, before))
         start, o = when, after
-    out.append((start, big, o))
-    return out
+    return [*out, (start, big, o)]
 
 
 def offset_intervals(zones: DataFrame) -> DataFrame:
     """(zone, year) -> array of the intervals that touch that local year.
 
-    ``zones`` has one column ``zone``. The result is bounded by IANA zones x years.
-    ``reach`` is where the interval ends or, before a gap, where the gap ends.
+    ``zones`` has the columns ``zone`` and ``year``, each pair once. ``reach`` is where
+    the interval ends or, before a gap, where the gap ends.
     """
 
     def gen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for name in pdf["zone"]:
-                iv = zone_intervals(name)
-                by_year: dict[int, list[dict]] = {y: [] for y in range(FIRST_YEAR - 1, LAST_YEAR + 2)}
-                for i, (s, e, o) in enumerate(iv):
-                    reach = max(e + o, e + iv[i + 1][2]) if i + 1 < len(iv) else e + o
-                    y = lambda v: FIRST_YEAR - 1 if v < 0 else LAST_YEAR + 1 if v > 4_133_980_800 else datetime.fromtimestamp(v, timezone.utc).year
-                    for year in range(y(s + o), y(reach) + 1):
-                        by_year[year].append({"start": (s + o) * 10**6, "end": (e + o) * 10**6, "reach": reach * 10**6, "off": o})
-                rows += [(name, k, v) for k, v in by_year.items() if v]
+            for name, year in zip(pdf["zone"], pdf["year"], strict=True):
+                iv = zone_intervals(name, int(year))
+                us = lambda s: s * 10**6
+                reach = [max(e + o, e + iv[i + 1][2]) if i + 1 < len(iv) else e + o for i, (_, e, o) in enumerate(iv)]
+                rows.append((name, year, [{"start": us(s + o), "end": us(e + o), "reach": us(r), "off": o} for (s, e, o), r in zip(iv, reach, strict=True)]))
             yield pd.DataFrame(rows, columns=["zone", "year", "iv"])
 
     return zones.mapInPandas(gen, "zone string, year int, iv array<struct<start:bigint,end:bigint,reach:bigint,off:int>>")
@@ -190,20 +193,25 @@ def normalise(df: DataFrame, column: str, zone: str | None = None) -> DataFrame:
     means UTC. Existing columns ``utc_us`` and ``status`` are replaced.
     """
     df = parse(df, column).withColumn("__ts_zone", F.coalesce(F.col(f"`{zone}`") if zone else F.lit(None).cast("string"), F.lit("UTC")))
-    year = F.least(F.greatest(F.year(F.timestamp_micros("__ts_local")), F.lit(FIRST_YEAR - 1)), F.lit(LAST_YEAR + 1))
+    year = F.year(F.timestamp_micros("__ts_local"))
+    cycles = F.when(year > LAST_YEAR, F.ceil((year - LAST_YEAR) / 400.0)).otherwise(0)
     need = F.col("__ts_local").isNotNull() & F.col("__ts_off").isNull()
-    df = df.withColumns({"__ts_key": F.when(need, F.col("__ts_zone")), "__ts_year": F.when(need, year)})
-    zones = df.select(F.col("__ts_key").alias("zone")).where("zone is not null").distinct()
+    df = df.withColumns({
+        "__ts_key": F.when(need, F.col("__ts_zone")),
+        "__ts_year": F.when(need, F.greatest(year - 400 * cycles, F.lit(FIRST_YEAR)).cast("int")),
+        "__ts_loc": F.col("__ts_local") - cycles * _CYCLE_US,
+    })
+    zones = df.select(F.col("__ts_key").alias("zone"), F.col("__ts_year").alias("year")).where("zone is not null").distinct()
     iv = offset_intervals(zones).select(F.col("zone").alias("__ts_key"), F.col("year").alias("__ts_year"), F.col("iv").alias("__ts_iv"))
-    # bounded by zones x years (at most about 600 x 133 short arrays), whatever the number of rows
+    # bounded by zones x years of the cycle (about 600 x 701 short arrays), whatever the number of rows
     df = df.join(F.broadcast(iv), ["__ts_key", "__ts_year"], "left")
-    loc = F.col("__ts_local")
+    loc = F.col("__ts_loc")
     hit = F.filter("__ts_iv", lambda x: (loc >= x["start"]) & (loc < x["end"]))
     prev = F.filter("__ts_iv", lambda x: (loc >= x["start"]) & (loc < x["reach"]))
     df = df.withColumns({"__ts_hit": hit, "__ts_prev": prev})
     first = F.array_max(F.transform(F.when(F.size("__ts_hit") > 0, F.col("__ts_hit")).otherwise(F.col("__ts_prev")), lambda x: x["off"]))
     off = F.coalesce(F.col("__ts_off").cast("bigint") * 60, first.cast("bigint"))
-    utc = F.coalesce("__ts_num", loc - off * 1000000)
+    utc = F.coalesce("__ts_num", F.col("__ts_local") - off * 1000000)
     status = (
         F.when(utc.isNull(), "none")
         .when(F.col("__ts_num").isNotNull() | F.col("__ts_off").isNotNull(), "exact")
@@ -219,8 +227,18 @@ def found(code_memory: DataFrame, code_change: DataFrame, sessions: DataFrame) -
     rows = code_memory.select(F.lit("code_memory").alias("rel"), F.col("id").cast("string").alias("row_id"), "timestamp", "session_id").unionByName(
         code_change.select(F.lit("code_change").alias("rel"), F.col("change_id").cast("string").alias("row_id"), "timestamp", "session_id")
     )
+    return normalise(with_zone(rows, sessions), "timestamp", "client_zone").where("utc_us is not null").select("rel", "row_id", "utc_us")
+
+
+def with_zone(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows with the ``client_zone`` of their session; null keys never match and would pile up
+    in one task of the join: they skip it."""
     zones = sessions.select("session_id", "client_zone")
-    # null keys never match and would pile up in one task of the join: they skip it
     known = rows.where("session_id is not null").join(zones, "session_id", "left")
-    loose = rows.where("session_id is null").withColumn("client_zone", F.lit(None).cast("string"))
-    return normalise(known.unionByName(loose), "timestamp", "client_zone").where("utc_us is not null").select("rel", "row_id", "utc_us")
+    return known.unionByName(rows.where("session_id is null").withColumn("client_zone", F.lit(None).cast("string")))
+
+
+def timed(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows (timestamp, session_id, ...) with ``at_us``, their instant: what everything that orders or
+    compares by time uses instead of the text."""
+    return normalise(with_zone(rows, sessions), "timestamp", "client_zone").withColumnRenamed("utc_us", "at_us").drop("status", "client_zone")

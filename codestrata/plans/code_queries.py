@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths
-from codestrata.operators import chunking, churn, classify, index, modules, recall
+from codestrata.operators import chunking, churn, classify, index, modules, recall, timestamps
 from codestrata.plans.churn_queries import AS_OF
+from codestrata.plans.clock_sql import clock
 from codestrata.session import spread, table, written
 
 
@@ -16,6 +17,10 @@ def _cm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_memory")
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return timestamps.timed(_cm(spark, d), table(spark, d, "sessions"))
+
+
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(spread(_cm(spark, d).select("id", "file_path", "new_code")), "id", "file_path", "new_code").drop("dependencies")
 
@@ -74,7 +79,7 @@ def injections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return index.facts(index.latest_files(_cm(spark, d)))
+    return index.facts(index.latest_files(_timed(spark, d)))
 
 
 def index_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -138,8 +143,8 @@ def index_imports(spark: SparkSession, d: str) -> DataFrame:
 
 def index_changed(spark: SparkSession, d: str) -> DataFrame:
     """Files to parse again when the index holds the first version of every path."""
-    cm = _cm(spark, d)
-    first = cm.groupBy("file_path").agg(F.min_by("new_code", F.struct("timestamp", "id")).alias("code")).select("file_path", paths.content_hash(F.col("code")).alias("hash"))
+    cm = _timed(spark, d)
+    first = cm.groupBy("file_path").agg(F.min_by("new_code", F.struct("at_us", "id")).alias("code")).select("file_path", paths.content_hash(F.col("code")).alias("hash"))
     return index.changed_files(index.latest_files(cm), first).select("file_path", "hash")
 
 
@@ -157,7 +162,7 @@ def module_imports(spark: SparkSession, d: str) -> DataFrame:
 def recall_texts(spark: SparkSession, d: str) -> DataFrame:
     """The text shown before every extracted edit: search, chunk, score, group, budget, render."""
     pending = table(spark, d, "code_change")
-    r = recall.recall(_cm(spark, d), pending, F.lit(AS_OF).cast("timestamp"), F.lit("/srv/work/kestrel-relay"))
+    r = recall.recall(_timed(spark, d), pending, F.lit(AS_OF).cast("timestamp"), F.lit("/srv/work/kestrel-relay"))
     return recall.hook_text(r, pending)
 
 
@@ -173,6 +178,7 @@ ORACLE = {
   b AS (SELECT id, i, regexp_replace(line, '\s', '', 'g') = '' AS blank FROM l), r AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY id ORDER BY i) AS g FROM b),
   k AS (SELECT id, g, min(i) AS s, max(i) AS e, count(*) AS lines FROM r WHERE NOT blank GROUP BY id, g)
   SELECT id, (row_number() OVER (PARTITION BY id ORDER BY g))::INTEGER AS block, s::INTEGER AS start, e::INTEGER AS "end", lines FROM k""",
-    "index_changed": """WITH p AS (SELECT file_path, arg_min(new_code, {'t': timestamp, 'i': id}) AS a, arg_max(new_code, {'t': timestamp, 'i': id}) AS b FROM code_memory WHERE lower(file_path) LIKE '%.py' GROUP BY 1)
+    "index_changed": f"""WITH {clock("code_memory", "id")}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY us NULLS FIRST, id) AS n, count(*) OVER (PARTITION BY file_path) AS last FROM code_memory JOIN clk ON k = id),
+  p AS (SELECT file_path, any_value(new_code) FILTER (n = 1) AS a, any_value(new_code) FILTER (n = last) AS b FROM r WHERE lower(file_path) LIKE '%.py' GROUP BY 1)
   SELECT file_path, left(sha256(b), 16) AS hash FROM p WHERE a <> b""",
 }

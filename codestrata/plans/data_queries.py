@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators import timestamps
+from codestrata.plans.clock_sql import clock
 from codestrata.session import table
 
 
@@ -23,4 +24,8 @@ def p1_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_status": p1_status}
-ORACLE: dict[str, str] = {}
+_BOTH = [("code_memory", "id"), ("code_change", "change_id::VARCHAR")]
+
+ORACLE = {
+    "p1_found": " UNION ALL ".join(f"SELECT * FROM (WITH {clock(rel, key)} SELECT '{rel}' AS rel, k AS row_id, us AS utc_us FROM clk WHERE us IS NOT NULL)" for rel, key in _BOTH),
+}

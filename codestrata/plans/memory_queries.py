@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.operators import memory, search
+from codestrata.operators import memory, search, timestamps
+from codestrata.plans.clock_sql import clock
 from codestrata.session import table
 
-RECENT = "2025-06"
+RECENT = "2025-06-01 00:00:00+00:00"
 QUERY = "signal parser"
 
 
@@ -16,8 +17,17 @@ def _cm(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "code_memory")
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    """The memory with the instant of every row."""
+    return timestamps.timed(_cm(spark, d), table(spark, d, "sessions"))
+
+
+def _recent() -> Column:
+    return F.lit(RECENT).cast("timestamp")
+
+
 def kb_stats(spark: SparkSession, d: str) -> DataFrame:
-    return memory.stats(_cm(spark, d))
+    return memory.stats(_timed(spark, d))
 
 
 def kb_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -25,13 +35,12 @@ def kb_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kb_recent(spark: SparkSession, d: str) -> DataFrame:
-    return memory.newest(_cm(spark, d), 20).select(*memory.LISTED)
+    return memory.newest(_timed(spark, d), 20).select(*memory.LISTED, "at_us")
 
 
 def kb_by_session(spark: SparkSession, d: str) -> DataFrame:
-    cm = _cm(spark, d)
-    first = table(spark, d, "sessions").agg(F.min("session_id").alias("session_id"))
-    return cm.join(F.broadcast(first), "session_id").select(*memory.LISTED)
+    first = table(spark, d, "sessions").agg(F.min("session_id")).first()[0]
+    return memory.of_session(_timed(spark, d), first).select(*memory.LISTED, "at_us")
 
 
 def kb_path_search(spark: SparkSession, d: str) -> DataFrame:
@@ -39,12 +48,13 @@ def kb_path_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kb_path_newest(spark: SparkSession, d: str) -> DataFrame:
-    return memory.path_search(_cm(spark, d), "loop", 10).select(*memory.LISTED)
+    return memory.path_search(_timed(spark, d), "loop", 10).select(*memory.LISTED, "at_us")
 
 
 def kb_get(spark: SparkSession, d: str) -> DataFrame:
+    """Point lookup of the least id."""
     cm = _cm(spark, d)
-    return cm.join(F.broadcast(cm.agg(F.min("id").alias("id"))), "id").select(*memory.LISTED, "new_code")
+    return memory.get(cm, cm.agg(F.min("id")).first()[0]).select(*memory.LISTED, "new_code")
 
 
 def kb_with_embeddings(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +62,7 @@ def kb_with_embeddings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kb_export(spark: SparkSession, d: str) -> DataFrame:
-    return memory.export(_cm(spark, d)).select("id", "file_path", "timestamp", F.length("new_code").alias("chars"), F.col("embedding").isNull().alias("without_embedding"))
+    return memory.export(_timed(spark, d)).select("id", "file_path", "old_code", "new_code", "context", "timestamp", "session_id", F.col("embedding").isNull().alias("without_embedding"))
 
 
 def kb_store(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +82,17 @@ def kb_update_embedding(spark: SparkSession, d: str) -> DataFrame:
     cm = _cm(spark, d)
     vec = cm.where("embedding is not null").groupBy("file_path").agg(F.min_by("embedding", "id").alias("embedding"))
     new = cm.where("embedding is null").select("id", "file_path").join(vec, "file_path").select("id", "embedding")
-    return memory.update_embedding(cm.select("id", "embedding"), new).select("id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"))
+    return memory.update_embedding(cm.select("id", "embedding"), new).select("id", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim"), F.get("embedding", 0).cast("double").alias("first"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4).alias("total"))
+
+
+def kb_clear(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows emptying the memory and the edit log removes, and what is left."""
+    out = None
+    for name in ("code_memory", "edit_history"):
+        left, n = memory.clear(table(spark, d, name))
+        row = n.crossJoin(left.agg(F.count("*").alias("remain"))).select(F.lit(name).alias("store"), "cleared", "remain")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def _target(spark: SparkSession, d: str) -> DataFrame:
@@ -93,12 +113,12 @@ def kb_migration_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_backlog(spark: SparkSession, d: str) -> DataFrame:
-    return memory.backlog(_cm(spark, d), RECENT, 500).select("id", "priority", "timestamp")
+    return memory.backlog(_timed(spark, d), _recent(), 500).select("id", "priority", "at_us")
 
 
 def embedding_batches(spark: SparkSession, d: str) -> DataFrame:
-    rows = memory.backlog(_cm(spark, d), RECENT).select("id", "priority", "timestamp")
-    return memory.number_batches(rows, [F.col("priority"), F.desc("timestamp"), F.col("id")], 32).select("id", "batch")
+    rows = memory.backlog(_timed(spark, d), _recent()).select("id", "priority", "at_us")
+    return memory.number_batches(rows, [F.col("priority"), F.desc_nulls_last("at_us"), F.col("id")], 32).select("id", "batch")
 
 
 def exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
@@ -146,7 +166,7 @@ def embeddings_knn(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     rows = e.select(F.col("vec_id").cast("string").alias("id"), "embedding")
     near = search.batch_semantic(rows, e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 10)
-    return near.select("query_id", "n", "score")
+    return near.select("query_id", "n", F.col("id").cast("bigint").alias("vec_id"), "score")
 
 
 def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -157,11 +177,13 @@ def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(_cm(spark, d), QUERY, _vector(spark, d), limit=20, path_filter="/")
 
 
-QUERIES = {f.__name__: f for f in (kb_stats, kb_coverage, kb_recent, kb_by_session, kb_path_search, kb_path_newest, kb_get, kb_with_embeddings, kb_export, kb_store, kb_delete, kb_update_embedding,
+QUERIES = {f.__name__: f for f in (kb_stats, kb_coverage, kb_recent, kb_by_session, kb_path_search, kb_path_newest, kb_get, kb_with_embeddings, kb_export, kb_store, kb_delete, kb_clear, kb_update_embedding,
     kb_migration_plan, kb_migration_report, kb_migration_sample, embedding_backlog, embedding_batches, exact_duplicates, bm25_topk, bm25_any_topk, bm25_batch, weighted_rank_topk, cosine_topk, code_to_code_topk,
     embeddings_knn, hybrid_topk, hybrid_filtered)}
 
 _L = "id, file_path, timestamp, session_id"
+_AT = f"WITH {clock('code_memory', 'id')}, m AS (SELECT m.*, us AS at_us FROM code_memory m JOIN clk ON k = id)"
+_LATE = f"CASE WHEN at_us > epoch_us(TIMESTAMPTZ '{RECENT}') THEN 0 ELSE 1 END"
 _TOK = r"list_filter(regexp_split_to_array(lower(coalesce(id, '') || ' ' || coalesce(file_path, '') || ' ' || coalesce(new_code, '') || ' ' || coalesce(context, '')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"
 _BASE = f"r AS (SELECT id, file_path, {_TOK} AS t FROM code_memory), g AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM r)"
 
@@ -193,25 +215,27 @@ def _hybrid(limit: int, path: str = "") -> str:
 
 
 ORACLE = {
-    "kb_stats": "SELECT count(*) AS total, count(embedding) AS with_embeddings, count(DISTINCT file_path) AS files, count(DISTINCT session_id) AS sessions, min(timestamp) AS oldest, max(timestamp) AS newest FROM code_memory",
+    "kb_stats": f"{_AT} SELECT count(*) AS total, count(embedding) AS with_embeddings, count(DISTINCT file_path) AS files, count(DISTINCT session_id) AS sessions, min(at_us) AS oldest, max(at_us) AS newest FROM m",
     "kb_coverage": "SELECT count(*) AS total, count(embedding) AS embedded, round(coalesce(count(embedding) * 100.0::DOUBLE / nullif(count(*), 0), 0), 6) AS coverage FROM code_memory",
-    "kb_recent": f"SELECT {_L} FROM code_memory ORDER BY timestamp DESC NULLS LAST, id LIMIT 20",
-    "kb_by_session": f"SELECT {_L} FROM code_memory WHERE session_id = (SELECT min(session_id) FROM sessions)",
+    "kb_recent": f"{_AT} SELECT {_L}, at_us FROM m ORDER BY at_us DESC NULLS LAST, id LIMIT 20",
+    "kb_by_session": f"{_AT} SELECT {_L}, at_us FROM m WHERE session_id = (SELECT min(session_id) FROM sessions)",
     "kb_path_search": f"SELECT {_L} FROM code_memory WHERE file_path ILIKE '%Engine/%'",
-    "kb_path_newest": f"SELECT {_L} FROM code_memory WHERE file_path ILIKE '%loop%' ORDER BY timestamp DESC NULLS LAST, id LIMIT 10",
+    "kb_path_newest": f"{_AT} SELECT {_L}, at_us FROM m WHERE file_path ILIKE '%loop%' ORDER BY at_us DESC NULLS LAST, id LIMIT 10",
     "kb_get": f"SELECT {_L}, new_code FROM code_memory WHERE id = (SELECT min(id) FROM code_memory)",
     "kb_with_embeddings": "SELECT id, timestamp, len(embedding)::INTEGER AS dim FROM code_memory WHERE embedding IS NOT NULL",
-    "kb_export": "SELECT id, file_path, timestamp, length(new_code)::INTEGER AS chars, true AS without_embedding FROM code_memory",
+    "kb_export": "SELECT id, file_path, old_code, new_code, context, timestamp, session_id, true AS without_embedding FROM code_memory",
     "kb_store": """SELECT id, file_path, timestamp FROM (SELECT change_id::VARCHAR AS id, file_path, timestamp, row_number() OVER (PARTITION BY file_path, timestamp ORDER BY change_id::VARCHAR) AS n FROM code_change) c
   WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM code_memory m WHERE m.file_path = c.file_path AND m.timestamp = c.timestamp)""",
     "kb_delete": "SELECT id, file_path FROM code_memory WHERE session_id IS NOT NULL",
-    "kb_update_embedding": """WITH v AS (SELECT file_path, arg_min(len(embedding), id) AS dim FROM code_memory WHERE embedding IS NOT NULL GROUP BY 1)
-  SELECT id, coalesce(len(embedding), v.dim, -1)::INTEGER AS dim FROM code_memory m LEFT JOIN v USING (file_path)""",
+    "kb_update_embedding": """WITH v AS (SELECT file_path, arg_min(embedding, id) AS e FROM code_memory WHERE embedding IS NOT NULL GROUP BY 1),
+  u AS (SELECT id, coalesce(embedding, e) AS e FROM code_memory m LEFT JOIN v USING (file_path))
+  SELECT id, coalesce(len(e), -1)::INTEGER AS dim, e[1]::DOUBLE AS first, round(CASE WHEN len(e) = 0 THEN 0 ELSE list_sum(list_transform(e, lambda x: x::DOUBLE)) END, 4) AS total FROM u""",
+    "kb_clear": "SELECT 'code_memory' AS store, count(*) AS cleared, 0::BIGINT AS remain FROM code_memory UNION ALL SELECT 'edit_history', count(*), 0 FROM edit_history",
     "kb_migration_plan": "SELECT id, ceil(row_number() OVER (ORDER BY id) / 100.0)::BIGINT AS batch FROM code_memory WHERE embedding IS NULL",
-    "kb_migration_report": "SELECT count(*) AS total, count(embedding) AS skipped, count(*) - count(embedding) AS migrated, 100.0::DOUBLE AS success_rate FROM code_memory",
-    "kb_migration_sample": "SELECT id, list_reduce(list_prepend(true, list_transform(embedding, lambda x: NOT isnan(x) OR isnan(x))), lambda a, b: a AND b) AS same FROM (SELECT * FROM code_memory WHERE embedding IS NOT NULL ORDER BY md5(id), id LIMIT 5)",
-    "embedding_backlog": f"SELECT id, (CASE WHEN timestamp > '{RECENT}' THEN 0 ELSE 1 END)::INTEGER AS priority, timestamp FROM code_memory WHERE embedding IS NULL ORDER BY priority, timestamp DESC NULLS LAST, id LIMIT 500",
-    "embedding_batches": f"SELECT id, ceil(row_number() OVER (ORDER BY CASE WHEN timestamp > '{RECENT}' THEN 0 ELSE 1 END, timestamp DESC NULLS LAST, id) / 32.0)::BIGINT AS batch FROM code_memory WHERE embedding IS NULL",
+    "kb_migration_report": "SELECT count(*) AS total, count(t.id) AS skipped, count(*) - count(t.id) AS migrated, round((count(*) - count(t.id) + count(t.id)) * 100.0::DOUBLE / count(*), 6) AS success_rate FROM code_memory s LEFT JOIN (SELECT id FROM code_memory WHERE embedding IS NOT NULL) t USING (id)",
+    "kb_migration_sample": "SELECT a.id, a.embedding = b.embedding AS same FROM (SELECT * FROM code_memory WHERE embedding IS NOT NULL ORDER BY md5(id), id LIMIT 5) a JOIN code_memory b ON a.id = b.id",
+    "embedding_backlog": f"{_AT} SELECT id, ({_LATE})::INTEGER AS priority, at_us FROM m WHERE embedding IS NULL ORDER BY priority, at_us DESC NULLS LAST, id LIMIT 500",
+    "embedding_batches": f"{_AT} SELECT id, ceil(row_number() OVER (ORDER BY {_LATE}, at_us DESC NULLS LAST, id) / 32.0)::BIGINT AS batch FROM m WHERE embedding IS NULL",
     "exact_duplicates": "SELECT sha256(new_code) AS hash, count(*) AS copies, min(id) AS first_id FROM code_memory GROUP BY 1 HAVING count(*) > 1",
     "bm25_topk": f"WITH {_bm25(['parser', 'signal'], True)} SELECT id, rank FROM lex",
     "bm25_any_topk": f"WITH {_bm25(['logger', 'raise', 'sorted', 'token'], False, 'lex', 25)} SELECT id, rank FROM lex",
@@ -226,7 +250,7 @@ ORACLE = {
     "cosine_topk": f"WITH {_COS} SELECT id, score FROM sem0 ORDER BY score DESC, id LIMIT 10",
     "code_to_code_topk": f"WITH {_COS}, t AS (SELECT * FROM sem0 ORDER BY score DESC, id LIMIT 10) SELECT id, score FROM t WHERE score >= 0.4 AND id <> qid ORDER BY score DESC, id LIMIT 5",
     "embeddings_knn": """WITH s AS (SELECT a.vec_id AS query_id, b.vec_id::VARCHAR AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a, embeddings b)
-  SELECT query_id, n::INTEGER AS n, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 10""",
+  SELECT query_id, n::INTEGER AS n, id::BIGINT AS vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS n FROM s) WHERE n <= 10""",
     "hybrid_topk": _hybrid(5),
     "hybrid_filtered": _hybrid(20, "/"),
 }

@@ -118,7 +118,7 @@ ORACLE = {
     "proximity_scores": f"SELECT id, round({_PRX}, 6) AS proximity FROM (SELECT id, file_path, {_AB} FROM code_memory)",
     "relevance_scores": f"WITH {_H}, x AS (SELECT *, {_AB} FROM h), s AS (SELECT id, round(0.2::DOUBLE * {_REC} + 0.25::DOUBLE * ({_PRX}) + 0.35::DOUBLE * 0.5::DOUBLE + 0.2::DOUBLE * (CASE WHEN starts_with(file_path, '/srv/work/kestrel-relay') THEN 1.0 ELSE 0.3 END)::DOUBLE, 6) AS score FROM x) SELECT id, score FROM s WHERE score >= 0.3",
     "dependency_boosts": r"""SELECT id, round(least(1.0::DOUBLE, 0.7::DOUBLE * (CASE WHEN regexp_extract(new_code, 'def (\w+)', 1) IN ('posting_loop', 'load_badger_rope', 'logger') THEN 1.2 ELSE 1.0 END)::DOUBLE *
-  (CASE WHEN regexp_matches(new_code, '(def|class|function) (posting_loop|load_badger_rope|logger)') THEN 1.15 ELSE 1.0 END)::DOUBLE), 6) AS score FROM code_memory""",
+  (CASE WHEN regexp_matches(new_code, '(def|class) (posting_loop|load_badger_rope|logger)') THEN 1.15 ELSE 1.0 END)::DOUBLE), 6) AS score FROM code_memory""",
     "budget_prefix": f"SELECT session_id, id, used FROM (SELECT session_id, id, (sum({_BLOCK}) OVER (PARTITION BY session_id ORDER BY id))::BIGINT AS used FROM code_memory WHERE session_id IS NOT NULL) WHERE used <= 2000",
     "budget_skip": f"""WITH RECURSIVE s AS (SELECT session_id, {_BLOCK} AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY id) AS n FROM code_memory WHERE session_id IS NOT NULL),
   f AS (SELECT session_id, n, tokens, tokens <= 500 AND tokens <= 1900 AS taken, CASE WHEN tokens <= 500 AND tokens <= 1900 THEN 1900 - tokens ELSE 1900 END AS rest FROM s WHERE n = 1

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions import embed
+from codestrata.plans.clock_sql import clock
 from codestrata.session import shared_dir, table
 from codestrata.streaming import backfill as B
 
-RECENT = "2025-06"
+RECENT = "2025-06-01 00:00:00+00:00"
 
 
 def _dirs(spark: SparkSession) -> tuple[str, str]:
@@ -21,7 +22,7 @@ def _dirs(spark: SparkSession) -> tuple[str, str]:
 
 def stream_backfill(spark: SparkSession, d: str) -> DataFrame:
     out, cp = _dirs(spark)
-    B.run_backfill(B.source(spark, f"{d}/code_memory.parquet"), out, cp, RECENT)
+    B.run_backfill(B.source(spark, f"{d}/code_memory.parquet"), table(spark, d, "sessions"), out, cp, F.lit(RECENT).cast("timestamp"))
     r = spark.read.parquet(out)
     return r.select("id", "priority", F.size("embedding").alias("dim"), F.col("error").isNotNull().alias("failed"))
 
@@ -107,7 +108,7 @@ _Q = "q AS (SELECT user_id AS id, count(*)::INTEGER AS attempts, max(ts) AS next
 _Y = "y AS (SELECT date_trunc('hour', ts) AS cycle, count(*) AS processed, count(*) FILTER (value > 90) AS failed, sum(value) AS seconds FROM events GROUP BY 1)"
 
 ORACLE = {
-    "stream_backfill": f"SELECT id, (CASE WHEN timestamp > '{RECENT}' THEN 0 ELSE 1 END)::INTEGER AS priority, 384::INTEGER AS dim, false AS failed FROM code_memory WHERE embedding IS NULL",
+    "stream_backfill": f"WITH {clock('code_memory', 'id')} SELECT id, (CASE WHEN us > epoch_us(TIMESTAMPTZ '{RECENT}') THEN 0 ELSE 1 END)::INTEGER AS priority, 384::INTEGER AS dim, false AS failed FROM code_memory JOIN clk ON k = id WHERE embedding IS NULL",
     "stream_churn": "SELECT file_path, change_type, count(*) AS edits, epoch_us(max(timestamp)) AS last_edit FROM (SELECT DISTINCT * FROM edit_history) GROUP BY ALL",
     "stream_show_once": "SELECT DISTINCT file_path, coalesce(function_name, NULL) AS function_name FROM edit_history",
     "stream_windows": "SELECT epoch_us(date_trunc('day', ts)) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",

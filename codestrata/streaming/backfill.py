@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from codestrata.functions.embed import embed
 from codestrata.functions.paths import embedding_text, preprocess, shown_hash
+from codestrata.operators.memory import priority
+from codestrata.operators.timestamps import timed
 
 # First and longest delay of a retry in seconds, attempts, buckets (capacity, tokens a second).
 BASE_DELAY, MOST_DELAY, ATTEMPTS = 1.0, 60.0, 3
@@ -25,20 +27,20 @@ def source(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFra
     return reader.parquet(path)
 
 
-def backfill_batch(rows: DataFrame, recent_after: str, load: Callable | None = None) -> DataFrame:
-    """(id, embedding, error, priority) of the rows without an embedding."""
+def backfill_batch(rows: DataFrame, sessions: DataFrame, recent_after: Column, load: Callable | None = None) -> DataFrame:
+    """(id, embedding, error, priority) of the rows without an embedding; ``sessions`` has their time zones."""
     todo = rows.where("embedding is null")
     text = preprocess(embedding_text(F.col("file_path"), F.col("new_code"), F.col("context")))
-    todo = todo.select("id", F.when(F.col("timestamp") > recent_after, 0).otherwise(1).alias("priority"), text.alias("text"))
+    todo = timed(todo, sessions).select("id", priority(recent_after).alias("priority"), text.alias("text"))
     return todo.withColumn("e", embed(F.col("text"), load)).select("id", "priority", F.col("e.vector").alias("embedding"), F.col("e.error").alias("error"))
 
 
-def run_backfill(stream: DataFrame, out: str, checkpoint: str, recent_after: str, load: Callable | None = None) -> None:
+def run_backfill(stream: DataFrame, sessions: DataFrame, out: str, checkpoint: str, recent_after: Column, load: Callable | None = None) -> None:
     """Embed what is there and stop. Each batch goes to its own folder, so a batch that is
     repeated after a failure replaces itself."""
 
     def write(batch: DataFrame, n: int) -> None:
-        backfill_batch(batch, recent_after, load).repartitionByRange("priority", "id").write.mode("overwrite").parquet(f"{out}/batch={n}")
+        backfill_batch(batch, sessions, recent_after, load).repartitionByRange("priority", "id").write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

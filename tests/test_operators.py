@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codestrata import cli, config
 from codestrata.functions import code_filter, embed, language, outline, paths, pycode, relevance, symbols
-from codestrata.operators import budget, chunking, churn, classify, graph, index, memory, modules, recall, search
+from codestrata.operators import budget, chunking, churn, classify, graph, index, memory, modules, recall, search, timestamps
 from codestrata.sources import files, transcripts
 from codestrata.streaming import backfill
 
@@ -133,7 +133,8 @@ def test_call_graph_of_whole_index(spark, tmp_path):
     from codestrata.plans import registry
 
     code = {"m.py": "import m\nimport n\ndef f():\n    m.g()\ndef g():\n    m.f()\n    n.h()\n", "n.py": "import n\ndef h():\n    n.k()\ndef k():\n    print(1)\ndef r():\n    n.r()\n"}
-    spark.createDataFrame([(p, p, c, "2025-01-01") for p, c in code.items()], "id string, file_path string, new_code string, timestamp string").write.parquet(f"{tmp_path}/code_memory.parquet")
+    spark.createDataFrame([(p, p, c, "2025-01-01", None) for p, c in code.items()], "id string, file_path string, new_code string, timestamp string, session_id string").write.parquet(f"{tmp_path}/code_memory.parquet")
+    spark.createDataFrame([], "session_id string, client_zone string").write.parquet(f"{tmp_path}/sessions.parquet")
     q = {n: f(spark, str(tmp_path)).collect() for n, f in registry.queries().items() if n.startswith("call_graph_")}
     e = {(r.src, r.dst) for r in registry.queries()["index_calls"](spark, str(tmp_path)).collect()}
     assert e == {("m.f", "m.g"), ("m.g", "m.f"), ("m.g", "n.h"), ("n.h", "n.k"), ("n.k", "print"), ("n.r", "n.r")}
@@ -331,6 +332,48 @@ def test_index(spark):
     assert "def run() -> int" in h["pkg.mod.Base.run"] and "A base." in h["pkg.mod.Base"]
 
 
+def test_outcomes_of_a_change():
+    """The four outcomes by the counts of added, modified and deleted functions, in their order."""
+    a, b, c, m = ("def a():\n    return 1\n", "def b():\n    return 2\n", "def c():\n    return 3\n", "def m(x):\n    return 4\n")
+    kind = lambda old, new: classify.classify(old, new, ".py")[0]
+    assert kind(None, a) == "add" and kind("", a) == "add"
+    assert kind(a, b) == "add"  # one added, one deleted
+    assert kind(a + b, c) == "delete"  # two deleted, one added
+    assert kind(a + b + m, m.replace("4", "5")) == "delete"  # two deleted, one modified
+    assert kind(a + m, c + m.replace("4", "5")) == "modify"
+    assert kind(a, a + "# a note\n") == "refactor" and kind("x = 1\n", "import os\nfor q in range(7):\n    print(q)\n") == "modify"
+    # a name that stays under its old signature counts as modified with another one
+    _, added, modified, deleted = classify.classify(m, m + m.replace("(x)", "(x, y)"), ".py")
+    assert (added, [n for n, _ in modified], deleted) == ([], ["m"], [])
+
+
+def test_blocks_in_braces():
+    js = (
+        "// function no() {\nimport x from 'y'\nexport default async function go(a, b = {x: 1}) {\n  const s = '}' + `a ${b} }`;\n  if (a) { return 1; }\n  /* } */\n}\n"
+        "const add = async (x, y) => {\n  return x + '}';\n};\nclass A extends B { m() { return 1 } }\nfoo(function bar() { return 1 }, 2)\nfunction open() {\n  if (1) {\n"
+    )
+    assert [(c["kind"], c["name"], c["start"], c["end"]) for c in outline.blocks(js, ".js")] == [("function", "go", 3, 7), ("function", "add", 8, 10), ("class", "A", 11, 11), ("function", "bar", 12, 12), ("function", "open", 13, 15)]
+    assert outline.blocks(js, ".ts")[1]["signature"] == "const add = async (x, y) =>"
+    rs = "impl<'a> Foo<'a> for Bar<'a> {\n  pub fn f(&self) -> char { '{' }\n}\n#[x]\npub struct S { a: i32 }\nfn g<T>() where T: X {\n match x { Some(y) => {1}, _ => {2} }\n}\n"
+    assert [(c["kind"], c["name"], c["start"], c["end"]) for c in outline.blocks(rs, ".rs")] == [("class", "Bar", 1, 3), ("function", "f", 2, 2), ("class", "S", 5, 5), ("function", "g", 6, 8)]
+    go = "package x\n\nfunc (r *T) Name(a int) (int, error) {\n\tif a := f(); a > 1 {\n\t}\n\treturn `}`\n}\ntype S struct {\n a int\n}\nfunc Plain() {}\n"
+    assert [(c["kind"], c["name"], c["start"], c["end"], c["signature"]) for c in outline.blocks(go, ".go")] == [("function", "Name", 3, 7, "func (r *T) Name(a int) (int, error)"), ("class", "S", 8, 10, None), ("function", "Plain", 11, 11, "func Plain()")]
+    c = "#include <a>\nstatic int *f(int a, char c) {\n  if (a) { return g(a); } else if (c == '{') {}\n  for (;;) {}\n}\nstruct P {\n int x;\n};\nint A::b() const { return 1; }\nint xs[] = { 1, 2 };\n"
+    assert [(x["kind"], x["name"], x["start"], x["end"]) for x in outline.blocks(c, ".c")] == [("function", "f", 2, 5), ("class", "P", 6, 8), ("function", "A::b", 9, 9)]
+    long = "x" * 5000
+    assert [x["name"] for x in outline.outline(f"export function f(a = '{long}') {{\n}}\n", ".js")] == ["f"] and outline.line_functions(f"def f(a='{long}'):", ".py")[0]["name"] == "f"
+
+
+def test_python_chunks():
+    code = "import a\nfrom b import (\n  c,\n)\nA = [\n 1,\n]\ntry:\n    import z\nexcept ImportError:\n    z = None\nclass K:\n    def m(self, q: int) -> str:\n        def inner(): pass\n        return self.x(q)\nB: int = 2\n"
+    got = pycode.chunks(code)
+    assert [(c["kind"], c["name"], c["start"], c["end"], c["parent"]) for c in got] == [
+        ("imports", "imports", 1, 9, None), ("class", "K", 12, 15, None), ("function", "m", 13, 15, None), ("method", "m", 13, 15, "K"), ("function", "inner", 14, 14, None), ("constants", "constants", 5, 16, None)
+    ]
+    assert got[0]["code"] == "import a\nfrom b import (\n  c,\n)\n    import z" and got[-1]["code"] == "A = [\n 1,\n]\nB: int = 2"
+    assert got[2]["dependencies"] == ["q", "x"] and got[2]["signature"] == "def m(self, q: int) -> str"
+
+
 def test_outlines():
     rs = "use a::b::{c, d};\npub struct P { x: i32 }\nimpl P {\n    pub async fn go(&self) {}\n}\nfn own() {}\nenum E { A }\ntrait T {}\n"
     got = [(x["kind"], x["name"], x["is_public"]) for x in outline.outline(rs, ".rs")]
@@ -417,6 +460,7 @@ def test_recall(spark):
     code = "def load_thing(x):\n    return x + {}\n"
     m = spark.createDataFrame([(str(i), "src/a.py", code.format(i), None, "2024-01-05T00:00:00Z") for i in range(6)] + [("z", "other/b.py", "class Unrelated:\n    pass\n", None, "junk")], "id string, file_path string, new_code string, context string, timestamp string")
     p = spark.createDataFrame([(1, "src/a.py", "def load_thing(y):\n    return y\n", "Edit"), (2, "q.py", "zzz", "Write")], "change_id long, file_path string, new_code string, tool_type string")
+    m = timestamps.normalise(m, "timestamp").withColumnRenamed("utc_us", "at_us")
     r = recall.recall(m, p, F.lit("2024-01-06 00:00:00+00:00").cast("timestamp"), F.lit("src"))
     got = {x.query_id: x for x in r.collect()}
     assert set(got) == {1} and got[1].groups == 1 and "Similar occurrences: 6" in got[1].text
