@@ -128,8 +128,23 @@ class Automaton:
         self.accept = np.array(accept, np.int64)
         self.flat = np.ascontiguousarray(self.table).reshape(-1)
 
+    def _run(self, state: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(end states, hits as rows of lane, step, bit set) of lanes that step through their columns."""
+        hot, flat, out = self.accept > 0, self.flat, []
+        for k, column in enumerate(columns):
+            state = flat[state * 129 + column]
+            hit = np.flatnonzero(hot[state])
+            if len(hit):
+                out.append(np.stack((hit, np.full(len(hit), k), self.accept[state[hit]]), 1))
+        return state, np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+
     def scan(self, texts: list[str], chunk: int = 2048, overlap: int = 256) -> list[tuple[int, int, int]]:
-        """(text, position after the match, bit set of patterns), each place once, in order."""
+        """(text, position after the match, bit set of patterns), each place once, in order.
+
+        A chunk starts in the state that the ``overlap`` before it leads to. Where the chunk
+        before ends in another state (a match in progress is longer than the overlap) it is
+        scanned again from that one, so results do not depend on where chunks begin.
+        """
         code = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         code = np.minimum(code, 128).astype(np.int32)
         n = len(code)
@@ -138,18 +153,16 @@ class Automaton:
         padded[overlap : overlap + n] = code
         view = np.lib.stride_tricks.sliding_window_view(padded, overlap + chunk)[::chunk]
         columns = np.ascontiguousarray(view.T)
-        state = np.zeros(lanes, np.int32)
-        hot = self.accept > 0
-        flat, out = self.flat, []
-        for k in range(overlap + chunk):
-            state = flat[state * 129 + columns[k]]
-            if k >= overlap:  # the part before is only there to reach the right state
-                hit = np.flatnonzero(hot[state])
-                if len(hit):
-                    out.append(np.stack((hit * chunk + (k - overlap) + 1, self.accept[state[hit]]), 1))
-        if not out:
+        begin, _ = self._run(np.zeros(lanes, np.int32), columns[:overlap])
+        end, hits = self._run(begin, columns[overlap:])
+        while len(wrong := np.flatnonzero(begin[1:] != end[:-1]) + 1):
+            begin[wrong] = end[wrong - 1]
+            end[wrong], again = self._run(begin[wrong], columns[overlap:, wrong])
+            again[:, 0] = wrong[again[:, 0]]
+            hits = np.concatenate((hits[~np.isin(hits[:, 0], wrong)], again))
+        if not len(hits):
             return []
-        spots = np.concatenate(out)
+        spots = np.stack((hits[:, 0] * chunk + hits[:, 1] + 1, hits[:, 2]), 1)
         spots = spots[np.argsort(spots[:, 0], kind="stable")]
         ends = np.cumsum([len(t) + 1 for t in texts])
         # a place right behind the line break between two texts belongs to none

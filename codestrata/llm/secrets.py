@@ -3,14 +3,15 @@
 Token formats, key armour, connection strings and named values are one
 deterministic automaton (:mod:`codestrata.llm.automaton`). It reports where a
 value begins (or, for token formats, that one has begun); the value's end and
-its usability are then read at that place only. Chunks overlap by 256
-characters, so an introduction of a value (name, separator, user name) may be
-up to that long; places are absolute and each credential is reported once,
-however many patterns meet in it.
+its usability are then read at that place only. Chunks overlap, and where an
+introduction (name, separator, user name) is longer than the overlap the chunk is
+scanned again from the right state; places are absolute and each credential is
+reported once, however many patterns meet in it. Values may be of any length.
 
-Usable means: neither a placeholder (asterisks, angle or curly brackets, words
-such as TODO), nor a lookup (``os.environ``, ``${NAME}``), nor an identifier,
-nor a UUID. Hashes and ids count only under a credential's name.
+Usable means: six characters or more, neither a placeholder (asterisks, angle or
+curly brackets around a name, words such as TODO), nor a lookup (``os.environ``,
+``${NAME}``, a call), nor an identifier, nor a UUID. Hashes and ids count only under
+a credential's name; of the address of a web hook only the last part is secret.
 
 Defined results: null and empty fields have no credentials; redaction keeps
 nulls null and texts without credentials unchanged; spans are counted in code
@@ -78,11 +79,12 @@ _SCHEME = re.compile(r"(?:bearer|basic|token|digest|apikey|x-[a-z-]*(?:key|token
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.I)
 _PATH = re.compile(r"[A-Za-z_]\w*(?:(?:\.|::|->)[A-Za-z_]\w*)+|[a-z]+(?:_[a-z]+)*(?:_v?\d{1,2}|New|_)?|[A-Z]+(?:_[A-Z0-9]+)*|[A-Za-z][a-z]+(?:[A-Z][a-z]+)*(?:_?v\d{1,2}|_)?")
 _DUMMY = re.compile(r"(?i)(?:.*(?:your|example|placeholder|changeme|change_me|replace|redacted|dummy|insert|secret_from|from_vault|vault_|todo|fixme|xxxx|\.\.\.|env\.|environ|getenv|lookup|password|passwd).*|(.)\1*|none|null|true|false|test|foobar)")
-_STRONG = re.compile(r"[A-Za-z0-9!#$%&*+,./:=?@^_~-]{6,}")
+#: A name in brackets, a call, an escape: not a value but how one is made.
+_TEMPLATE = re.compile(r"<[^<>]*>|\{[^{}]*\}|\$\(|%\(\w|^\(|\w\(\)|\w\([\"'A-Za-z_][^()]*\)$|\\(?:[ntrux0-9\"'\\]|$)")
 
 
 def usable(v: str, quoted: bool) -> bool:
-    if len(v) < 6 or len(v) > 4096 or not v.isascii() or any(c.isspace() or c in "<>{}()\\" for c in v):
+    if len(v) < 6 or any(c.isspace() for c in v) or _TEMPLATE.search(v) or not quoted and re.search(r"[<>{}()\\]", v):
         return False
     if v[0] in "$%@" and re.match(r"[$%@][A-Za-z_{(]\w*\)?}?$", v) or _UUID.fullmatch(v) or _DUMMY.fullmatch(v) or _PATH.fullmatch(v):
         return False
@@ -106,8 +108,9 @@ def _quoted_or_bare(text: str, at: int) -> tuple[int, int, bool] | None:
     m = _QUOTED.match(text, at)
     if m:
         close = m.group(1) or "\\" + m.group(2)
-        end = text.find(close, m.end(), m.end() + 5000)
-        return (m.end(), end, True) if end >= 0 and "\n" not in text[m.end() : end] else None
+        line = text.find("\n", m.end())
+        end = text.find(close, m.end(), line if line >= 0 else len(text))
+        return (m.end(), end, True) if end >= 0 else None
     m = re.compile(r"[ \t]*").match(text, at)
     b = _BARE.match(text, m.end())
     return (b.start(), b.end(), False) if b else None
@@ -130,11 +133,11 @@ def _value(text: str, at: int, name: str) -> tuple[int, int, str] | None:
                 return None if _DUMMY.fullmatch(body) or len(set(body[8:])) < 5 else (start, m.end(), "token")
         return None
     if name in ("url", "url_nouser"):
-        m = re.compile(r"[^\s\"'`<>@/]{1,500}(?=@[\w.-])").match(text, at)
+        m = re.compile(r"[^\s\"'`<>@/]+(?=@[\w.-])").match(text, at)
         return (m.start(), m.end(), "password") if m and usable(m.group(), True) else None
     if name == "hook":
         m = re.compile(r"[A-Za-z0-9]{16,}(?!\w)").match(text, at)
-        return (text.rfind("/services/", 0, at) + 10, m.end(), "token") if m else None
+        return (m.start(), m.end(), "token") if m else None
     if name in ("curl", "creds", "login", "login_is", "key_is", "prose"):
         m = re.compile(r"[^\s\"'`,;<>(){}]+").match(text, at)
         if not m:

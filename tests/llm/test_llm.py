@@ -295,6 +295,29 @@ def test_credentials_at_chunk_borders():
         assert [text[s:e] for s, e, _ in spans] == ["Tray!smooth2882", key]
 
 
+def test_introductions_of_any_length():
+    """A match in progress across several chunks is found wherever the chunks begin."""
+    for pad in (0, 700, 1900, 2047):
+        text = "x" * pad + " login is " + "u" * 5000 + " with  Ab3dE5gH7!x ok"
+        (spans,) = secrets.find([text])
+        assert [text[s:e] for s, e, _ in spans] == ["Ab3dE5gH7!x"]
+    auto = Automaton({"a": seq(lit("("), many(chars("x")), lit(")"))})
+    text = "(" + "x" * 9000 + ")" + "(" * 300 + "xx)"
+    assert [p for _, p, _ in auto.scan([text], chunk=64, overlap=8)] == [m.end() for m in re.finditer(r"\(x*\)", text)]
+
+
+def test_values_of_any_length_and_script():
+    rng = random.Random(3)
+    big = "".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(9000))
+    cases = [(f'password = "{big}"', big), (f"token = '{big[:5200]}'", big[:5200]), (f'url = "https://bob:{big[:900]}@host.x/"', big[:900]), ('password = "Pässwort-2882!x"', "Pässwort-2882!x"), ('password = "Ab(3d)E5gH7!"', "Ab(3d)E5gH7!")]
+    cases.append(('hook = "https://hooks.x.test/services/T1AB2CD3/B9ZZ8YY7/Xy12Zw34Ab56Cd78Ef90Gh12"', "Xy12Zw34Ab56Cd78Ef90Gh12"))
+    for text, value in cases:
+        (spans,) = secrets.find([text])
+        assert [text[s:e] for s, e, _ in spans] == [value]
+    for text in ('password = "{password}"', 'password = "<your-pass1>"', 'password = decrypt("Ab3dE5gH7")', 'db_password: "p{3}Xy!99a"'):
+        assert secrets.find([text]) == [[]]
+
+
 def test_redaction_frame(spark):
     rows = [("1", "DB_PASSWORD='Tray!smooth2882'", None, ""), ("2", None, None, None), ("3", "plain", "pw=Tray!smooth2882", "ok"), ("3", "plain", "pw=Tray!smooth2882", "ok")]
     df = spark.createDataFrame([(*r, "f", 1) for r in rows], "id string, new_code string, old_code string, context string, field string, start_at int")
@@ -375,7 +398,7 @@ def test_leaks_equal_brute_force(spark):
     dd = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id bigint, text string, item_id int")
     ii = spark.createDataFrame(items, "item_id bigint, text string")
     assert want
-    for kw in ({}, {"shard_words": 50}, {"block_chars": 100}):
+    for kw in ({}, {"shard_words": 50}, {"block_phrases": 7}, {"block_phrases": 7, "blocks": 2, "shard_words": 300}):
         assert {tuple(r) for r in leaks.occurrences(dd, ii, n, **kw).collect()} == want
     for r in leaks.removal_spans(dd, ii, n).collect():
         text = dict(docs)[r.doc_id]
