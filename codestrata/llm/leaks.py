@@ -11,9 +11,11 @@ once through its ranks, and occurrences are located by walking to sampled
 suffix positions. Separators sort by position, so suffixes never compare across
 documents and a million copies of one text cost no extra rounds.
 
-The test items are broadcast in blocks of at most ``block_chars`` characters;
-more items mean more passes over the corpus, not a larger broadcast. There is
-no shuffle: a document's rows all come from its own task.
+The phrases of the test items are made once, on the driver, as arrays of word
+numbers in blocks of at most 200,000 (8 MB each), and broadcast; a task indexes a
+shard once and searches block after block in it. After 20 blocks a further pass over
+the corpus begins, so broadcasts stay bounded however many items there are. There
+is no shuffle: a document's rows all come from its own task.
 
 Defined results: null, empty and short texts leak nothing; items of fewer than
 ``n`` words cannot leak; an item that occurs several times in a document gives
@@ -26,7 +28,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -162,22 +164,48 @@ class Index:
 
 
 class Phrases:
-    """All runs of n words of the test items."""
-
-    def __init__(self, items: list[tuple[int, str]], n: int):
-        self.n = n
-        self.ids: dict[str, int] = {}
-        known: dict[tuple[int, ...], set[int]] = {}
-        for item, text in items:
-            w = words(text or "")
-            if len(w) >= n:
-                nums = [self.ids.setdefault(x, len(self.ids) + 1) for x in w]
-                for i in range(len(w) - n + 1):
-                    known.setdefault(tuple(nums[i : i + n]), set()).add(item)
-        self.rows = np.array(list(known), np.int64).reshape(len(known), n)
-        who = [sorted(s) for s in known.values()]
-        self.first = np.concatenate(([0], np.cumsum([len(s) for s in who]))).astype(np.int64)
-        self.items = np.array([i for s in who for i in s], np.int64)
+    """A block of runs of n words (numbers of the vocabulary) with the items that have each."""
+
+    def __init__(self, rows: np.ndarray, items: np.ndarray):
+        n = rows.shape[1]
+        rows = np.ascontiguousarray(rows, np.int32)
+        _, at, same = np.unique(rows.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack((same.ravel().astype(np.int64), items), 1), axis=0)
+        self.rows, self.items = rows[at], pairs[:, 1]
+        self.first = np.concatenate(([0], np.cumsum(np.bincount(pairs[:, 0], minlength=len(at))))).astype(np.int64)
+
+
+def phrase_blocks(items: Iterable[tuple[int, str | None]], n: int, block: int, blocks: int) -> Iterator[tuple[dict[str, int], list[Phrases]]]:
+    """(vocabulary, blocks of at most about ``block`` phrases) for each pass of at most ``blocks`` blocks."""
+    ids: dict[str, int] = {}
+    done: list[Phrases] = []
+    rows: list[np.ndarray] = []
+    whose: list[np.ndarray] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        if rows:
+            done.append(Phrases(np.concatenate(rows), np.concatenate(whose)))
+            rows.clear()
+            whose.clear()
+            size = 0
+
+    for item, text in items:
+        w = words(text or "")
+        for at in range(0, len(w) - n + 1, block):  # a very long item goes on in the next block
+            part = np.array([ids.setdefault(x, len(ids) + 1) for x in w[at : at + block + n - 1]], np.int32)
+            rows.append(np.lib.stride_tricks.sliding_window_view(part, n))
+            whose.append(np.full(len(part) - n + 1, item, np.int64))
+            size += len(part) - n + 1
+            if size >= block:
+                close()
+        if len(done) >= blocks:  # an item stays within one pass
+            yield ids, done
+            ids, done = {}, []
+    close()
+    if done:
+        yield ids, done
 
 
 def _runs(seq: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,66 +226,74 @@ def _runs(seq: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return text, place
 
 
-def search_shard(ids: list[list[int]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, phrase, word) of every occurrence in the documents of one shard."""
+def search_shard(ids: list[list[int]], blocks: Iterable[Phrases], n: int, size: int) -> np.ndarray:
+    """(document, item, word) of every occurrence in the documents of one shard: indexed once,
+    every block of phrases is searched in it. ``size``: one more than the largest word number."""
     sizes = np.array([len(x) + 1 for x in ids], np.int64)
     ends = np.cumsum(sizes)
     seq = np.zeros(int(ends[-1]), np.int64)
     for x, e in zip(ids, ends, strict=True):
         seq[e - 1 - len(x) : e - 1] = x
-    text, place = _runs(seq, phrases.n)
-    if len(text) <= 1 or not len(phrases.rows):
-        z = np.zeros(0, np.int64)
-        return z, z, z
-    who, at = Index(text, len(phrases.ids) + 1).search(phrases.rows)
-    at = place[at]
-    doc = np.searchsorted(ends, at, side="right")
-    return doc, who, at - (ends[doc] - sizes[doc])
-
-
-def _blocks(items: DataFrame, key: str, text: str, block_chars: int) -> list[list[tuple[int, str]]]:
-    total = items.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
-    n = max(1, -(-int(total) // block_chars))
-    rows = items.where(F.col(text).isNotNull()).select(key, text)
-    return [[tuple(r) for r in rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == b).collect()] for b in range(n)]
-
-
-def occurrences(documents: DataFrame, items: DataFrame, n: int = 10, shard_words: int = 1_000_000, block_chars: int = 32_000_000, spans: bool = False) -> DataFrame:
-    """(doc_id, item_id) of all leaks; with ``spans`` also the merged spans of the item in the text."""
+    text, place = _runs(seq, n)
+    found = [np.zeros((0, 3), np.int64)]
+    if len(text) > 1:
+        index = Index(text, size)
+        for phrases in blocks:
+            who, at = index.search(phrases.rows.astype(np.int64))
+            at = place[at]
+            doc = np.searchsorted(ends, at, side="right")
+            at = at - (ends[doc] - sizes[doc])
+            count = phrases.first[who + 1] - phrases.first[who]
+            rows = np.repeat(phrases.first[who] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+            found.append(np.stack((np.repeat(doc, count), phrases.items[rows], np.repeat(at, count)), 1) if len(who) else found[0])
+    return np.concatenate(found)
+
+
+def occurrences(documents: DataFrame, items: DataFrame, n: int = 10, shard_words: int = 1_000_000, block_phrases: int = 200_000, blocks: int = 20, spans: bool = False) -> DataFrame:
+    """(doc_id, item_id) of all leaks; with ``spans`` also the merged spans of the item in the text.
+
+    The phrases of the items go out in blocks; a shard is indexed once and the blocks pass by
+    it one at a time. More than ``blocks`` blocks make a further pass over the corpus.
+    """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint" + ", spans array<struct<start:bigint,end:bigint>>" * spans
     out = None
-    for block in _blocks(items, "item_id", "text", block_chars):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            phrases = Phrases(shared.value, n)
-            get = phrases.ids.get
-            docs: list[tuple[int, str | None]] = []
-            ids: list[list[int]] = []
-            size = 0
+    docs = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null")
+    rows = ((r[0], r[1]) for r in items.where(F.col("text").isNotNull()).select("item_id", "text").toLocalIterator())
+    for ids, parts in phrase_blocks(rows, n, block_phrases, blocks):
+        vocabulary = spark.sparkContext.broadcast(ids)
+        shared = [spark.sparkContext.broadcast(p) for p in parts]
+
+        def run(batches: Iterator[pd.DataFrame], vocabulary=vocabulary, shared=shared) -> Iterator[pd.DataFrame]:  # noqa: ANN001
+            get, size = vocabulary.value.get, len(vocabulary.value) + 1
+
+            def passing() -> Iterator[Phrases]:
+                for b in shared:
+                    yield b.value
+                    if len(shared) > 1:
+                        b.__dict__.pop("_value", None)  # read again from its file for the next shard
+
+            held: list[tuple[int, str | None]] = []
+            nums: list[list[int]] = []
+            many = 0
             for pdf in batches:
                 for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                     if text:
-                        docs.append((doc, text if spans else None))
-                        ids.append([get(w, 0) for w in words(text)])
-                        size += len(ids[-1])
-                        if size >= shard_words:
-                            yield _report(docs, ids, phrases, spans)
-                            docs, ids, size = [], [], 0
-            if docs:
-                yield _report(docs, ids, phrases, spans)
-
-        part = documents.select(F.col("doc_id").cast("bigint"), "text").where("text is not null").mapInPandas(run, schema)
+                        held.append((doc, text if spans else None))
+                        nums.append([get(w, 0) for w in words(text)])
+                        many += len(nums[-1])
+                        if many >= shard_words:
+                            yield _report(held, search_shard(nums, passing(), n, size), n, spans)
+                            held, nums, many = [], [], 0
+            if held:
+                yield _report(held, search_shard(nums, passing(), n, size), n, spans)
+
+        part = docs.mapInPandas(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return docs.mapInPandas(lambda batches: iter(()), schema) if out is None else out
 
 
-def _report(docs: list, ids: list, phrases: Phrases, spans: bool) -> pd.DataFrame:
-    doc, who, at = search_shard(ids, phrases)
-    count = phrases.first[who + 1] - phrases.first[who]
-    rows = np.repeat(phrases.first[who] - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-    hit = np.stack((np.repeat(doc, count), phrases.items[rows], np.repeat(at, count)), 1) if len(who) else np.zeros((0, 3), np.int64)
+def _report(docs: list, hit: np.ndarray, n: int, spans: bool) -> pd.DataFrame:
     keys = [d for d, _ in docs]
     if not spans:
         two = np.unique(hit[:, :2], axis=0)
@@ -268,7 +304,7 @@ def _report(docs: list, ids: list, phrases: Phrases, spans: bool) -> pd.DataFram
     for d, item, w in hit[order].tolist():
         if place[0] != d:
             place = (d, word_spans(docs[d][1]))
-        s, e = place[1][w][0], place[1][w + phrases.n - 1][1]
+        s, e = place[1][w][0], place[1][w + n - 1][1]
         if found and found[-1][3:] == (d,) and found[-1][1] == item:
             if s <= found[-1][2][-1]["end"]:
                 found[-1][2][-1]["end"] = e
