@@ -58,7 +58,9 @@ def pieces(df: DataFrame, key: str = "id", text: str = "new_code", limit: int =
         ),
     )
     lead = F.transform(before, lambda b: F.regexp_extract(b, r"(?s)\n(.*\n)\z", 1)) if overlap else F.transform("__c", lambda c: F.lit(""))
-    starts = F.transform("__c", lambda c, i: F.aggregate(F.slice("__c", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)))
+    # where each core starts: one running sum over their lengths
+    starts = F.aggregate("__c", F.array(F.lit(0).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + F.length(x))))
+    starts = F.slice(starts, F.lit(1), F.size("__c"))
     rows = parts.select(key, F.size("__c").alias("n_pieces"), F.posexplode(F.arrays_zip(F.col("__c").alias("c"), lead.alias("o"), starts.alias("s"))).alias("__i", "__p"))
     size = F.length("__p.o")
     return rows.select(
