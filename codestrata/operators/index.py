@@ -10,40 +10,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import outline, pycode
+from codestrata.functions import bracecode, outline, pycode
 from codestrata.functions.code_filter import extension
 from codestrata.functions.paths import content_hash, module_name
 
 _RANGE = "start_line int, start_col int, end_line int, end_col int"
 SCHEMAS = {
-    "symbols": f"seq int, name string, kind string, qualified_name string, {_RANGE}, scope_id int, type_string string, docstring string, imported_from string, import_name string, is_public boolean, is_exported boolean, is_async boolean, decorators array<string>, value_call string",
+    "symbols": f"seq int, name string, kind string, qualified_name string, {_RANGE}, scope_id int, type_string string, docstring string, imported_from string, import_name string, is_public boolean, is_exported boolean, is_async boolean, decorators array<string>, value_call string, parameters array<struct<name:string,type:string>>, base_classes array<string>",
     "references": f"name string, {_RANGE}, resolved string, scope_id int, is_read boolean, is_write boolean, is_call boolean",
     "scopes": f"scope_id int, kind string, name string, {_RANGE}, parent_id int",
     "calls": "caller string, callee string, line int, col int",
     "all_names": "name string",
+    "files": "language string, lines int, error_lines int",
 }
+#: What the index reads, by the ending of the path.
+SOURCES = (".py", *(e for e in outline.LANGUAGES if e != ".java"))
+
+
+def module_of(path: Column) -> Column:
+    """The module of a source: dotted path without the ending of any indexed language."""
+    return module_name(F.regexp_replace(path, "\\.(?:" + "|".join(e[1:] for e in SOURCES if e != ".py") + ")$", ""))
 
 
 def latest_files(memory: DataFrame) -> DataFrame:
-    """One Python source per path: that of the last row by (at_us, id); rows without a time come before
+    """One source per path: that of the last row by (at_us, id); rows without a time come before
     all others. Texts of the losers do not move."""
-    py = memory.where(F.lower("file_path").endswith(".py"))
-    last = py.groupBy("file_path").agg(F.max_by("id", F.struct("at_us", "id")).alias("id"))
-    return py.join(last, ["file_path", "id"], "left_semi").select("file_path", F.col("new_code").alias("code"))
+    src = memory.where(extension(F.col("file_path")).isin(*SOURCES))
+    last = src.groupBy("file_path").agg(F.max_by("id", F.struct("at_us", "id")).alias("id"))
+    return src.join(last, ["file_path", "id"], "left_semi").select("file_path", F.col("new_code").alias("code"))
 
 
 def facts(files: DataFrame) -> DataFrame:
-    """(file_path, what, row): every fact of every file as one row, parsed once; narrow."""
-    modules = files.select("file_path", "code", module_name(F.col("file_path")).alias("module"))
+    """(file_path, what, row): every fact of every file as one row, parsed once; narrow. Each file has
+    a row of ``files``, whatever could be read of it."""
+    modules = files.select("file_path", "code", module_of(F.col("file_path")).alias("module"), extension(F.col("file_path")).alias("ext"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for path, code, module in zip(pdf["file_path"], pdf["code"], pdf["module"], strict=True):
-                try:
-                    got = pycode.Indexer(module).run(code or "")
-                except RecursionError:
-                    continue
+            for path, code, module, ext in zip(pdf["file_path"], pdf["code"], pdf["module"], pdf["ext"], strict=True):
+                code = code or ""
+                if ext in outline.LANGUAGES:
+                    got = bracecode.index(module, code, ext)
+                    got.files.append({"language": outline.LANGUAGES[ext], "lines": code.count("\n") + 1, "error_lines": 0})
+                else:
+                    got = pycode.Indexer(module).run(code)
                 for what in SCHEMAS:
                     rows += [(path, what, json.dumps(r)) for r in getattr(got, what)]
             yield pd.DataFrame(rows, columns=["file_path", "what", "row"])
@@ -83,19 +94,68 @@ def search_symbols(symbols: DataFrame, query: str, file_path: str | None = None)
 
 
 def signature(s: DataFrame) -> DataFrame:
-    """Add ``signature``: async and kind words, qualified name, type."""
-    word = F.when(F.col("kind").isin("function", "method"), F.lit("def ")).when(F.col("kind") == "class", F.lit("class ")).otherwise(F.lit(""))
-    arrow = F.when(F.col("kind").isin("function", "method"), F.lit(" -> ")).otherwise(F.lit(": "))
-    t = F.when(F.col("type_string").isNotNull(), F.concat(arrow, F.col("type_string"))).otherwise(F.lit(""))
-    return s.withColumn("signature", F.concat(F.when(F.col("is_async"), "async ").otherwise(""), word, F.col("name"), F.when(F.col("kind").isin("function", "method"), "()").otherwise(""), t))
+    """Add ``signature``: name, parameters with types and result of a function, bases of a class, type of the rest."""
+    params = F.array_join(F.transform("parameters", lambda p: F.concat(p["name"], F.coalesce(F.concat(F.lit(": "), p["type"]), F.lit("")))), ", ")
+    call = F.concat(F.when(F.col("is_async"), "async ").otherwise(""), F.col("name"), F.lit("("), params, F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), "type_string"), F.lit("")))
+    bases = F.when(F.size("base_classes") > 0, F.concat(F.lit("("), F.array_join("base_classes", ", "), F.lit(")"))).otherwise("")
+    typed = F.concat("name", F.coalesce(F.concat(F.lit(": "), "type_string"), F.lit("")))
+    return s.withColumn("signature", F.when(_callable(), call).when(F.col("kind") == "class", F.concat(F.lit("class "), "name", bases)).otherwise(typed))
+
+
+
+
+def _callable() -> Column:
+    return F.col("kind").isin("function", "method")
+
+
+# What hover calls each kind of symbol.
+KIND_NAMES = {"function": "Function", "method": "Method", "class": "Class", "variable": "Variable", "parameter": "Parameter", "import": "Imported module/name", "constant": "Constant", "property": "Property", "attribute": "Attribute"}
+
+
+def _listed(items: str, shown: int = 3) -> Column:
+    more = F.when(F.size(items) > shown, F.format_string(" (+%d more)", F.size(items) - shown)).otherwise("")
+    return F.concat(F.array_join(F.slice(items, 1, shown), ", "), more)
+
+
+def titled(symbols: DataFrame) -> DataFrame:
+    """Symbols with ``signature``, ``title`` by kind and ``description``: the docstring, else what is known of the symbol."""
+    s = signature(symbols)
+    async_ = F.when(F.col("is_async"), "async ").otherwise("")
+    plain = F.regexp_replace("signature", "^async ", "")
+    typed = F.concat("name", F.coalesce(F.concat(F.lit(": "), "type_string"), F.lit("")))
+    origin = F.when(F.col("import_name").isNull() & F.col("imported_from").isNotNull() & (F.col("imported_from") != F.col("name")), F.concat(F.lit("import "), "imported_from", F.lit(" as "), "name"))
+    origin = F.coalesce(origin, F.when(F.col("import_name").isNotNull(), F.concat(F.lit("from "), "imported_from", F.lit(" import "), "import_name", F.when(F.col("name") != F.col("import_name"), F.concat(F.lit(" as "), "name")).otherwise(""))), F.concat(F.lit("import "), "name"))
+    title = (
+        F.when(_callable(), F.concat(async_, F.lit("def "), plain)).when(F.col("kind") == "class", F.col("signature")).when(F.col("kind") == "import", origin)
+        .when(F.col("kind").isin("parameter", "constant", "property"), F.concat(F.lit("("), "kind", F.lit(") "), typed)).otherwise(typed)
+    )
+    kind = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in KIND_NAMES.items()], F.lit("Symbol"))
+    told = F.concat_ws(
+        "\n", F.concat(F.lit("*"), kind, F.lit("*")), F.when(~F.col("is_public"), "(private)"), F.when(F.col("is_async"), "async"),
+        F.when(F.size("decorators") > 0, F.concat(F.lit("Decorators: "), _listed("decorators"))), F.when(F.size("base_classes") > 0, F.concat(F.lit("Inherits from: "), _listed("base_classes"))),
+        F.concat(F.lit("Imported from: "), "imported_from"),
+    )
+    return s.withColumns({"title": title, "description": F.coalesce("docstring", told)})
 
 
 def hover(symbols: DataFrame) -> DataFrame:
-    """(file_path, qualified_name, markdown): title, description, origin."""
-    s = signature(last_definitions(symbols))
-    origin = F.when(F.col("imported_from").isNotNull(), F.concat(F.lit("*from* `"), F.col("imported_from"), F.lit("`")))
-    md = F.concat_ws("\n\n", F.concat(F.lit("```python\n"), F.col("signature"), F.lit("\n```")), F.col("docstring"), origin)
-    return s.select("file_path", "qualified_name", md.alias("markdown"))
+    """(file_path, qualified_name, kind, title, markdown) of every symbol."""
+    s = titled(last_definitions(symbols))
+    md = F.concat_ws("\n\n", F.concat(F.lit("```\n"), "title", F.lit("\n```")), F.when(F.col("description") != "", F.col("description")))
+    return s.select("file_path", "qualified_name", "kind", "title", md.alias("markdown"))
+
+
+def hover_at(positions: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """(pos_id, qualified_name, kind, title, markdown): hover for what stands at each position."""
+    at = entity_at(positions, symbols, references).where("qualified_name is not null").select("pos_id", "qualified_name")
+    h = hover(symbols)
+    one = h.groupBy("qualified_name").agg(F.min(F.struct("file_path", "kind", "title", "markdown")).alias("h"))
+    return at.join(one, "qualified_name").select("pos_id", "qualified_name", "h.kind", "h.title", "h.markdown")
+
+
+def signature_help(positions: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """(pos_id, title): for positions on functions and methods only."""
+    return hover_at(positions, symbols, references).where(_callable()).select("pos_id", "title")
 
 
 def _inside(line: Column, col: Column) -> Column:
@@ -155,7 +215,7 @@ def resolve_names(references: DataFrame, symbols: DataFrame, scopes: DataFrame)
 def module_exports(symbols: DataFrame) -> DataFrame:
     """(module, name, qualified_name, file_path): what a module offers."""
     s = last_definitions(symbols).where("is_exported and is_public and scope_id = 0")
-    return s.select(module_name(F.col("file_path")).alias("module"), "name", "qualified_name", "file_path")
+    return s.select(module_of(F.col("file_path")).alias("module"), "name", "qualified_name", "file_path")
 
 
 def definitions(references: DataFrame, symbols: DataFrame, scopes: DataFrame) -> DataFrame:
@@ -171,17 +231,55 @@ def definitions(references: DataFrame, symbols: DataFrame, scopes: DataFrame) ->
     return out.select("file_path", "start_line", "start_col", "name", F.coalesce("target", "qualified_name").alias("qualified_name"), F.coalesce("def_file", "file_path").alias("def_file"), "def_line", status.alias("status"))
 
 
-def references_to(symbols: DataFrame, references: DataFrame) -> DataFrame:
-    """(file_path, qualified_name, reads, writes, calls): by qualified name, or by simple name while unresolved.
+def reference_rows(symbols: DataFrame, references: DataFrame, declarations: bool = True) -> DataFrame:
+    """(qualified_name, position, file_path, start_line, start_col, use): every use of every symbol, in the order of
+    places with the declaration (a write) before the uses of its line. A call counts as a call even if it writes.
 
-    Two equi-joins instead of one join with OR.
+    By qualified name, or by simple name in its file while unresolved: two equi-joins instead of one with OR.
     """
-    s = last_definitions(symbols).select(F.col("file_path").alias("def_file"), "qualified_name", "name")
-    known = references.where("resolved is not null").join(s.select("qualified_name", "def_file"), F.col("resolved") == F.col("qualified_name")).select("def_file", "qualified_name", "is_read", "is_write", "is_call")
-    loose = references.where("resolved is null").join(s.withColumnRenamed("def_file", "file_path"), ["file_path", "name"]).select(F.col("file_path").alias("def_file"), "qualified_name", "is_read", "is_write", "is_call")
-    n = known.unionByName(loose).groupBy("def_file", "qualified_name")
-    n = n.agg(F.count_if(F.col("is_read") & ~F.col("is_call")).alias("reads"), F.count_if(F.col("is_write") & ~F.col("is_call")).alias("writes"), F.count_if("is_call").alias("calls"))
-    return n.select(F.col("def_file").alias("file_path"), "qualified_name", "reads", "writes", "calls")
+    s = last_definitions(symbols)
+    use = F.when(F.col("is_call"), "call").when(F.col("is_write"), "write").otherwise("read")
+    place = ["file_path", "start_line", "start_col"]
+    r = references.select(*place, "name", "resolved", use.alias("use"))
+    names = s.select("qualified_name").distinct()
+    known = r.where("resolved is not null").join(names, F.col("resolved") == F.col("qualified_name")).select("qualified_name", *place, "use", F.lit(1).alias("late"))
+    loose = r.where("resolved is null").join(s.select("file_path", "name", "qualified_name"), ["file_path", "name"]).select("qualified_name", *place, "use", F.lit(1).alias("late"))
+    rows = known.unionByName(loose)
+    if declarations:
+        rows = rows.unionByName(s.select("qualified_name", *place, F.lit("write").alias("use"), F.lit(0).alias("late")))
+    w = Window.partitionBy("qualified_name").orderBy("file_path", "start_line", "late", "start_col", "use")
+    return rows.withColumn("position", F.row_number().over(w)).drop("late")
+
+
+def references_at(positions: DataFrame, symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """(pos_id, position, file_path, start_line, start_col, use): the uses of what stands at each position."""
+    at = entity_at(positions, symbols, references).where("qualified_name is not null").select("pos_id", "qualified_name")
+    return at.join(reference_rows(symbols, references), "qualified_name").select("pos_id", "position", "file_path", "start_line", "start_col", "use")
+
+
+def references_to(symbols: DataFrame, references: DataFrame) -> DataFrame:
+    """(file_path, qualified_name, reads, writes, calls) of every symbol that is used."""
+    n = reference_rows(symbols, references, declarations=False).groupBy("qualified_name")
+    n = n.agg(*[F.count_if(F.col("use") == u).alias(f"{u}s") for u in ("read", "write", "call")])
+    home = last_definitions(symbols).groupBy("qualified_name").agg(F.min("file_path").alias("file_path"))
+    return n.join(home, "qualified_name").select("file_path", "qualified_name", "reads", "writes", "calls")
+
+
+def remove_files(parsed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The facts without those of the files (file_path) in ``gone``."""
+    return parsed.join(gone.select("file_path"), "file_path", "left_anti")
+
+
+def completeness(files: DataFrame, least: float = 0.9) -> DataFrame:
+    """Add ``error_ratio``, ``has_errors`` and ``is_complete`` to the rows of ``files``."""
+    ratio = F.coalesce(F.try_divide(F.col("error_lines"), F.col("lines")), F.lit(0.0))
+    return files.withColumns({"error_ratio": F.round(ratio, 6), "has_errors": F.col("error_lines") > 0, "is_complete": ratio <= 1 - least})
+
+
+def imports_by_module(symbols: DataFrame) -> DataFrame:
+    """(file_path, imported_from, names): the names each file takes from each module, sorted."""
+    s = symbols.where("kind = 'import' and imported_from is not null")
+    return s.groupBy("file_path", "imported_from").agg(F.array_sort(F.collect_set(F.coalesce("import_name", "name"))).alias("names"))
 
 
 def unused(symbols: DataFrame, references: DataFrame) -> DataFrame:
@@ -197,7 +295,7 @@ def import_edges(symbols: DataFrame) -> DataFrame:
     """(src, dst) between modules; relative names are made absolute."""
     from codestrata.functions.paths import relative_import
 
-    module = module_name(F.col("file_path"))
+    module = module_of(F.col("file_path"))
     package = F.col("file_path").endswith("__init__.py")
     s = symbols.where("kind = 'import' and imported_from is not null")
     return s.select(module.alias("src"), relative_import(F.col("imported_from"), module, package).alias("dst")).distinct()
@@ -205,7 +303,7 @@ def import_edges(symbols: DataFrame) -> DataFrame:
 
 def index_stats(parsed: DataFrame) -> DataFrame:
     c = lambda w: F.count_if(F.col("what") == w).alias(w)
-    return parsed.agg(F.countDistinct("file_path").alias("files"), *[c(w) for w in SCHEMAS])
+    return parsed.agg(F.countDistinct("file_path").alias("files"), *[c(w) for w in SCHEMAS if w != "files"])
 
 
 def infer_types(symbols: DataFrame) -> DataFrame:
@@ -229,7 +327,7 @@ def changed_files(files: DataFrame, indexed: DataFrame) -> DataFrame:
 
 def affected_files(changed: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """Direct importers of changed files."""
-    m = files.select("file_path", module_name(F.col("file_path")).alias("module"))
-    c = changed.select(module_name(F.col("file_path")).alias("dst"))
+    m = files.select("file_path", module_of(F.col("file_path")).alias("module"))
+    c = changed.select(module_of(F.col("file_path")).alias("dst"))
     hit = imports.join(c, "dst", "left_semi").select(F.col("src").alias("module")).distinct()
     return m.join(hit, "module", "left_semi").select("file_path")

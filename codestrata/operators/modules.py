@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.functions.paths import module_name, relative_import
-from codestrata.operators.index import last_definitions
+from codestrata.functions.paths import relative_import
+from codestrata.operators.index import last_definitions, module_of
 from codestrata.session import cut
 
 
 def imports(symbols: DataFrame) -> DataFrame:
     """(module, name, source, original): the names each module imports; ``*`` for a star, null original for a whole module."""
     s = symbols.where("kind = 'import' and scope_id = 0 and imported_from is not null")
-    module = module_name(F.col("file_path"))
+    module = module_of(F.col("file_path"))
     source = relative_import(F.col("imported_from"), module, F.col("file_path").endswith("__init__.py"), strict=True)
     return s.select(module.alias("module"), "name", source.alias("source"), F.col("import_name").alias("original")).distinct()
 
@@ -21,7 +21,7 @@ def imports(symbols: DataFrame) -> DataFrame:
 def defined(symbols: DataFrame) -> DataFrame:
     """(module, name, is_public): names a module defines itself at its top level."""
     s = last_definitions(symbols).where("scope_id = 0 and kind <> 'import'")
-    return s.select(module_name(F.col("file_path")).alias("module"), "name", "is_public").distinct()
+    return s.select(module_of(F.col("file_path")).alias("module"), "name", "is_public").distinct()
 
 
 def star_names(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def star_names(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
 
 def exported_names(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
     """(module, name): what ``__all__`` lists, else public definitions and public re-exports."""
-    listed = all_names.select(module_name(F.col("file_path")).alias("module"), "name").distinct()
+    listed = all_names.select(module_of(F.col("file_path")).alias("module"), "name").distinct()
     public = defined(symbols).where("is_public").select("module", "name")
     again = imports(symbols).where(~F.col("name").startswith("_") & F.col("original").isNotNull() & (F.col("original") != "*")).select("module", "name")
     rest = public.unionByName(again).distinct().join(listed.select("module").distinct(), "module", "left_anti")
@@ -60,7 +60,7 @@ def resolve(symbols: DataFrame, all_names: DataFrame) -> DataFrame:
     hops = links.select(F.col("module").alias("source"), F.col("name").alias("original"), F.col("source").alias("s2"), F.col("original").alias("o2"))
     hops = cut(hops.unionByName(stars.select("source", "original", "s2", F.col("original").alias("o2"))))
     known = cut(defined(symbols).select(F.col("module").alias("source"), F.col("name").alias("original")).distinct())
-    here = symbols.select(module_name(F.col("file_path")).alias("source")).distinct()
+    here = symbols.select(module_of(F.col("file_path")).alias("source")).distinct()
     new = cut(links.withColumn("seen", F.array("module")))
     done = None
     while True:

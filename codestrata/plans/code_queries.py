@@ -22,7 +22,7 @@ def _timed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def code_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunks(spread(_cm(spark, d).select("id", "file_path", "new_code")), "id", "file_path", "new_code").drop("dependencies")
+    return chunking.chunks(spread(_cm(spark, d).select("id", "file_path", "new_code")), "id", "file_path", "new_code")
 
 
 def generic_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +83,7 @@ def _parsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def index_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return index.facts_table(_parsed(spark, d), "symbols").drop("decorators")
+    return index.facts_table(_parsed(spark, d), "symbols")
 
 
 def index_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -117,6 +117,46 @@ def index_references(spark: SparkSession, d: str) -> DataFrame:
     return index.references_to(s, r)
 
 
+def index_reference_rows(spark: SparkSession, d: str) -> DataFrame:
+    s, r, _ = _three(spark, d)
+    return index.reference_rows(s, r)
+
+
+def _call_sites(r: DataFrame) -> DataFrame:
+    return r.where("is_call").select(F.concat_ws(":", "file_path", "start_line", "start_col").alias("pos_id"), "file_path", F.col("start_line").alias("line"), F.col("start_col").alias("col")).distinct()
+
+
+def index_hover_at(spark: SparkSession, d: str) -> DataFrame:
+    """Hover at every call and every declaration."""
+    s, r, _ = _three(spark, d)
+    return index.hover_at(_sites(s, r), s, r)
+
+
+def _sites(s: DataFrame, r: DataFrame) -> DataFrame:
+    here = s.select(F.concat_ws(":", "file_path", "start_line", "start_col").alias("pos_id"), "file_path", F.col("start_line").alias("line"), F.col("start_col").alias("col"))
+    return _call_sites(r).unionByName(here).distinct()
+
+
+def index_references_at(spark: SparkSession, d: str) -> DataFrame:
+    """The uses of what is declared at every declaration."""
+    s, r, _ = _three(spark, d)
+    return index.references_at(_sites(s, r.limit(0)), s, r)
+
+
+def index_signature_help(spark: SparkSession, d: str) -> DataFrame:
+    s, r, _ = _three(spark, d)
+    return index.signature_help(_sites(s, r), s, r)
+
+
+def index_files(spark: SparkSession, d: str) -> DataFrame:
+    """How much of every file could be read."""
+    return index.completeness(index.facts_table(_parsed(spark, d), "files"))
+
+
+def index_import_groups(spark: SparkSession, d: str) -> DataFrame:
+    return index.imports_by_module(index.facts_table(_parsed(spark, d), "symbols"))
+
+
 def index_unused(spark: SparkSession, d: str) -> DataFrame:
     s, r, _ = _three(spark, d)
     return index.unused(s, r)
@@ -125,7 +165,7 @@ def index_unused(spark: SparkSession, d: str) -> DataFrame:
 def index_positions(spark: SparkSession, d: str) -> DataFrame:
     """What stands at the start of every call, and in which scope."""
     s, r, c = _three(spark, d)
-    p = r.where("is_call").select(F.concat_ws(":", "file_path", "start_line", "start_col").alias("pos_id"), "file_path", F.col("start_line").alias("line"), F.col("start_col").alias("col")).distinct()
+    p = _call_sites(r)
     return index.entity_at(p, s, r).join(index.scope_at(p, c).withColumnRenamed("kind", "scope_kind"), "pos_id")
 
 
@@ -171,14 +211,14 @@ def code_outlines(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (code_chunks, generic_chunks, change_classes, change_history, repetitive_changes, greedy_groups, group_labels, rendered_results, injections, index_symbols, index_summary, index_search,
-    index_exports, index_hover, index_definitions, index_references, index_unused, index_positions, index_types, index_calls, index_imports, index_changed, module_exports, module_imports, recall_texts, code_outlines)}
+    index_exports, index_hover, index_definitions, index_references, index_reference_rows, index_hover_at, index_references_at, index_signature_help, index_files, index_import_groups, index_unused, index_positions, index_types, index_calls, index_imports, index_changed, module_exports, module_imports, recall_texts, code_outlines)}
 
 ORACLE = {
     "generic_chunks": r"""WITH l AS (SELECT id, unnest(string_split(new_code, chr(10))) AS line, generate_subscripts(string_split(new_code, chr(10)), 1) AS i FROM code_memory),
   b AS (SELECT id, i, regexp_replace(line, '\s', '', 'g') = '' AS blank FROM l), r AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY id ORDER BY i) AS g FROM b),
   k AS (SELECT id, g, min(i) AS s, max(i) AS e, count(*) AS lines FROM r WHERE NOT blank GROUP BY id, g)
   SELECT id, (row_number() OVER (PARTITION BY id ORDER BY g))::INTEGER AS block, s::INTEGER AS start, e::INTEGER AS "end", lines FROM k""",
-    "index_changed": f"""WITH {clock("code_memory", "id")}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY us NULLS FIRST, id) AS n, count(*) OVER (PARTITION BY file_path) AS last FROM code_memory JOIN clk ON k = id),
-  p AS (SELECT file_path, any_value(new_code) FILTER (n = 1) AS a, any_value(new_code) FILTER (n = last) AS b FROM r WHERE lower(file_path) LIKE '%.py' GROUP BY 1)
+    "index_changed": rf"""WITH {clock("code_memory", "id")}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY us NULLS FIRST, id) AS n, count(*) OVER (PARTITION BY file_path) AS last FROM code_memory JOIN clk ON k = id),
+  p AS (SELECT file_path, any_value(new_code) FILTER (n = 1) AS a, any_value(new_code) FILTER (n = last) AS b FROM r WHERE regexp_matches(lower(file_path), '[^/.]\.(py|js|jsx|mjs|cjs|ts|tsx|rs|go|c|h|cc|cpp|hpp|cxx)$') GROUP BY 1)
   SELECT file_path, left(sha256(b), 16) AS hash FROM p WHERE a <> b""",
 }

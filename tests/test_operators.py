@@ -328,8 +328,45 @@ def test_index(spark):
     edges = {(x.src, x.dst) for x in index.import_edges(s).collect()}
     assert edges == {("pkg.mod", "os"), ("pkg.mod", "lib.util")}
     assert {x.file_path for x in index.affected_files(f.where("file_path = 'lib/util.py'"), index.import_edges(s), f).collect()} == {"pkg/mod.py"}
-    h = {x.qualified_name: x.markdown for x in index.hover(s).collect()}
-    assert "def run() -> int" in h["pkg.mod.Base.run"] and "A base." in h["pkg.mod.Base"]
+    h = {x.qualified_name: x for x in index.hover(s).collect()}
+    assert h["pkg.mod.Base.run"].title.startswith("def run(self") and h["pkg.mod.Base.run"].title.endswith("-> int") and "A base." in h["pkg.mod.Base"].markdown
+    assert h["pkg.mod.Base.later"].title == "async def later(self)" and h["pkg.mod.h"].title == "from lib.util import helper as h" and h["pkg.mod.free.a"].title == "(parameter) a"
+    rows = [tuple(x) for x in index.reference_rows(s, r).where("qualified_name = 'lib.util.helper'").orderBy("position").select("file_path", "start_line", "use").collect()]
+    assert rows == [("lib/util.py", 1, "write"), ("lib/util.py", 2, "call")]
+    at = spark.createDataFrame([(1, "lib/util.py", 2, 11), (2, "lib/util.py", 1, 11)], "pos_id int, file_path string, line int, col int")
+    assert {x.pos_id: x.title for x in index.signature_help(at, s, r).collect()} == {1: "def helper(x)"}
+    assert {x.pos_id: x.title for x in index.hover_at(at, s, r).collect()} == {1: "def helper(x)", 2: "(parameter) x"}
+    assert [(x.start_line, x.use) for x in index.references_at(at.where("pos_id = 1"), s, r).orderBy("position").collect()] == [(1, "write"), (2, "call")]
+    files_ = {x.file_path: (x.lines, x.has_errors, x.is_complete) for x in index.completeness(index.facts_table(parsed, "files")).collect()}
+    assert files_["bad.py"] == (1, True, False) and files_["none.py"] == (1, False, True) and len(files_) == 4
+    assert index.remove_files(parsed, f.where("file_path = 'lib/util.py'")).where("file_path = 'lib/util.py'").count() == 0
+    groups = {(x.file_path, x.imported_from): x.names for x in index.imports_by_module(s).collect()}
+    assert groups["pkg/mod.py", "lib.util"] == ["helper", "other"] and groups["pkg/mod.py", "os"] == ["os"]
+
+
+def test_index_of_sources_in_braces(spark):
+    code = {
+        "web/app.ts": "import {readFile as rf} from './lib/io.js';\nexport async function load(url: string, opts = {a: 1}): Promise<string> {\n  const res = await fetch(url);\n  return rf(res, /[{\"]/);\n}\nexport default class Store extends Base {\n  size = 0;\n  add(item: Item) { load(item); return this; }\n}\nlet n = 1;\nn = n + 1;\n",
+        "web/lib/io.js": "export function readFile(p) { return p; }\n",
+        "calc.rs": "use std::{fmt, io::{self, Read as R}};\npub struct Calc<'a> { v: i32 }\nimpl<'a> fmt::Display for Calc<'a> { fn fmt(&self, f: &mut Fm) -> fmt::Result { write!(f, \"{}\", '{') } }\npub async fn add(a: i32, b: i32) -> i32 { mul(a, b) }\nfn mul(a: i32, b: i32) -> i32 { a * b }\n",
+        "m.go": 'package m\nimport (\n  "fmt"\n)\ntype Calc struct {\n  v int\n}\nfunc (c *Calc) Add(a, b int) (int, error) {\n  r := mul(a, b)\n  fmt.Println(r)\n  return r, nil\n}\nfunc mul(a, b int) int { return a * b }\n',
+        "p.c": "#include <stdio.h>\nstruct P { int x; };\nstatic int add(int a, const char *b) { int r = mul(a, 2); return r; }\nint mul(int a, int b);\n",
+    }
+    parsed = index.facts(spark.createDataFrame(list(code.items()), "file_path string, code string"))
+    s, r, sc = (index.facts_table(parsed, w) for w in ("symbols", "references", "scopes"))
+    q = {x.qualified_name: x for x in s.collect()}
+    assert (q["web.app.load"].kind, q["web.app.load"].is_async, q["web.app.load"].is_exported, q["web.app.load"].type_string, q["web.app.load"].end_line) == ("function", True, True, "Promise<string>", 5)
+    assert [tuple(p) for p in q["web.app.load"].parameters] == [("url", "string"), ("opts", None)] and q["web.app.Store"].base_classes == ["Base"] and q["web.app.Store.add"].kind == "method" and q["web.app.Store.size"].kind == "property"
+    assert (q["calc.Calc.fmt"].kind, q["calc.Calc"].base_classes, q["calc.R"].imported_from, q["calc.R"].import_name) == ("method", ["fmt::Display"], "std.io", "Read") and not q["calc.mul"].is_public and q["calc.Calc.v"].type_string == "i32"
+    assert (q["m.Calc.Add"].type_string, [tuple(p) for p in q["m.Calc.Add"].parameters], q["m.Calc.Add.r"].kind, q["m.fmt"].kind) == ("(int, error)", [("a", "int"), ("b", "int")], "variable", "import")
+    assert (q["p.add"].kind, q["p.add"].is_public, q["p.P"].kind, q["p.mul"].kind, q["p.stdio"].imported_from) == ("function", False, "class", "function", "stdio.h")
+    calls = {(x.caller, x.callee) for x in index.facts_table(parsed, "calls").collect()}
+    assert calls >= {("web.app.load", "fetch"), ("web.app.load", "web.app.rf"), ("web.app.Store.add", "web.app.load"), ("calc.add", "calc.mul"), ("calc.Calc.fmt", "write!"), ("m.Calc.Add", "m.mul"), ("m.Calc.Add", "fmt.Println"), ("p.add", "p.mul")}
+    use = {(x.name, x.start_line): (x.is_write, x.is_call, x.resolved) for x in r.where("file_path = 'web/app.ts'").collect()}
+    assert use["rf", 4] == (False, True, "web.app.rf") and use["n", 11][2] == "web.app.n"
+    assert ("web.app", "web.lib.io") in {(x.src, x.dst) for x in index.import_edges(s).collect()}
+    d = {(x.file_path, x.name): x.qualified_name for x in index.definitions(r, s, sc).collect()}
+    assert d["m.go", "mul"] == "m.mul"
 
 
 def test_outcomes_of_a_change():
