@@ -26,7 +26,27 @@ def hash_embed(text: str, dim: int = DIM) -> list[float]:
     return (v / n if n else v).tolist()
 
 
-def embed(text: Column, load: Callable[[], Callable[[list[str]], list[list[float]]]] | None = None) -> Column:
+Model = Callable[[list[str]], list[list[float]]]
+
+
+def first_of(loaders: list[Callable[[], Model]], warm: tuple[str, ...] = ("warm up",)) -> Callable[[], Model]:
+    """A loader that takes the first of several that loads and embeds the ``warm`` texts, so a worker
+    starts warm; if none does, words are hashed."""
+
+    def load() -> Model:
+        for loader in loaders:
+            try:
+                model = loader()
+                if len(model(list(warm))) == len(warm):
+                    return model
+            except Exception:  # not available here: the next one
+                continue
+        return lambda texts: [hash_embed(t) for t in texts]
+
+    return load
+
+
+def embed(text: Column, load: Callable[[], Model] | None = None) -> Column:
     """struct(vector, error) of each text. ``load`` makes the model once per worker process;
     a batch that fails is tried row by row, so one bad text costs no other."""
 

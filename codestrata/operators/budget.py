@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions.paths import estimate_block
+from codestrata.functions.paths import estimate_block, estimate_tokens
 
 # Budget tiers, overhead, least and largest snippet.
 TIERS = {"minimal": 500, "compact": 1000, "standard": 2000, "extended": 4000, "maximum": 8000}
@@ -54,12 +54,27 @@ def truncate_lines(code: Column, most: Column) -> Column:
     Estimates rise with length, so the right number of lines is the count of fitting prefixes.
     """
     lines = F.split(code, "\n")
-    ends = F.transform(lines, lambda x, i: F.length(F.array_join(F.slice(lines, F.lit(1), i + 1), "\n")))
+    # lengths so far, one running sum with the breaks between
+    ends = F.aggregate(lines, F.array().cast("array<int>"), lambda a, x: F.concat(a, F.array((F.coalesce(F.try_element_at(a, F.lit(-1)) + 1, F.lit(0)) + F.length(x)).cast("int"))))
     fits = F.size(F.filter(ends, lambda n: F.when(n == 0, 0).otherwise(F.floor(n / 4.0 * 1.1).cast("int") + 1) + 4 <= most))
     cut = F.concat(F.array_join(F.slice(lines, F.lit(1), fits), "\n"), F.when(fits < F.size(lines), F.lit(TRUNCATED)).otherwise(""))
     return F.when((most >= LEAST_SNIPPET) & (fits > 0), cut)
 
 
+def estimate_injection(header: Column, snippets: Column, footer: Column) -> Column:
+    """Tokens of a text to inject: header and footer as mixed text, each snippet (array) as a fenced block."""
+    blocks = F.aggregate(F.transform(snippets, lambda s: estimate_block(s)), F.lit(0), lambda a, x: a + x)
+    return estimate_tokens(F.coalesce(header, F.lit("")), "mixed") + F.coalesce(blocks, F.lit(0)) + estimate_tokens(F.coalesce(footer, F.lit("")), "mixed")
+
+
+def fits(text: Column, tier: str = "standard") -> Column:
+    return estimate_tokens(text, "mixed") <= TIERS[tier]
+
+
+def remaining(used: Column, tier: str = "standard") -> Column:
+    return F.greatest(F.lit(0), F.lit(TIERS[tier]) - used)
+
+
 def allocate(df: DataFrame, group: str, order: list[str], code: str, tier: str = "standard") -> DataFrame:
     """Complete snippets only, each at most the largest snippet, within the tier's budget less the overhead."""
     return skip_fold(df, group, order, estimate_block(F.col(code)), TIERS[tier] - OVERHEAD, MOST_SNIPPET)

@@ -85,8 +85,9 @@ def hotspots(edits: DataFrame, as_of: str, limit: int = 20) -> DataFrame:
     return s.withColumn("score", score).orderBy(F.desc("score"), "file_path").limit(limit)
 
 
-def function_stats(edits: DataFrame, as_of: str, recent: int = 10) -> DataFrame:
-    """One row per (file, signature): edits, last edit, first name, the latest change types.
+def function_stats(edits: DataFrame, as_of: str, recent: int = 10, days: int = 1) -> DataFrame:
+    """One row per (file, signature): edits, last edit, first name, the latest change types; ``edits_24h``
+    counts the last ``days``.
 
     The latest are ranked with partial group limits, so a hot function sends only
     ``recent`` rows of each task through the shuffle.
@@ -97,7 +98,7 @@ def function_stats(edits: DataFrame, as_of: str, recent: int = 10) -> DataFrame:
         F.min_by("function_name", F.struct("timestamp", "id")).alias("function_name"),
         F.count("*").alias("edit_count"),
         F.max("timestamp").alias("last_edit"),
-        F.count_if(_since(as_of, 1)).alias("edits_24h"),
+        F.count_if(_since(as_of, days)).alias("edits_24h"),
     )
     w = Window.partitionBy(*keys).orderBy(F.desc("timestamp"), F.desc("id"))
     top = h.withColumn("n", F.row_number().over(w)).where(F.col("n") <= recent)

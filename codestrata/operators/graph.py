@@ -7,6 +7,8 @@ an executor costs one step. Edges are distinct and hash-partitioned by the join.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,14 +78,14 @@ def recursive(e: DataFrame) -> DataFrame:
     return comp.join(big, "component").select("node").unionByName(loops).distinct()
 
 
-def chains(e: DataFrame, start: DataFrame, most_nodes: int = 10) -> DataFrame:
+def chains(e: DataFrame, start: DataFrame, most_nodes: int | None = 10) -> DataFrame:
     """(src, dst, nodes, path): a shortest chain from every start to every node within
-    ``most_nodes``; among equally short ones the least path. One row per reached node and
+    ``most_nodes`` (all if None); among equally short ones the least path. One row per reached node and
     step, never all simple paths."""
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("__n"))
     new = start.select(F.col("node").alias("src"), F.col("node").alias("dst"), F.array("node").alias("path")).distinct()
     found = new = cut(new)
-    for _ in range(most_nodes - 1):
+    for _ in count() if most_nodes is None else range(most_nodes - 1):
         nxt = new.join(step, "dst").select("src", F.col("__n").alias("dst"), F.concat("path", F.array("__n")).alias("path"))
         nxt = nxt.groupBy("src", "dst").agg(F.min("path").alias("path"))
         new = cut(nxt.join(found.select("src", "dst"), ["src", "dst"], "left_anti"))
@@ -140,6 +142,36 @@ def components(e: DataFrame) -> DataFrame:
     return done if done is not None else left.select("node", F.col("node").alias("component"))
 
 
+def cycles(e: DataFrame) -> DataFrame:
+    """(component, nodes, path): one cycle of every strongly connected component of several nodes, the shortest
+    through its largest node (the least path of equally short ones), and every edge of a node to itself. The path
+    ends where it begins."""
+    comp = cut(components(e))
+    a, b = comp.select(F.col("node").alias("src"), F.col("component").alias("c")), comp.select(F.col("node").alias("dst"), F.col("component").alias("c"))
+    inner = cut(e.where("src <> dst").join(a, "src").join(b, ["dst", "c"]).select(F.col("src").alias("at"), "dst", "c"))
+    loops = e.where("src = dst").select(F.col("src").alias("component"), F.lit(1).alias("nodes"), F.array("src", "dst").alias("path"))
+    new = cut(inner.select("c", F.col("c").alias("at"), F.array("c").alias("path")).distinct())
+    seen = new.select("c", "at")
+    done = loops
+    while True:
+        step = cut(new.join(inner, ["c", "at"]).select("c", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path")).groupBy("c", "at").agg(F.min("path").alias("path")))
+        back = step.where("at = c")
+        done = done.unionByName(back.select(F.col("c").alias("component"), (F.size("path") - 1).alias("nodes"), "path"))
+        new = cut(step.join(back.select("c"), "c", "left_anti").join(seen, ["c", "at"], "left_anti"))
+        if new.isEmpty():
+            return done
+        seen = cut(seen.join(back.select("c"), "c", "left_anti").unionByName(new.select("c", "at")))
+
+
+def has_cycles(e: DataFrame) -> bool:
+    return not recursive(e).isEmpty()
+
+
+def dependencies(e: DataFrame) -> DataFrame:
+    """(node, direct): what each node depends on directly, sorted."""
+    return e.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("direct"))
+
+
 def dot_lines(e: DataFrame, highlight: DataFrame | None = None) -> DataFrame:
     """Lines of a DOT file; written as text they need no collecting."""
     e_lines = e.select(F.lit(1).alias("part"), F.format_string('  "%s" -> "%s";', F.col("src").cast("string"), F.col("dst").cast("string")).alias("line"))

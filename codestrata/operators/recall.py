@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import paths, relevance, symbols
 from codestrata.operators import budget, chunking, search
+from codestrata.session import written
 
 # Results per edit, most shown, groups from this size, groups above this size as a summary line.
 FETCH, SHOWN, GROUPED, SUMMARY_FROM, INDIVIDUAL = 10, 5, 2, 3, 3
@@ -37,7 +38,9 @@ def summarise(scored: DataFrame, threshold: float = 0.7, shown: int = SHOWN) ->
     few = F.col("n_chunks") <= INDIVIDUAL
     s = s.withColumn("grp", F.when(few, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).otherwise(F.col("group_no"))).withColumn("size", F.when(few, 1).otherwise(F.col("size")))
     head = F.max_by(F.struct("file_path", "code", "name", "kind"), F.struct("score", "key"))
-    e = s.groupBy("query_id", "grp", "size").agg(F.max("score").alias("score"), head.alias("h"), F.array_sort(F.collect_set("file_path")).alias("files"))
+    e = s.groupBy("query_id", "grp", "size").agg(F.max("score").alias("score"), head.alias("h"), F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "key", "file_path"))).alias("files"))
+    # the first distinct short paths, the best scored first
+    e = e.withColumn("files", F.array_distinct(F.transform("files", lambda x: paths.short_path(x["file_path"]))))
     single = chunking.render(F.col("h.file_path"), F.col("h.code"), F.col("score"), F.lit(None).cast("string"))
     note = F.format_string("Pattern type: %s | Similar occurrences: %d | Example: %s", F.col("h.kind"), F.col("size"), F.col("h.name"))
     text = F.when(F.col("size") < GROUPED, single).when(F.col("size") >= SUMMARY_FROM, F.concat(F.lit("### "), note, F.lit("\n"), F.array_join(F.slice("files", 1, 3), ", "))).otherwise(F.concat(single, F.lit("\n"), note))
@@ -55,13 +58,35 @@ def inject(entries: DataFrame, tier: str = "standard") -> DataFrame:
     return out.select("query_id", "snippets", "groups", paths.estimate_tokens(text, "mixed").alias("tokens"), text.alias("text"))
 
 
-def recall(memory: DataFrame, pending: DataFrame, as_of: Column, root: Column) -> DataFrame:
-    """The text to show before each pending edit; edits for which nothing is relevant have no row.
+def recall(memory: DataFrame, pending: DataFrame, as_of: Column, root: Column, fallback: bool = False) -> DataFrame:
+    """The text to show before each pending edit; edits for which nothing is relevant have no row, or with
+    ``fallback`` the previews of their first hits (no counts).
     ``memory`` has ``at_us``, the instant of each row."""
     hits = search.batch_bm25(memory, pending_terms(pending), FETCH)
     r = hits.join(memory.select("id", "file_path", "new_code", F.timestamp_micros("at_us").alias("at")), "id")
     r = r.join(pending.select(F.col("change_id").alias("query_id"), F.col("file_path").alias("current")), "query_id")
-    return inject(summarise(score_chunks(r, as_of, root)))
+    if not fallback:
+        return inject(summarise(score_chunks(r, as_of, root)))
+    r = written(r, "recall-hits")
+    shown = written(inject(summarise(score_chunks(r, as_of, root))), "recall-shown")
+    none = F.lit(None).cast("bigint")
+    more = previews(r, shown).select("query_id", none.alias("snippets"), none.alias("groups"), paths.estimate_tokens(F.col("text"), "mixed").alias("tokens"), "text")
+    return shown.unionByName(more)
+
+
+PREVIEWS, PREVIEW_CHARS = 3, 400
+
+
+def previews(hits: DataFrame, injected: DataFrame) -> DataFrame:
+    """(query_id, text): for edits with hits (query_id, n, file_path, new_code) of which none was relevant enough,
+    the beginnings of the first three, each short path once. The marked length is what a preview is."""
+    rest = hits.where(F.col("n") <= PREVIEWS).join(injected.select("query_id"), "query_id", "left_anti")
+    short = paths.short_path(F.coalesce("file_path", F.lit("unknown")))
+    one = rest.groupBy("query_id", short.alias("p")).agg(F.min(F.struct("n", "new_code")).alias("x"))
+    code = F.coalesce("x.new_code", F.lit(""))
+    text = F.concat(F.lit("**From:** `"), "p", F.lit("`\n```\n"), F.substring(code, 1, PREVIEW_CHARS), F.when(F.length(code) > PREVIEW_CHARS, "\n... (truncated)").otherwise(""), F.lit("\n```\n"))
+    listed = one.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("x.n", text.alias("t")))).alias("l"))
+    return listed.select("query_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("text"))
 
 
 def hook_text(injections: DataFrame, pending: DataFrame) -> DataFrame:

@@ -53,8 +53,9 @@ def churn_function_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def churn_repetitive_functions(spark: SparkSession, d: str) -> DataFrame:
-    s = churn.function_stats(table(spark, d, "edit_history"), AS_OF).where(F.col("edits_24h") >= churn.REPETITIVE)
-    return s.select("file_path", "function_name", "signature_hash", "edits_24h")
+    """Functions with three edits or more within a year before the fixed time (no function of these data has as many in a day)."""
+    s = churn.function_stats(table(spark, d, "edit_history"), AS_OF, days=365).where(F.col("edits_24h") >= churn.REPETITIVE)
+    return s.select("file_path", "function_name", "signature_hash", F.col("edits_24h").alias("edits"))
 
 
 def churn_recent_history(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +67,9 @@ def churn_rolling_24h(spark: SparkSession, d: str) -> DataFrame:
 
 
 def churn_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return churn.warnings(table(spark, d, "code_change"), table(spark, d, "edit_history"), AS_OF)
+    """The warning for one more edit of every file of the log."""
+    h = table(spark, d, "edit_history")
+    return churn.warnings(h.groupBy("file_path").agg(F.min("id").alias("change_id")), h, AS_OF)
 
 
 def churn_change_types(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +102,7 @@ ORACLE = {
   WHEN 'bronze' THEN '🥉 BRONZE (Active - high modification rate)' ELSE '🔴 RED (Hot - excessive churn detected)' END AS badge FROM f GROUP BY tier""",
     "churn_files_by_tier": f"WITH {_STATS} SELECT tier, file_path, total_edits, edits_30d FROM f WHERE tier IN ('red', 'bronze')",
     "churn_function_stats": f"WITH {_FUNCTIONS}",
-    "churn_repetitive_functions": f"SELECT file_path, function_name, signature_hash, edits_24h FROM (WITH {_FUNCTIONS}) WHERE edits_24h >= 3",
+    "churn_repetitive_functions": f"SELECT file_path, function_name, signature_hash, edits_24h AS edits FROM (WITH {_FUNCTIONS.replace('INTERVAL 1 DAY', 'INTERVAL 365 DAY')}) WHERE edits_24h >= 3",
     "churn_recent_history": f"""WITH {_H} SELECT file_path, n::INTEGER AS n, id, epoch_us(timestamp) AS timestamp, change_type FROM (
   SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY timestamp DESC, id DESC) AS n FROM h WHERE timestamp <= TIMESTAMPTZ '{AS_OF}') WHERE n <= 20""",
     "churn_rolling_24h": f"""WITH {_H}, u AS (SELECT id, file_path, epoch_us(timestamp) AS us FROM h)
@@ -107,7 +110,7 @@ ORACLE = {
     "churn_warnings": f"""WITH {_STATS}, k AS (SELECT *, CASE WHEN tier = 'gold' AND first_edit <= TIMESTAMPTZ '{AS_OF}' - INTERVAL 1 DAY THEN 'gold_tier' WHEN tier = 'red' THEN 'red_tier' END AS warning FROM f)
   SELECT change_id, file_path, warning, CASE warning WHEN 'gold_tier' THEN 'warn' ELSE 'alert' END AS severity,
   CASE warning WHEN 'gold_tier' THEN 'This file is stable and rarely modified. Total edits: ' || total_edits ELSE 'This file has excessive churn (' || edits_30d || ' edits in 30 days).' END AS message
-  FROM code_change JOIN k USING (file_path) WHERE warning IS NOT NULL""",
+  FROM (SELECT file_path, min(id) AS change_id FROM edit_history GROUP BY 1) JOIN k USING (file_path) WHERE warning IS NOT NULL""",
     "churn_change_types": f"""WITH {_H} SELECT CASE WHEN lower(change_type) IN ('add', 'modify', 'delete', 'refactor') THEN lower(change_type) ELSE 'unknown' END AS change_type,
   count(*) AS edits, count(DISTINCT file_path) AS files, count(DISTINCT session_id) AS sessions,
   count(*) FILTER (epoch_us(recorded_at) - epoch_us(timestamp) > 86400000000) AS late FROM h GROUP BY 1""",

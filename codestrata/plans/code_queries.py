@@ -54,7 +54,9 @@ def greedy_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_labels(spark: SparkSession, d: str) -> DataFrame:
-    g = _groups(spark, d).join(_cm(spark, d).select("id", "file_path", F.lit("function").alias("kind")), "id")
+    c = F.col("new_code")
+    kind = F.when(c.rlike(r"(?m)^\s*(?:export\s+|pub\s+)*(?:class|struct|interface|type)\s"), "class").when(c.rlike(r"\b(?:def|function|func|fn)\s+\w|=>\s*\{"), "function").when(c.rlike(r"(?m)^(?:import|from|use|#include)\b"), "imports").otherwise("block")
+    g = _groups(spark, d).join(_cm(spark, d).select("id", "file_path", kind.alias("kind")), "id")
     return chunking.group_labels(g, "session_id", "kind", "file_path")
 
 
@@ -64,13 +66,19 @@ def rendered_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def injections(spark: SparkSession, d: str) -> DataFrame:
-    """For every session the text to inject: its snippets by size of relevance, whole ones within a standard budget."""
+    """For every session the text to inject: its snippets by relevance for the file it edited last, whole ones within
+    a standard budget; the project is the session's."""
     from codestrata.functions import relevance
     from codestrata.operators import budget
 
-    cm = _cm(spark, d).where("session_id is not null")
-    score = relevance.combine(F.lit(0.5), relevance.proximity(F.col("file_path"), F.lit("/srv/work/kestrel-relay/engine/posting_loop.py")), F.lit(0.5), F.lit(0.5))
-    s = cm.select("session_id", "id", (-F.round(score, 6)).alias("o"), chunking.render(F.col("file_path"), F.col("new_code"), score, F.col("context")).alias("markdown"), paths.estimate_block(F.col("new_code")).alias("tokens"))
+    cm = _timed(spark, d).where("session_id is not null")
+    root = table(spark, d, "sessions").join(table(spark, d, "projects"), "project").select("session_id", F.col("root_path").alias("root"))
+    last = cm.groupBy("session_id").agg(F.max_by("file_path", F.struct("at_us", "id")).alias("current"))
+    cm = cm.join(last, "session_id").join(root, "session_id", "left")
+    as_of = F.lit(AS_OF).cast("timestamp")
+    score = relevance.combine(relevance.recency(F.timestamp_micros("at_us"), as_of), relevance.proximity(F.col("file_path"), F.col("current")), F.lit(0.5), relevance.project(F.col("file_path"), F.col("root")))
+    s = cm.select("session_id", "id", "file_path", "new_code", "context", F.round(score, 6).alias("score"))
+    s = s.select("session_id", "id", (-F.col("score")).alias("o"), chunking.render(F.col("file_path"), F.col("new_code"), F.col("score"), F.col("context")).alias("markdown"), paths.estimate_block(F.col("new_code")).alias("tokens"))
     taken = budget.skip_fold(s, "session_id", ["o", "id"], F.col("tokens"), budget.TIERS["standard"] - budget.OVERHEAD, budget.MOST_SNIPPET)
     w = Window.partitionBy("session_id").orderBy("o", "id")
     top = s.withColumn("n", F.row_number().over(w)).join(taken.select("session_id", "n"), ["session_id", "n"])

@@ -44,9 +44,10 @@ def graph_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_callers(spark: SparkSession, d: str) -> DataFrame:
-    """Transitive callers of one node: the closure of the reversed graph from it."""
+    """Transitive callers of the node most call (the largest on a tie): the closure of the reversed graph from it."""
     e = _e(spark, d)
-    return graph.closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), _start(spark, d)).select(F.col("dst").alias("caller"))
+    called = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("n")).agg(F.max_by("node", F.struct("n", "node")).alias("node"))
+    return graph.closure(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), called).select(F.col("dst").alias("caller"))
 
 
 def graph_chains(spark: SparkSession, d: str) -> DataFrame:
@@ -162,7 +163,7 @@ ORACLE = {
     "graph_leaves": f"WITH {_E}, {_D} SELECT node FROM d WHERE calls = 0",
     "graph_summary": f"""WITH {_E}, {_D} SELECT count(*) AS nodes, sum(calls)::BIGINT AS edges, count(*) FILTER (called_by = 0) AS entry_points, count(*) FILTER (calls = 0) AS leaves, max(calls) AS most_calls, max(called_by) AS most_callers FROM d""",
     "graph_closure": f"WITH RECURSIVE {_E}, {_C} SELECT src, count(*) AS reached FROM c GROUP BY src",
-    "graph_callers": f"WITH RECURSIVE {_E}, k AS (SELECT src AS caller FROM e WHERE dst = {_S} UNION SELECT e.src FROM k JOIN e ON e.dst = k.caller) SELECT caller FROM k",
+    "graph_callers": f"WITH RECURSIVE {_E}, most AS (SELECT dst FROM e GROUP BY dst ORDER BY count(*) DESC, dst DESC LIMIT 1), k AS (SELECT src AS caller FROM e WHERE dst = (SELECT dst FROM most) UNION SELECT e.src FROM k JOIN e ON e.dst = k.caller) SELECT caller FROM k",
     "graph_chains": f"""WITH RECURSIVE {_E}, b AS (SELECT {_S} AS dst, 1 AS nodes UNION SELECT e.dst, b.nodes + 1 FROM b JOIN e ON e.src = b.dst WHERE b.nodes < 10),
   l AS (SELECT dst, min(nodes) AS nodes FROM b GROUP BY dst),
   p AS (SELECT dst, nodes, [dst] AS path FROM l WHERE nodes = 1 UNION ALL SELECT l.dst, l.nodes, min(list_append(p.path, l.dst)) FROM p JOIN e ON e.src = p.dst JOIN l ON l.dst = e.dst AND l.nodes = p.nodes + 1 GROUP BY l.dst, l.nodes)

@@ -47,8 +47,8 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _queue(spark: SparkSession, d: str) -> DataFrame:
-    """A retry queue from the events: every user's errors are attempts, their last time the next try."""
-    e = table(spark, d, "events").where("event_type = 'error' or value > 90")
+    """A retry queue from the events: every user's costly errors are attempts, their last time the next try."""
+    e = table(spark, d, "events").where("event_type = 'error' and value > 120")
     return e.groupBy(F.col("user_id").alias("id")).agg(F.count("*").cast("int").alias("attempts"), F.max(F.col("ts").cast("timestamp")).alias("next_try")).withColumn("permanent", F.col("attempts") >= B.ATTEMPTS)
 
 
@@ -99,12 +99,14 @@ def blob_codec(spark: SparkSession, d: str) -> DataFrame:
     """Embeddings through the packed form and back."""
     e = table(spark, d, "embeddings")
     p = e.select("vec_id", "embedding", embed.pack_column("embedding").alias("blob"))
-    return p.select("vec_id", F.length("blob").alias("bytes"), (embed.unpack_column("blob") == F.col("embedding")).alias("same"))
+    back = p.select("vec_id", F.length("blob").alias("bytes"), embed.unpack_column("blob").alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return back.select("vec_id", "bytes", F.get("v", 0).cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"), F.round(total, 5).alias("total"))
 
 
 QUERIES = {f.__name__: f for f in (stream_backfill, stream_churn, stream_show_once, stream_windows, retry_stats, retry_due, retry_failures, rate_limited, cycle_rollup, metrics_lines, coverage_milestones, blob_codec)}
 
-_Q = "q AS (SELECT user_id AS id, count(*)::INTEGER AS attempts, max(ts) AS next_try, count(*) >= 3 AS permanent FROM events WHERE event_type = 'error' OR value > 90 GROUP BY 1)"
+_Q = "q AS (SELECT user_id AS id, count(*)::INTEGER AS attempts, max(ts) AS next_try, count(*) >= 3 AS permanent FROM events WHERE event_type = 'error' AND value > 120 GROUP BY 1)"
 _Y = "y AS (SELECT date_trunc('hour', ts) AS cycle, count(*) AS processed, count(*) FILTER (value > 90) AS failed, sum(value) AS seconds FROM events GROUP BY 1)"
 
 ORACLE = {
@@ -120,5 +122,5 @@ ORACLE = {
     "metrics_lines": f"WITH {_Y} SELECT unnest(['codestrata_cycles ' || count(*), 'codestrata_processed ' || sum(processed)::BIGINT, 'codestrata_failed ' || sum(failed)::BIGINT]) AS line FROM y",
     "coverage_milestones": """WITH h AS (SELECT (timestamp AT TIME ZONE 'UTC')::DATE AS day, count(*) AS n, count(function_name) AS k FROM (SELECT DISTINCT * FROM edit_history) GROUP BY 1), r AS (SELECT day, sum(k) OVER (ORDER BY day) * 100.0 / sum(n) OVER (ORDER BY day) AS c FROM h)
   SELECT mark, min(day)::VARCHAR AS day FROM r, (VALUES (50), (75), (90), (100)) m(mark) WHERE c >= mark GROUP BY mark""",
-    "blob_codec": "SELECT vec_id, (4 * len(embedding))::INTEGER AS bytes, true AS same FROM embeddings",
+    "blob_codec": "SELECT vec_id, (4 * len(embedding))::INTEGER AS bytes, embedding[1]::DOUBLE AS first, embedding[-1]::DOUBLE AS last, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings",
 }

@@ -104,6 +104,23 @@ def record_success(queue: DataFrame, done: DataFrame) -> DataFrame:
     return queue.join(done.select("id"), "id", "left_anti")
 
 
+def due_entries(queue: DataFrame, entries: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(entries to embed again, the queue without ids that have no entry): an id that is gone counts as done."""
+    d = due(queue, now).select("id", "attempts")
+    known = entries.select("id").distinct()
+    lost = d.join(known, "id", "left_anti")
+    return entries.join(d, "id"), record_success(queue, lost)
+
+
+def permanently_failed(queue: DataFrame) -> DataFrame:
+    return queue.where("permanent")
+
+
+def clear_permanent(queue: DataFrame) -> DataFrame:
+    """The queue without the ids that will not be tried again."""
+    return queue.where("not permanent")
+
+
 def retry_stats(queue: DataFrame) -> DataFrame:
     return queue.agg(F.count_if(~F.col("permanent")).alias("retrying"), F.count_if("permanent").alias("failed"), F.coalesce(F.sum("attempts"), F.lit(0)).alias("attempts"))
 
@@ -141,6 +158,17 @@ def token_bucket(requests: DataFrame, key: str, ts: str, order: str, capacity: i
     return s.groupBy(key, "__g").applyInPandas(run, f"{key} {kind[key]}, {order} {kind[order]}, accepted boolean")
 
 
+def limit_stats(limited: DataFrame, key: str) -> DataFrame:
+    """(key, requests, accepted, rejected, share) of limited requests."""
+    a = limited.groupBy(key).agg(F.count("*").alias("requests"), F.count_if("accepted").alias("accepted"))
+    return a.select("*", (F.col("requests") - F.col("accepted")).alias("rejected"), F.round(F.col("accepted") / F.col("requests"), 6).alias("share"))
+
+
+def unlimited(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """The limiter switched off: every request is accepted."""
+    return requests.select(key, order, F.lit(True).alias("accepted"))
+
+
 def notify(events: DataFrame, kind: str, ts: str, order: str, seconds: float = 60.0) -> DataFrame:
     """Add ``accepted``: at most one notice of each kind in ``seconds`` (a bucket of one token)."""
     return token_bucket(events, kind, ts, order, 1, 1 / seconds)
