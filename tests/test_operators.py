@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from codestrata import cli, config
 from codestrata.functions import code_filter, embed, language, outline, paths, pycode, relevance, symbols
-from codestrata.operators import budget, chunking, churn, classify, graph, index, memory, modules, recall, search, timestamps
+from codestrata.operators import budget, chunking, churn, classify, graph, index, measure, memory, modules, projects, recall, search, timestamps
 from codestrata.sources import files, transcripts
 from codestrata.streaming import backfill
 
@@ -533,3 +533,48 @@ def test_written_and_cut(spark):
     assert sorted(r.id for r in w.collect()) == list(range(10)) and w.columns == df.columns
     assert cut(df).where("id > 4").count() == 5
     assert release(spark) >= 1 and release(spark) == 0
+
+
+def test_cycles_and_chains(spark):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "b"), ("c", "d"), ("x", "y"), ("y", "x"), ("s", "s"), ("d", "s")], "src string, dst string")
+    got = {tuple(r.path) for r in graph.cycles(e).collect()}
+    assert got == {("c", "b", "c"), ("y", "x", "y"), ("s", "s")} and graph.has_cycles(e)
+    line = spark.createDataFrame([(i, i + 1) for i in range(14)], "src long, dst long")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert graph.chains(line, start, None).agg(F.max("nodes")).first()[0] == 15 and graph.chains(line, start).count() == 10
+    assert graph.cycles(line).count() == 0 and not graph.has_cycles(line)
+
+
+def test_batch_hybrid_and_ragged_vectors(spark):
+    m = spark.createDataFrame([("a", "p/a.py", "signal parser", None, [1.0, 0.0]), ("b", "p/b.py", "other text", None, [0.6, 0.8]), ("c", "p/c.py", "signal only", None, [1.0]), ("d", "p/d.py", "none", None, None), ("e", "p/e.py", "none", None, [float("nan"), 1.0])], "id string, file_path string, new_code string, context string, embedding array<float>")
+    q = spark.createDataFrame([(1, "signal", [1.0, 0.0]), (2, "zzz", [0.0, 2.0, 0.0]), (3, "other", None)], "query_id int, query string, vector array<float>")
+    near = {(r.query_id, r.id): r.score for r in search.batch_semantic(m, q.where("vector is not null"), 5).collect()}
+    for i, v in ((1, [1.0, 0.0]), (2, [0.0, 2.0, 0.0])):  # as the cosine of a single pair has it, over the shorter length
+        for r in search.semantic(m, v, 10).collect():
+            assert near[i, r.id] == r.score
+    got = {(r.query_id, r.id): r.relevance for r in search.batch_hybrid(m, q, 3).collect()}
+    assert {k for k in got if k[0] == 3} == {(3, "b")} and (1, "a") in got and got[1, "c"] >= 0.6 and (2, "b") in got and (2, "a") not in got
+
+
+def test_projects_and_limits(spark):
+    f = spark.createDataFrame([("1", "/w/app/src/a.py"), ("2", "/w/app/go.mod"), ("3", "/w/app/lib/package.json"), ("4", "\\w\\app\\lib\\x.js"), ("5", "loose.py"), ("6", "/w/git/.git/config")], "id string, file_path string")
+    r = projects.roots(f)
+    assert {x.root for x in r.collect()} == {"/w/app", "/w/app/lib", "/w/git"}
+    assert {x.id: x.root for x in projects.detect(f, r).collect()} == {"1": "/w/app", "2": "/w/app", "3": "/w/app/lib", "4": "/w/app/lib", "6": "/w/git"}
+    s = measure.parser_runs(spark, (".py", ".rs", ".c"), 3, 2, 1)
+    assert {x.ext for x in s.where("symbols >= 5").collect()} == {".py", ".rs", ".c"}
+    load = embed.first_of([lambda: 1 / 0, lambda: lambda texts: [[1.0] for _ in texts]])
+    assert load()(["x"]) == [[1.0]] and len(embed.first_of([lambda: 1 / 0])()(["x"])[0]) == embed.DIM
+    left, n = memory.clear(f)
+    assert left.count() == 0 and n.first().cleared == 6
+
+
+def test_recall_falls_back_to_previews(spark):
+    m = spark.createDataFrame([(str(i), f"far/away/x{i}.py", f"def load_thing(x):\n    return {'9' * 500}\n", None, 0) for i in range(5)], "id string, file_path string, new_code string, context string, at_us long")
+    p = spark.createDataFrame([(1, "src/a.py", "def load_thing(y):\n    return y\n", "Edit")], "change_id long, file_path string, new_code string, tool_type string")
+    now = F.lit("2025-01-06 00:00:00+00:00").cast("timestamp")
+    hits = search.batch_bm25(m, recall.pending_terms(p), 10).join(m, "id")
+    r = recall.previews(hits, spark.createDataFrame([], "query_id long")).first()
+    assert r.text.count("**From:**") == 3 and r.text.count("... (truncated)") == 3
+    got = {x.query_id for x in recall.recall(m, p, now, F.lit("src"), fallback=True).collect()}
+    assert got == {1}
