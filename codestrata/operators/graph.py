@@ -98,48 +98,46 @@ def chains(e: DataFrame, start: DataFrame, most_nodes: int | None = 10) -> DataF
 def components(e: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their largest node.
 
-    Forward colouring: every node takes the largest node that reaches it; the nodes
-    of a colour that reach its root backwards within the colour are a component.
-    Ends of no cycle are trimmed first. No all-pairs closure is made.
+    Forward colouring over the edges that may lie on a cycle: ends without a way in or out
+    are trimmed, every node takes the largest node that reaches it, the nodes of a colour
+    that reach its root backwards within the colour are a component, and edges between
+    components fall away. What has no edges left is a component of its own. Only edges are
+    kept from step to step, one checkpoint each; no all-pairs closure is made.
     """
+    every = nodes(e)
     rest = cut(e.where("src <> dst"))
-    done = None
-    left = cut(nodes(e))
+    done: DataFrame | None = None
     while True:
-        while True:  # a node without a way in or out is a component of its own
-            both = rest.select(F.col("src").alias("node")).distinct().join(rest.select(F.col("dst").alias("node")).distinct(), "node", "left_semi")
-            single = cut(left.join(both, "node", "left_anti"))
-            if single.isEmpty():
+        size = rest.count()
+        while size:  # trim: an edge stays if something leads to its start and away from its end
+            starts, ends = rest.select(F.col("src").alias("dst")).distinct(), rest.select(F.col("dst").alias("src")).distinct()
+            rest = cut(rest.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"))
+            before, size = size, rest.count()
+            if size == before:
                 break
-            one = single.select("node", F.col("node").alias("component"))
-            done = one if done is None else done.unionByName(one)
-            left = cut(left.join(single, "node", "left_anti"))
-            rest = cut(rest.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
-        if left.isEmpty():
+        if not size:
             break
-        colour = left.select("node", F.col("node").alias("c"))
+        colour = nodes(rest).select("node", F.col("node").alias("c"))
         while True:
             came = rest.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("c").alias("m"))
-            nxt = cut(colour.join(came, "node", "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("moved")))
-            colour = nxt.select("node", "c")
-            if nxt.where("moved").isEmpty():
+            colour = cut(colour.select("node", "c").join(came, "node", "left").select("node", F.greatest("c", F.coalesce("m", "c")).alias("c"), (F.col("m") > F.col("c")).alias("moved")))
+            if colour.where("moved").isEmpty():
                 break
-        a, b = colour.withColumnRenamed("node", "src").withColumnRenamed("c", "ca"), colour.withColumnRenamed("node", "dst").withColumnRenamed("c", "cb")
+        a, b = colour.select(F.col("node").alias("src"), F.col("c").alias("ca")), colour.select(F.col("node").alias("dst"), F.col("c").alias("cb"))
         inner = cut(rest.join(a, "src").join(b, "dst").where("ca = cb").select("src", "dst"))
-        member = new = cut(colour.where("node = c"))
+        member = cut(colour.where("node = c").select("node", "c", F.lit(True).alias("fresh")))
         while True:
-            new = inner.join(new.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), "c").distinct()
-            new = cut(new.join(member, "node", "left_anti"))
-            if new.isEmpty():
+            back = inner.join(member.where("fresh").select(F.col("node").alias("dst"), "c"), "dst").select(F.col("src").alias("node"), "c").distinct()
+            both = member.select("node", "c", F.lit(1).alias("k")).unionByName(back.select("node", "c", F.lit(0).alias("k")))
+            member = cut(both.groupBy("node", "c").agg((F.max("k") == 0).alias("fresh")))
+            if member.where("fresh").isEmpty():
                 break
-            member = cut(member.unionByName(new))
         part = member.select("node", F.col("c").alias("component"))
         done = part if done is None else done.unionByName(part)
-        left = cut(left.join(member, "node", "left_anti"))
-        rest = cut(rest.join(left.select(F.col("node").alias("src")), "src", "left_semi").join(left.select(F.col("node").alias("dst")), "dst", "left_semi"))
-        if left.isEmpty():
-            break
-    return done if done is not None else left.select("node", F.col("node").alias("component"))
+        gone = member.select("node")
+        rest = cut(rest.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    alone = every.select("node", F.col("node").alias("component"))
+    return alone if done is None else done.unionByName(alone.join(done.select("node"), "node", "left_anti"))
 
 
 def cycles(e: DataFrame) -> DataFrame:
