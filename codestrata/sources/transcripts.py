@@ -89,14 +89,25 @@ def session_ids(lines: DataFrame, group: str, pos: str, stem: Column) -> DataFra
     return first.select("file", F.coalesce("s", stem).alias("session"))
 
 
-def with_context(e: DataFrame, reach: int = 5) -> DataFrame:
-    """Add ``context``: texts of up to ``reach`` entries before, and after up to the next tool call."""
-    w = Window.partitionBy("file").orderBy("line_no")
+def with_context(e: DataFrame, reach: int = 5, stretch: int = 4096) -> DataFrame:
+    """Add ``context``: texts of up to ``reach`` entries before, and after up to the next tool call.
+
+    The entries of a file are looked at in stretches of line numbers, so a file with a third
+    of all lines is many tasks. The first and last ``reach`` entries of each stretch have
+    neighbours beyond it: these few and theirs are put in order for the whole file.
+    """
     item = F.struct(F.col("text").alias("t"), F.col("tool").isNotNull().alias("c"))
-    e = e.withColumns({
-        "__b": F.collect_list(item).over(w.rowsBetween(-reach, -1)),
-        "__a": F.collect_list(item).over(w.rowsBetween(1, reach)),
-    })
+
+    def near(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("line_no")
+        return rows.withColumns({"__b": F.collect_list(item).over(w.rowsBetween(-reach, -1)), "__a": F.collect_list(item).over(w.rowsBetween(1, reach))})
+
+    parts = ["file", "__s"]
+    rows = e.withColumn("__s", F.floor(F.col("line_no") / stretch))
+    rows = rows.withColumns({"__r": F.row_number().over(Window.partitionBy(*parts).orderBy("line_no")), "__n": F.count("*").over(Window.partitionBy(*parts))})
+    inner = lambda n: (F.col("__r") > n) & (F.col("__r") <= F.col("__n") - n)
+    border = near(rows.where(~inner(2 * reach)), ["file"]).where(~inner(reach))  # with all neighbours of what is kept
+    e = near(rows, parts).where(inner(reach)).unionByName(border).drop("__s", "__r", "__n")
     stop = F.array_position(F.transform("__a", lambda x: x["c"]), True).cast("int")
     after = F.when(stop == 0, F.col("__a")).otherwise(F.slice("__a", F.lit(1), stop - 1))
     said = F.filter(F.transform(F.concat("__b", after), lambda x: x["t"]), lambda x: x.isNotNull() & (x != ""))

@@ -42,6 +42,25 @@ def test_tool_shapes_and_context(spark):
     assert got[0].context == "please"
 
 
+def test_context_across_stretches(spark):
+    """Stretches of any length give the context that one window over the file gives."""
+    rows = [("s" if i % 3 else "t", i * 1301 % 3001, f"m{i}" if i % 4 else None, "Edit" if i % 5 == 0 else None) for i in range(300)]
+    e = spark.createDataFrame(rows, "file string, line_no int, text string, tool string")
+    want = {(r.file, r.line_no): r.context for r in transcripts.with_context(e, stretch=10**6).collect()}
+    for stretch in (1, 40, 333):
+        assert {(r.file, r.line_no): r.context for r in transcripts.with_context(e, stretch=stretch).collect()} == want
+    every = e.collect()
+    for (f, n), context in list(want.items())[:60]:
+        mine = sorted((r for r in every if r.file == f), key=lambda r: r.line_no)
+        i = next(k for k, r in enumerate(mine) if r.line_no == n)
+        after = []
+        for r in mine[i + 1 : i + 6]:
+            if r.tool:
+                break
+            after.append(r)
+        assert context == "\n".join(r.text for r in [*mine[max(0, i - 5) : i], *after] if r.text)
+
+
 def test_context_is_cut(spark):
     e = [{"role": "user", "content": "w" * 600}, {"role": "user", "content": "v" * 600}, {"tool": "Write", "input": {"file_path": "a", "content": "b"}}]
     (r,) = transcripts.changes(lines(spark, e)).collect()
