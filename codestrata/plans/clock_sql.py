@@ -4,8 +4,8 @@ from __future__ import annotations
 
 
 def clock(rel: str, key: str, name: str = "clk") -> str:
-    """Common table expressions that end in ``name`` (k, us): the instant of each row of ``rel``
-    in microseconds, null if its text names none. ``key`` is an expression on the row."""
+    """Common table expressions that end in ``name`` (k, us, status): the instant of each row of ``rel``
+    in microseconds, null if its text names none, and how it was found. ``key`` is an expression on the row."""
     return rf"""t0 AS (SELECT {key} AS k, upper(trim(regexp_replace(timestamp, '\s+', ' ', 'g'))) AS t, coalesce(client_zone, 'UTC') AS zone FROM {rel} LEFT JOIN sessions USING (session_id)),
   t1 AS (SELECT *, regexp_full_match(t, '-?\d{{1,19}}(\.\d{{1,12}})?') AS num, regexp_replace(t, '\[[^\]]*\]$', '') AS u FROM t0),
   t2 AS (SELECT *, regexp_extract(u, '(?:\d|[AP]M) ?(Z|UTC|GMT|[A-LN-Z][A-Z]{{1,3}}|M[A-Z]{{2,3}}|(?:UTC|GMT)?[+-]\d{{1,2}}(?::?\d\d)?)$', 1) AS z FROM t1),
@@ -18,4 +18,5 @@ def clock(rel: str, key: str, name: str = "clk") -> str:
   t7 AS (SELECT *, lus - (epoch_us((b - INTERVAL 1 DAY) AT TIME ZONE 'UTC' AT TIME ZONE zone) - epoch_us(b - INTERVAL 1 DAY)) AS u1, lus - (epoch_us((b + INTERVAL 1 DAY) AT TIME ZONE 'UTC' AT TIME ZONE zone) - epoch_us(b + INTERVAL 1 DAY)) AS u2 FROM t6),
   t8 AS (SELECT *, epoch_us(make_timestamp(u1) AT TIME ZONE 'UTC' AT TIME ZONE zone) = lus AS ok1, epoch_us(make_timestamp(u2) AT TIME ZONE 'UTC' AT TIME ZONE zone) = lus AS ok2, regexp_extract(t, '^-?0*(\d+)', 1) AS whole FROM t7),
   {name} AS (SELECT k, CASE WHEN num THEN trunc(t::DECIMAL(38, 12) * CASE WHEN length(whole) <= 11 THEN 1000000 WHEN length(whole) <= 14 THEN 1000 WHEN length(whole) <= 17 THEN 1 ELSE 0.001 END)::BIGINT
-    WHEN zz <> '' THEN lus - mins * 60000000 WHEN ok1 AND ok2 THEN least(u1, u2) WHEN ok2 THEN u2 ELSE u1 END AS us FROM t8)"""
+    WHEN zz <> '' THEN lus - mins * 60000000 WHEN ok1 AND ok2 THEN least(u1, u2) WHEN ok2 THEN u2 ELSE u1 END AS us,
+    CASE WHEN NOT num AND (lus IS NULL OR zz <> '' AND mins IS NULL) OR t IS NULL THEN 'none' WHEN num OR zz <> '' THEN 'exact' WHEN ok1 AND ok2 AND u1 <> u2 THEN 'ambiguous' WHEN NOT ok1 AND NOT ok2 THEN 'nonexistent' ELSE 'exact' END AS status FROM t8)"""

@@ -27,5 +27,6 @@ QUERIES = {"p1_found": p1_found, "p1_status": p1_status}
 _BOTH = [("code_memory", "id"), ("code_change", "change_id::VARCHAR")]
 
 ORACLE = {
+    "p1_status": " UNION ALL ".join(f"SELECT * FROM (WITH {clock(rel, key)} SELECT '{rel}' AS rel, status, count(*) AS n FROM clk GROUP BY status)" for rel, key in _BOTH),
     "p1_found": " UNION ALL ".join(f"SELECT * FROM (WITH {clock(rel, key)} SELECT '{rel}' AS rel, k AS row_id, us AS utc_us FROM clk WHERE us IS NOT NULL)" for rel, key in _BOTH),
 }

@@ -109,7 +109,13 @@ QUERIES = {f.__name__: f for f in (stream_backfill, stream_churn, stream_show_on
 _Q = "q AS (SELECT user_id AS id, count(*)::INTEGER AS attempts, max(ts) AS next_try, count(*) >= 3 AS permanent FROM events WHERE event_type = 'error' AND value > 120 GROUP BY 1)"
 _Y = "y AS (SELECT date_trunc('hour', ts) AS cycle, count(*) AS processed, count(*) FILTER (value > 90) AS failed, sum(value) AS seconds FROM events GROUP BY 1)"
 
+_LIMITED = """e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+  b AS (SELECT user_id, event_id, t, n, true AS accepted, 1.0::DOUBLE AS have FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.event_id, e.t, e.n, least(2.0::DOUBLE, b.have + (e.t - b.t) / 1e6::DOUBLE * (1 / 86400::DOUBLE)) >= 1,
+      least(2.0::DOUBLE, b.have + (e.t - b.t) / 1e6::DOUBLE * (1 / 86400::DOUBLE)) - CASE WHEN least(2.0::DOUBLE, b.have + (e.t - b.t) / 1e6::DOUBLE * (1 / 86400::DOUBLE)) >= 1 THEN 1 ELSE 0 END FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)"""
+
 ORACLE = {
+    "rate_limited": f"WITH RECURSIVE {_LIMITED} SELECT user_id, event_id, accepted FROM b",
     "stream_backfill": f"WITH {clock('code_memory', 'id')} SELECT id, (CASE WHEN us > epoch_us(TIMESTAMPTZ '{RECENT}') THEN 0 ELSE 1 END)::INTEGER AS priority, 384::INTEGER AS dim, false AS failed FROM code_memory JOIN clk ON k = id WHERE embedding IS NULL",
     "stream_churn": "SELECT file_path, change_type, count(*) AS edits, epoch_us(max(timestamp)) AS last_edit FROM (SELECT DISTINCT * FROM edit_history) GROUP BY ALL",
     "stream_show_once": "SELECT DISTINCT file_path, coalesce(function_name, NULL) AS function_name FROM edit_history",

@@ -114,12 +114,14 @@ QUERIES = {f.__name__: f for f in (retry_entries, retry_permanent, limit_stats,
 
 from codestrata.plans.graph_queries import _E as _EDGES  # noqa: E402
 from codestrata.plans.graph_queries import _S as _FIRST  # noqa: E402
-from codestrata.plans.streaming_queries import _Q  # noqa: E402
+from codestrata.plans.streaming_queries import _LIMITED, _Q  # noqa: E402
 
 _M = memory_queries
 ORACLE = {
     "retry_entries": f"WITH {_Q} SELECT q.id, c_name AS name, attempts FROM q JOIN customer ON c_custkey = q.id WHERE NOT permanent AND next_try <= TIMESTAMP '2024-01-25 00:00:00'",
     "retry_permanent": f"WITH {_Q} SELECT id, attempts, CASE WHEN permanent THEN 'failed' ELSE 'kept' END AS state FROM q",
+    "limit_stats": f"""WITH RECURSIVE {_LIMITED}, s AS (SELECT user_id, accepted, true AS enabled FROM b UNION ALL SELECT user_id, true, false FROM events)
+  SELECT user_id, enabled, count(*) AS requests, count(*) FILTER (accepted) AS accepted, count(*) FILTER (NOT accepted) AS rejected, round(count(*) FILTER (accepted) / count(*)::DOUBLE, 6) AS share FROM s GROUP BY ALL""",
     "run_statistics": "SELECT event_type, count(value) AS runs, round(avg(value), 6) AS mean, round(median(value), 6) AS median, min(value) AS least, max(value) AS most FROM events GROUP BY 1",
     "run_regressions": """WITH s AS (SELECT event_type, day(ts) > 15 AS late, round(avg(value), 6) AS mean FROM events GROUP BY ALL)
   SELECT a.event_type, a.mean AS before, b.mean AS after, round((b.mean - a.mean) * 100.0::DOUBLE / a.mean, 6) AS change FROM s a JOIN s b ON a.event_type = b.event_type AND NOT a.late AND b.late WHERE (b.mean - a.mean) * 100.0::DOUBLE / a.mean > 1""",
