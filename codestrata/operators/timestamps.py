@@ -231,11 +231,11 @@ def found(code_memory: DataFrame, code_change: DataFrame, sessions: DataFrame) -
 
 
 def with_zone(rows: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Rows with the ``client_zone`` of their session; null keys never match and would pile up
-    in one task of the join: they skip it."""
-    zones = sessions.select("session_id", "client_zone")
-    known = rows.where("session_id is not null").join(zones, "session_id", "left")
-    return known.unionByName(rows.where("session_id is null").withColumn("client_zone", F.lit(None).cast("string")))
+    """Rows with the ``client_zone`` of their session. Null keys would pile up in one task of the
+    join: each gets a key of its own text's hash, which no session has."""
+    own = F.coalesce("session_id", F.concat(F.lit("\0"), F.xxhash64("timestamp").cast("string")))
+    zones = sessions.where("session_id is not null").select(F.col("session_id").alias("__ts_session"), "client_zone")
+    return rows.withColumn("__ts_session", own).join(zones, "__ts_session", "left").drop("__ts_session")
 
 
 def timed(rows: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -87,7 +87,7 @@ def injections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return index.facts(index.latest_files(_timed(spark, d)))
+    return index.facts(spread(index.latest_files(_timed(spark, d))))
 
 
 def index_symbols(spark: SparkSession, d: str) -> DataFrame:
