@@ -117,7 +117,19 @@ from codestrata.plans.graph_queries import _S as _FIRST  # noqa: E402
 from codestrata.plans.streaming_queries import _LIMITED, _Q  # noqa: E402
 
 _M = memory_queries
+_SPLIT = r"'[^\p{L}\p{N}]+'"
 ORACLE = {
+    "hybrid_batch": f"""WITH {_M._BASE}, qt AS (SELECT DISTINCT project AS query_id, unnest(list_filter(regexp_split_to_array(lower(project), {_SPLIT}), lambda t: t <> '')) AS term FROM projects),
+  ps AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM r), c AS (SELECT id, dl, term, count(*) AS tf FROM ps WHERE term IN (SELECT term FROM qt) GROUP BY ALL), k AS (SELECT term, count(*) AS df FROM c GROUP BY 1),
+  s AS (SELECT query_id, id, round(-sum(greatest(ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6::DOUBLE) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS rank FROM c JOIN k USING (term) JOIN qt USING (term), g GROUP BY ALL),
+  lex AS (SELECT query_id, id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS o FROM s) WHERE o <= 10),
+  v AS (SELECT row_number() OVER (ORDER BY id) AS i, embedding AS v FROM code_memory WHERE {_M._USABLE} ORDER BY id LIMIT 40), q AS (SELECT query_id, v FROM (SELECT project AS query_id, row_number() OVER (ORDER BY project) AS i FROM projects) JOIN v USING (i)),
+  cs AS (SELECT query_id, id, {_M._NRM.format('embedding')} AS na, {_M._NRM.format('v')} AS nb, list_sum(list_transform(list_zip(embedding[1:least(len(embedding), len(v))], v[1:least(len(embedding), len(v))]), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS dp FROM code_memory, q WHERE embedding IS NOT NULL),
+  cc AS (SELECT query_id, id, round(CASE WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE ELSE dp / (na * nb) END, 6) AS score FROM cs), sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS o FROM cc WHERE NOT isnan(score)) WHERE o <= 10),
+  j AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, round(CASE WHEN rank IS NULL THEN 0.0::DOUBLE WHEN rank < 0 THEN least(1.0::DOUBLE, 1 / (1 + abs(rank))) ELSE least(1.0::DOUBLE, rank) END, 6) AS fts_score, round(coalesce(score, 0.0::DOUBLE), 6) AS semantic_score
+    FROM lex a FULL JOIN sem b ON a.id = b.id AND a.query_id = b.query_id),
+  f AS (SELECT *, round(0.4::DOUBLE * least(fts_score, 1.0::DOUBLE) + 0.6::DOUBLE * semantic_score, 6) AS relevance FROM j)
+  SELECT query_id, n::INTEGER AS n, id, fts_score, semantic_score, relevance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, id) AS n FROM f WHERE relevance >= 0.3 OR fts_score > 0) WHERE n <= 5""",
     "retry_entries": f"WITH {_Q} SELECT q.id, c_name AS name, attempts FROM q JOIN customer ON c_custkey = q.id WHERE NOT permanent AND next_try <= TIMESTAMP '2024-01-25 00:00:00'",
     "retry_permanent": f"WITH {_Q} SELECT id, attempts, CASE WHEN permanent THEN 'failed' ELSE 'kept' END AS state FROM q",
     "limit_stats": f"""WITH RECURSIVE {_LIMITED}, s AS (SELECT user_id, accepted, true AS enabled FROM b UNION ALL SELECT user_id, true, false FROM events)
