@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codestrata.functions import paths
+from codestrata.functions import code_filter, paths
 from codestrata.operators import chunking, churn, classify, index, modules, recall, timestamps
 from codestrata.plans.churn_queries import AS_OF
 from codestrata.plans.clock_sql import clock
+from codestrata.plans.ingest_queries import _EXT, _list
 from codestrata.session import spread, table, written
 
 
@@ -221,7 +222,13 @@ def code_outlines(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (code_chunks, generic_chunks, change_classes, change_history, repetitive_changes, greedy_groups, group_labels, rendered_results, injections, index_symbols, index_summary, index_search,
     index_exports, index_hover, index_definitions, index_references, index_reference_rows, index_hover_at, index_references_at, index_signature_help, index_files, index_import_groups, index_unused, index_positions, index_types, index_calls, index_imports, index_changed, module_exports, module_imports, recall_texts, code_outlines)}
 
+_FENCE = " ".join(f"WHEN '{e}' THEN '{n}'" for e, n in (
+    (".py", "python"), (".js", "javascript"), (".ts", "typescript"), (".tsx", "tsx"), (".jsx", "jsx"), (".rs", "rust"), (".go", "go"), (".java", "java"), (".rb", "ruby"), (".sh", "bash"), (".sql", "sql"), (".c", "c"), (".cpp", "cpp")))
 ORACLE = {
+    "rendered_results": f"""WITH b AS (SELECT *, string_split(regexp_replace(file_path, '/+$', ''), '/')[-1] AS b, string_split(file_path, '/') AS f, string_split(new_code, chr(10)) AS l, replace(CASE WHEN length(context) > 200 THEN substring(context, 1, 200) || '...' ELSE context END, chr(10), ' ') AS note FROM code_memory),
+  x AS (SELECT *, string_split(b, '.') AS p FROM b), y AS (SELECT *, {_EXT.format(c=_list(code_filter.COMPOUND))} AS e FROM x)
+  SELECT id, '### ' || CASE WHEN len(f) > 3 THEN '.../' || array_to_string(f[-3:], '/') ELSE file_path END || ' (50% relevant)' || chr(10) || CASE WHEN length(note) > 0 THEN '> ' || note || chr(10) ELSE '' END || '```' || CASE e {_FENCE} ELSE '' END || chr(10)
+    || CASE WHEN len(l) > 30 THEN array_to_string(l[:15], chr(10)) || chr(10) || chr(10) || '    # ... (' || (len(l) - 30) || ' lines omitted) ...' || chr(10) || chr(10) || array_to_string(l[-15:], chr(10)) ELSE new_code END || chr(10) || '```' AS markdown FROM y""",
     "generic_chunks": r"""WITH l AS (SELECT id, unnest(string_split(new_code, chr(10))) AS line, generate_subscripts(string_split(new_code, chr(10)), 1) AS i FROM code_memory),
   b AS (SELECT id, i, regexp_replace(line, '\s', '', 'g') = '' AS blank FROM l), r AS (SELECT *, count(*) FILTER (blank) OVER (PARTITION BY id ORDER BY i) AS g FROM b),
   k AS (SELECT id, g, min(i) AS s, max(i) AS e, count(*) AS lines FROM r WHERE NOT blank GROUP BY id, g)
