@@ -65,10 +65,12 @@ def recall(memory: DataFrame, pending: DataFrame, as_of: Column, root: Column, f
     hits = search.batch_bm25(memory, pending_terms(pending), FETCH)
     r = hits.join(memory.select("id", "file_path", "new_code", F.timestamp_micros("at_us").alias("at")), "id")
     r = r.join(pending.select(F.col("change_id").alias("query_id"), F.col("file_path").alias("current")), "query_id")
-    if not fallback:
-        return inject(summarise(score_chunks(r, as_of, root)))
+    # searched, chunked and scored once: what follows reads them several times
     r = written(r, "recall-hits")
-    shown = written(inject(summarise(score_chunks(r, as_of, root))), "recall-shown")
+    shown = inject(summarise(written(score_chunks(r, as_of, root), "recall-chunks")))
+    if not fallback:
+        return shown
+    shown = written(shown, "recall-shown")
     none = F.lit(None).cast("bigint")
     more = previews(r, shown).select("query_id", none.alias("snippets"), none.alias("groups"), paths.estimate_tokens(F.col("text"), "mixed").alias("tokens"), "text")
     return shown.unionByName(more)

@@ -72,7 +72,7 @@ def injections(spark: SparkSession, d: str) -> DataFrame:
     from codestrata.functions import relevance
     from codestrata.operators import budget
 
-    cm = _timed(spark, d).where("session_id is not null")
+    cm = written(_timed(spark, d).where("session_id is not null").drop("embedding"), "injection-rows")  # read twice
     root = table(spark, d, "sessions").join(table(spark, d, "projects"), "project").select("session_id", F.col("root_path").alias("root"))
     last = cm.groupBy("session_id").agg(F.max_by("file_path", F.struct("at_us", "id")).alias("current"))
     cm = cm.join(last, "session_id").join(root, "session_id", "left")
