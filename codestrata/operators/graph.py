@@ -7,8 +7,11 @@ an executor costs one step. Edges are distinct and hash-partitioned by the join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,6 +73,93 @@ def closure(e: DataFrame, start: DataFrame | None = None) -> DataFrame:
     return found
 
 
+# Condensed edges that go to every task as packed numbers, bytes of bits a task keeps.
+PACKED_EDGES, BITS_BYTES = 4_000_000, 1 << 26
+
+
+def _layers(n: int, src: np.ndarray, dst: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Edges of an acyclic graph of nodes 0 to n - 1 in slices of at most ``most``, each slice after all edges that leave its ends."""
+    by_dst = np.argsort(dst, kind="stable")
+    first = np.searchsorted(dst[by_dst], np.arange(n + 1))
+    left, level, k = np.bincount(src, minlength=n), np.zeros(n, np.int64), 0
+    now = np.flatnonzero(left == 0)
+    while len(now):
+        level[now] = k
+        sizes = first[now + 1] - first[now]
+        into = src[by_dst[np.repeat(first[now] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]]
+        nodes_, times = np.unique(into, return_counts=True)
+        left[nodes_] -= times
+        now, k = nodes_[left[nodes_] == 0], k + 1
+    order = np.lexsort((src, level[src]))
+    src, dst = src[order], dst[order]
+    ends = [0, *(np.flatnonzero(np.diff(level[src])) + 1).tolist(), len(src)]
+    return src, dst, [(i, min(i + most, b)) for a, b in zip(ends, ends[1:], strict=False) for i in range(a, b, most)]
+
+
+def reach_counts(e: DataFrame, packed_edges: int = PACKED_EDGES, bits_bytes: int = BITS_BYTES) -> DataFrame:
+    """(src, reached): how many nodes each node reaches in one step or more, the sizes of the groups of :func:`closure`
+    without its pairs.
+
+    Members of a strongly connected component reach the same nodes, so only the acyclic graph of the components is
+    followed, with a bit for every component: every task takes a block of targets and passes its bits against the
+    edges once. Up to ``packed_edges`` edges between components are broadcast; of more the pairs of components are made.
+    """
+    comp = cut(components(e))
+    a, b = comp.select(F.col("node").alias("src"), F.col("component").alias("ca")), comp.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
+    between = cut(e.join(a, "src").join(b, "dst").select("ca", "cb").distinct())
+    # a component reaches itself if it has an edge inside
+    cyclic = between.where("ca = cb").select(F.col("ca").alias("component"), F.lit(True).alias("cyclic"))
+    size = cut(comp.groupBy("component").agg(F.count("*").alias("size")).join(cyclic, "component", "left"))
+    dag = between.where("ca <> cb")
+    n_edges = dag.count()
+    if n_edges > packed_edges:
+        pairs = closure(dag.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+        far = pairs.join(size.select(F.col("component").alias("dst"), "size"), "dst").groupBy(F.col("src").alias("component")).agg(F.sum("size").alias("far"))
+    elif n_edges:
+        far = _far_counts(dag, size, bits_bytes)
+    else:
+        far = size.select("component", F.lit(0).cast("bigint").alias("far")).where("false")
+    total = F.coalesce("far", F.lit(0)) + F.when(F.col("cyclic"), F.col("size")).otherwise(0)
+    each = size.join(far, "component", "left").select("component", total.cast("bigint").alias("reached")).where("reached > 0")
+    return comp.join(each, "component").select(F.col("node").alias("src"), "reached")
+
+
+def _far_counts(dag: DataFrame, size: DataFrame, bits_bytes: int) -> DataFrame:
+    """(component, far): nodes of all other components that each component of the acyclic ``dag`` (ca, cb) reaches."""
+    spark = dag.sparkSession
+    # numbered once: the numbers are kept by the checkpoint
+    number = cut(nodes(dag.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).join(size.select(F.col("component").alias("node"), "size"), "node").select("node", "size", F.monotonically_increasing_id().alias("no")))
+    at = number.select("no", "size").toPandas().sort_values("no")
+    no, weight = at["no"].to_numpy(), at["size"].to_numpy(np.float64)
+    pairs = dag.join(number.select(F.col("node").alias("ca"), F.col("no").alias("s")), "ca").join(number.select(F.col("node").alias("cb"), F.col("no").alias("t")), "cb").select("s", "t").toPandas()
+    n, width = len(no), 8 * max(1, min(-(-len(no) // 64), bits_bytes // (8 * len(no))))
+    src, dst, slices = _layers(n, np.searchsorted(no, pairs["s"].to_numpy()), np.searchsorted(no, pairs["t"].to_numpy()), max(1, bits_bytes // width))
+    shared = spark.sparkContext.broadcast((no, weight, src.astype(np.int32), dst.astype(np.int32), slices))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        no, weight, src, dst, slices = shared.value
+        for first in (int(x) for pdf in batches for x in pdf["id"]):
+            own = np.arange(first * width * 8, min((first + 1) * width * 8, n))
+            bits = np.zeros((n, width), np.uint8)
+            bits[own, (own - own[0]) // 8] = 128 >> ((own - own[0]) % 8)
+            for i, j in slices:
+                s = src[i:j]
+                starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                bits[s[starts]] |= np.bitwise_or.reduceat(bits[dst[i:j]].view(np.uint64), starts, axis=0).view(np.uint8)
+            far, step = np.zeros(n), max(1, bits_bytes // (64 * width))
+            w = np.zeros(width * 8)
+            w[: len(own)] = weight[own]
+            for i in range(0, n, step):
+                far[i : i + step] = np.unpackbits(bits[i : i + step], axis=1) @ w
+            far[own] -= weight[own]
+            some = np.flatnonzero(far)
+            yield pd.DataFrame({"no": no[some], "far": far[some].astype(np.int64)})
+
+    blocks = -(-n // (width * 8))
+    part = spark.range(0, blocks, 1, min(blocks, 10_000)).mapInPandas(run, "no long, far long").groupBy("no").agg(F.sum("far").alias("far"))
+    return number.join(part, "no").select(F.col("node").alias("component"), "far")
+
+
 def recursive(e: DataFrame) -> DataFrame:
     """Nodes on a cycle: members of a component of several nodes, or with an edge to themselves."""
     comp = components(e)

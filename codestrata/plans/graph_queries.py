@@ -40,7 +40,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def graph_closure(spark: SparkSession, d: str) -> DataFrame:
     """How many nodes each node reaches, over the closure of the whole graph."""
-    return graph.closure(_e(spark, d)).groupBy("src").agg(F.count("*").alias("reached"))
+    return graph.reach_counts(written(_e(spark, d), "graph-edges"))
 
 
 def graph_callers(spark: SparkSession, d: str) -> DataFrame:

@@ -302,6 +302,38 @@ def test_graph(spark):
     assert graph.components(e.where("false")).count() == 0
 
 
+def test_reach_counts_equal_the_closure(spark):
+    import random
+
+    r = random.Random(5)
+    for n, m in ((40, 70), (300, 240), (60, 200)):
+        rows = sorted({(r.randrange(n), r.randrange(n)) for _ in range(m)} | {(n, n), (n + 1, n + 2), (n + 3, 0)} | {(a, a + 1) for a in range(n + 10, n + 40)})
+        e = spark.createDataFrame(rows, "src long, dst long")
+        want = {x.src: x.n for x in graph.closure(e).groupBy("src").agg(F.count("*").alias("n")).collect()}
+        # with one word of bits, with all bits and over the pairs of components
+        for args in ({"bits_bytes": 64}, {}, {"packed_edges": 0}):
+            assert {x.src: x.reached for x in graph.reach_counts(e, **args).collect()} == want
+    assert graph.reach_counts(e.where("false")).count() == 0
+    names = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    assert {x.src: x.reached for x in graph.reach_counts(names).collect()} == {"a": 3, "b": 3}
+
+
+def test_closure_counts_write_no_pairs(spark, tmp_path, monkeypatch):
+    # most nodes reach most nodes: their pairs were written, far more rows than there are edges
+    import random
+
+    from codestrata.plans import graph_queries
+
+    r, n, kept = random.Random(7), 60, []
+    spark.createDataFrame([(i, r.randrange(n), 50.0, 1) for i in range(n) for _ in range(3)], "l_suppkey long, l_partkey long, l_quantity double, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(n).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    want = {x.src: x.n for x in graph.closure(graph_queries._e(spark, str(tmp_path))).groupBy("src").agg(F.count("*").alias("n")).collect()}
+    cut = graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (out := cut(df), kept.append(out.count()))[0])
+    got = graph_queries.graph_closure(spark, str(tmp_path)).collect()
+    assert {x.src: x.reached for x in got} == want and sum(want.values()) > 2000 > 3 * n >= max(kept)
+
+
 SOURCE = '''import os
 from lib.util import helper as h, other
 
