@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions import paths, relevance, symbols
@@ -18,61 +21,102 @@ def pending_terms(pending: DataFrame) -> DataFrame:
     return pending.select(F.col("change_id").alias("query_id"), symbols.search_terms(F.col("new_code"), F.col("file_path")).alias("query"))
 
 
-def score_chunks(results: DataFrame, as_of: Column, root: Column, semantic: Column | None = None) -> DataFrame:
-    """Chunks of results (query_id, id, file_path, new_code, at, current) with their relevance; weak ones are dropped."""
-    # a row found by many queries is chunked once
-    parts = chunking.chunks(results.dropDuplicates(["id"]), "id", "file_path", "new_code")
-    info = results.select(F.concat_ws("|", "query_id", "id").alias("rid"), "query_id", "id", "file_path", "at", "current", (F.lit(None).cast("double") if semantic is None else semantic).alias("sem"))
-    s = info.join(parts, "id")
-    score = relevance.combine(relevance.recency(F.col("at"), as_of), relevance.proximity(F.col("file_path"), F.col("current")), F.coalesce("sem", F.lit(0.5)), relevance.project(F.col("file_path"), root))
-    return s.withColumn("score", F.round(score, 6)).where(F.col("score") >= relevance.LEAST)
+def score_hits(hits: DataFrame, as_of: Column, root: Column) -> DataFrame:
+    """Hits (query_id, id, file_path, at, current) with their relevance, which all chunks of a hit share; weak ones are dropped."""
+    score = relevance.combine(relevance.recency(F.col("at"), as_of), relevance.proximity(F.col("file_path"), F.col("current")), F.lit(0.5), relevance.project(F.col("file_path"), root))
+    return hits.withColumn("score", F.round(score, 6)).where(F.col("score") >= relevance.LEAST).select("query_id", "id", "score")
+
+
+def chunked(memory: DataFrame, scored: DataFrame) -> DataFrame:
+    """(query_id, id, score, file_path, chunk_no, code, kind, name): the chunks of the scored hits; a row found by many queries is chunked once."""
+    found = memory.join(scored.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    parts = chunking.chunks(found, "id", "file_path", "new_code").select("id", "chunk_no", "code", "kind", "name")
+    return scored.join(parts.join(memory.select("id", "file_path").dropDuplicates(["id"]), "id"), "id")
+
+
+_ENTRY = [("rank", pa.int32()), ("size", pa.int32()), ("score", pa.float64()), *[(x, pa.string()) for x in ("file_path", "code", "name", "kind")], ("files", pa.list_(pa.string()))]
+
+
+def _entries(rows: list[dict], threshold: float, shown: int) -> list[tuple]:
+    """The first ``shown`` entries of one query, whose chunks come by falling score and then by key."""
+    if len(rows) <= INDIVIDUAL:
+        groups = {i: [x] for i, x in enumerate(rows, 1)}
+    else:
+        grouper, groups = chunking.Grouper(threshold), {}
+        for x in rows:
+            groups.setdefault(grouper.add({"norm": x["norm"], "path": x["file_path"], "kind": x["kind"]}), []).append(x)
+    out = []
+    for n, xs in sorted(groups.items(), key=lambda g: (len(g[1]) >= GROUPED, -g[1][0]["score"], g[0]))[:shown]:
+        head = [x for x in xs if x["score"] == xs[0]["score"]][-1]
+        out.append((len(out) + 1, len(xs), head["score"], head["file_path"], head["code"], head["name"], head["kind"], list(dict.fromkeys(x["file_path"] for x in xs))))
+    return out
 
 
 def summarise(scored: DataFrame, threshold: float = 0.7, shown: int = SHOWN) -> DataFrame:
     """(query_id, rank, text, score, size): up to ``INDIVIDUAL`` chunks pass as they are; more are
-    grouped greedily, groups become one entry, single chunks come first."""
-    s = scored.withColumn("key", F.concat_ws("|", "rid", F.format_string("%05d", "chunk_no")))
-    count = s.groupBy("query_id").agg(F.count("*").alias("n_chunks"))
-    g = chunking.group_snippets(s, "query_id", "key", "file_path", "code", F.col("kind"), F.col("score"), threshold)
-    s = s.join(g, ["query_id", "key"]).join(count, "query_id")
-    few = F.col("n_chunks") <= INDIVIDUAL
-    s = s.withColumn("grp", F.when(few, F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key"))).otherwise(F.col("group_no"))).withColumn("size", F.when(few, 1).otherwise(F.col("size")))
-    head = F.max_by(F.struct("file_path", "code", "name", "kind"), F.struct("score", "key"))
-    e = s.groupBy("query_id", "grp", "size").agg(F.max("score").alias("score"), head.alias("h"), F.array_sort(F.collect_set(F.struct((-F.col("score")).alias("s"), "key", "file_path"))).alias("files"))
+    grouped greedily, groups become one entry, single chunks come first.
+
+    The chunks of a query meet in one task, in order; only the entries that are shown leave it."""
+    kind = scored.schema["query_id"].dataType.simpleString()
+    s = scored.repartition("query_id").withColumn("key", F.concat_ws("|", "query_id", "id", F.format_string("%05d", "chunk_no")))
+    s = s.sortWithinPartitions("query_id", F.desc("score"), "key")
+    s = s.select("query_id", "score", "file_path", "code", "name", "kind", F.coalesce(paths.normalise_shape(F.col("code")), F.lit("")).alias("norm"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, rows, out, schema = None, [], [], None
+        for b in batches:
+            schema = pa.schema([("query_id", b.schema.field("query_id").type), *_ENTRY])
+            for x in b.to_pylist():
+                if rows and x["query_id"] != current:
+                    out += [(current, *e) for e in _entries(rows, threshold, shown)]
+                    rows = []
+                current = x["query_id"]
+                rows.append(x)
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, e, strict=True)) for e in out], schema)
+                out = []
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (current, *e), strict=True)) for e in _entries(rows, threshold, shown)], schema)
+
+    e = s.mapInArrow(run, f"query_id {kind}, rank int, size int, score double, file_path string, code string, name string, kind string, files array<string>")
     # the first distinct short paths, the best scored first
-    e = e.withColumn("files", F.array_distinct(F.transform("files", lambda x: paths.short_path(x["file_path"]))))
-    single = chunking.render(F.col("h.file_path"), F.col("h.code"), F.col("score"), F.lit(None).cast("string"))
-    note = F.format_string("Pattern type: %s | Similar occurrences: %d | Example: %s", F.col("h.kind"), F.col("size"), F.col("h.name"))
-    text = F.when(F.col("size") < GROUPED, single).when(F.col("size") >= SUMMARY_FROM, F.concat(F.lit("### "), note, F.lit("\n"), F.array_join(F.slice("files", 1, 3), ", "))).otherwise(F.concat(single, F.lit("\n"), note))
-    w = Window.partitionBy("query_id").orderBy((F.col("size") >= GROUPED), F.desc("score"), "grp")
-    return e.select("query_id", F.row_number().over(w).alias("rank"), text.alias("text"), "score", "size").where(F.col("rank") <= shown)
+    files = F.array_distinct(F.transform("files", lambda x: paths.short_path(x)))
+    single = chunking.render(F.col("file_path"), F.col("code"), F.col("score"), F.lit(None).cast("string"))
+    note = F.format_string("Pattern type: %s | Similar occurrences: %d | Example: %s", F.col("kind"), F.col("size"), F.col("name"))
+    text = F.when(F.col("size") < GROUPED, single).when(F.col("size") >= SUMMARY_FROM, F.concat(F.lit("### "), note, F.lit("\n"), F.array_join(F.slice(files, 1, 3), ", "))).otherwise(F.concat(single, F.lit("\n"), note))
+    return e.select("query_id", "rank", text.alias("text"), "score", "size")
 
 
 def inject(entries: DataFrame, tier: str = "standard") -> DataFrame:
-    """(query_id, snippets, groups, tokens, text): entries in order while they fit, larger ones skipped."""
-    e = entries.withColumn("tokens", paths.estimate_tokens(F.col("text"), "summary"))
-    taken = budget.skip_fold(e, "query_id", ["rank"], F.col("tokens"), budget.TIERS[tier])
-    k = e.join(taken.select("query_id", F.col("n").alias("rank")), ["query_id", "rank"])
-    out = k.groupBy("query_id").agg(F.count_if(F.col("size") < GROUPED).alias("snippets"), F.count_if(F.col("size") >= GROUPED).alias("groups"), F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l"))
+    """(query_id, snippets, groups, tokens, text): entries in order while they fit, larger ones skipped; the few of a
+    query (:func:`summarise`) are one list."""
+    e = entries.withColumn("tokens", paths.estimate_tokens(F.col("text"), "summary").cast("int"))
+    lists = e.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "size", "tokens", "text"))).alias("l"))
+    start = F.struct(F.lit(budget.TIERS[tier]).alias("left"), F.expr("cast(array() as array<int>)").alias("taken"))
+    taken = F.aggregate("l", start, lambda acc, x: F.when(x["tokens"] <= acc["left"], F.struct((acc["left"] - x["tokens"]).alias("left"), F.concat(acc["taken"], F.array(x["rank"])).alias("taken"))).otherwise(acc))["taken"]
+    k = lists.withColumn("taken", taken).select("query_id", F.filter("l", lambda x: F.array_contains("taken", x["rank"])).alias("l")).where(F.size("l") > 0)
     text = F.array_join(F.transform("l", lambda x: x["text"]), "\n\n")
-    return out.select("query_id", "snippets", "groups", paths.estimate_tokens(text, "mixed").alias("tokens"), text.alias("text"))
+    n = lambda test: F.size(F.filter("l", test)).cast("bigint")
+    out = k.select("query_id", n(lambda x: x["size"] < GROUPED).alias("snippets"), n(lambda x: x["size"] >= GROUPED).alias("groups"), text.alias("text"))
+    return out.select("query_id", "snippets", "groups", paths.estimate_tokens(F.col("text"), "mixed").alias("tokens"), "text")
 
 
 def recall(memory: DataFrame, pending: DataFrame, as_of: Column, root: Column, fallback: bool = False) -> DataFrame:
     """The text to show before each pending edit; edits for which nothing is relevant have no row, or with
     ``fallback`` the previews of their first hits (no counts).
     ``memory`` has ``at_us``, the instant of each row."""
-    hits = search.batch_bm25(memory, pending_terms(pending), FETCH)
-    r = hits.join(memory.select("id", "file_path", "new_code", F.timestamp_micros("at_us").alias("at")), "id")
+    hits = search.many_bm25(memory, pending_terms(pending), FETCH)
+    r = hits.join(memory.select("id", "file_path", F.timestamp_micros("at_us").alias("at")), "id")
     r = r.join(pending.select(F.col("change_id").alias("query_id"), F.col("file_path").alias("current")), "query_id")
-    # searched, chunked and scored once: what follows reads them several times
+    # searched and scored once, without code: what follows reads them several times
     r = written(r, "recall-hits")
-    shown = inject(summarise(written(score_chunks(r, as_of, root), "recall-chunks")))
+    shown = inject(summarise(chunked(memory, score_hits(r, as_of, root))))
     if not fallback:
         return shown
     shown = written(shown, "recall-shown")
     none = F.lit(None).cast("bigint")
-    more = previews(r, shown).select("query_id", none.alias("snippets"), none.alias("groups"), paths.estimate_tokens(F.col("text"), "mixed").alias("tokens"), "text")
+    first = r.where(F.col("n") <= PREVIEWS).join(shown.select("query_id"), "query_id", "left_anti")
+    more = previews(first.join(memory.select("id", "new_code"), "id"), shown).select("query_id", none.alias("snippets"), none.alias("groups"), paths.estimate_tokens(F.col("text"), "mixed").alias("tokens"), "text")
     return shown.unionByName(more)
 
 

@@ -620,6 +620,31 @@ def test_projects_and_limits(spark):
     assert left.count() == 0 and n.first().cleared == 6
 
 
+def test_search_of_many_queries_equals_the_batch(spark):
+    import random
+
+    r, words = random.Random(3), [f"w{i}" for i in range(12)]
+    rows = [(f"{i:04d}", "p.py", " ".join(r.choices(words, k=r.randrange(7))), None) for i in range(300)] + [(f"t{i:03d}", "p.py", "w0 w1 rare", None) for i in range(40)]
+    m = spark.createDataFrame(r.sample(rows, len(rows)), "id string, file_path string, new_code string, context string").repartition(3)
+    q = [(i, " ".join(r.choices([*words, "absent", "rare"], k=r.randrange(1, 5)))) for i in range(30)] + [(90, "w1 W0"), (91, "w0 w1 w0"), (92, ""), (93, "absent"), (94, "py"), (95, "rare")]
+    q = spark.createDataFrame(q, "query_id long, query string")
+    want = sorted(map(tuple, search.batch_bm25(m, q, 10).select("query_id", "n", "id", "rank").collect()))
+    assert sum(x[0] == 90 for x in want) == 10
+    for args in ({}, {"shard_rows": 20, "block_queries": 7}):
+        assert sorted(map(tuple, search.many_bm25(m, q, 10, **args).select("query_id", "n", "id", "rank").collect())) == want
+    assert not search.many_bm25(m, q.where("false"), 10).collect() and not search.many_bm25(m.where("false"), q, 10).collect()
+
+
+def test_recall_writes_no_code(spark, monkeypatch):
+    # the code of a row went to disk once for every edit that finds it, and once more in chunks
+    columns = []
+    monkeypatch.setattr(recall, "written", lambda df, label, w=recall.written: columns.extend(df.columns) or w(df, label))
+    m = spark.createDataFrame([(str(i), "src/a.py", f"def load_thing(x):\n    return x + {i}\n", None, 0) for i in range(3)], "id string, file_path string, new_code string, context string, at_us long")
+    p = spark.createDataFrame([(i, "src/a.py", "def load_thing(y):\n    return y\n", "Edit") for i in range(4)], "change_id long, file_path string, new_code string, tool_type string")
+    got = recall.recall(m, p, F.lit("1970-01-02 00:00:00+00:00").cast("timestamp"), F.lit("src")).collect()
+    assert len(got) == 4 and columns and not {"new_code", "code"} & set(columns)
+
+
 def test_recall_falls_back_to_previews(spark):
     m = spark.createDataFrame([(str(i), f"far/away/x{i}.py", f"def load_thing(x):\n    return {'9' * 500}\n", None, 0) for i in range(5)], "id string, file_path string, new_code string, context string, at_us long")
     p = spark.createDataFrame([(1, "src/a.py", "def load_thing(y):\n    return y\n", "Edit")], "change_id long, file_path string, new_code string, tool_type string")
