@@ -173,6 +173,47 @@ class Grouper:
         return n + 1
 
 
+def groups_in_turn(rows: list[dict], threshold: float) -> Iterator[list[int]]:
+    """The groups of :class:`Grouper` one after the other, as places in ``rows``: each representative in turn takes all
+    later snippets like it. Who needs only the first groups stops there and the others are not compared."""
+    same: dict[tuple, list[int]] = {}
+    for i, x in enumerate(rows):
+        same.setdefault((x["norm"], x["path"], x["kind"]), []).append(i)
+    every = list(same.values())
+    each = [rows[at[0]] for at in every]
+    counts, size = letter_counts([x["norm"] for x in each]), np.array([len(x["norm"]) for x in each], np.int64)
+    low = threshold - 1e-9  # bounds are rounded otherwise than similarities
+    bits: dict[int, dict[str, int]] = {}
+    matchers: dict[int, SequenceMatcher] = {}
+    ends: dict[tuple[str, str], float] = {}
+    rest = np.arange(len(each))
+    while len(rest):
+        r, rest = int(rest[0]), rest[1:]
+        a, taken = each[r], []
+        both = size[rest] + size[r]
+        most = np.where(both == 0, 1.0, 2 * np.minimum(counts[rest], counts[r]).sum(1) / np.maximum(both, 1))
+        for k in np.flatnonzero(0.7 * most + 0.3 >= low).tolist():
+            i = int(rest[k])
+            b = each[i]
+            pair = (a["path"], b["path"])
+            if pair not in ends:
+                ends[pair] = path_similarity(*pair)
+            other = 0.2 * ends[pair] + 0.1 * (1.0 if a["kind"] == b["kind"] else 0.5)
+            if 0.7 * most[k] + other < low:
+                continue
+            if a["norm"] != b["norm"]:
+                if i not in bits:
+                    bits[i] = places(b["norm"])
+                if 0.7 * 2 * common_length(a["norm"], b["norm"], bits[i]) / both[k] + other < low:
+                    continue
+            if i not in matchers:
+                matchers[i] = SequenceMatcher(None, "", b["norm"])
+            if similarity(a, b, matchers[i]) >= threshold:
+                taken.append(k)
+        yield sorted(every[r] + [j for k in taken for j in every[rest[k]]])
+        rest = np.delete(rest, taken)
+
+
 def group_snippets(df: DataFrame, query: str, key: str, path: str, code: str, kind: Column, score: Column, threshold: float = 0.7) -> DataFrame:
     """(query, key, group_no, size): greedy groups of all snippets of each query by falling score.
 

@@ -39,16 +39,16 @@ _ENTRY = [("rank", pa.int32()), ("size", pa.int32()), ("score", pa.float64()), *
 
 def _entries(rows: list[dict], threshold: float, shown: int) -> list[tuple]:
     """The first ``shown`` entries of one query, whose chunks come by falling score and then by key."""
-    if len(rows) <= INDIVIDUAL:
-        groups = {i: [x] for i, x in enumerate(rows, 1)}
-    else:
-        grouper, groups = chunking.Grouper(threshold), {}
-        for x in rows:
-            groups.setdefault(grouper.add({"norm": x["norm"], "path": x["file_path"], "kind": x["kind"]}), []).append(x)
+    alone, many = [], []
+    for at in [[i] for i in range(len(rows))] if len(rows) <= INDIVIDUAL else chunking.groups_in_turn(rows, threshold):
+        (many if len(at) >= GROUPED else alone).append([rows[i] for i in at])
+        if len(alone) == shown:  # groups come by falling score and single chunks before others: these are shown
+            break
     out = []
-    for n, xs in sorted(groups.items(), key=lambda g: (len(g[1]) >= GROUPED, -g[1][0]["score"], g[0]))[:shown]:
+    for xs in (alone + many)[:shown]:
         head = [x for x in xs if x["score"] == xs[0]["score"]][-1]
-        out.append((len(out) + 1, len(xs), head["score"], head["file_path"], head["code"], head["name"], head["kind"], list(dict.fromkeys(x["file_path"] for x in xs))))
+        b, i = head["at"]
+        out.append((len(out) + 1, len(xs), head["score"], head["path"], b.column("code")[i].as_py(), b.column("name")[i].as_py(), head["kind"], list(dict.fromkeys(x["path"] for x in xs))))
     return out
 
 
@@ -66,12 +66,12 @@ def summarise(scored: DataFrame, threshold: float = 0.7, shown: int = SHOWN) ->
         current, rows, out, schema = None, [], [], None
         for b in batches:
             schema = pa.schema([("query_id", b.schema.field("query_id").type), *_ENTRY])
-            for x in b.to_pylist():
-                if rows and x["query_id"] != current:
+            for i, (query, *x) in enumerate(zip(*[b.column(c).to_pylist() for c in ("query_id", "score", "file_path", "kind", "norm")], strict=True)):
+                if rows and query != current:
                     out += [(current, *e) for e in _entries(rows, threshold, shown)]
                     rows = []
-                current = x["query_id"]
-                rows.append(x)
+                current = query
+                rows.append(dict(zip(("score", "path", "kind", "norm"), x, strict=True), at=(b, i)))
             if out:
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, e, strict=True)) for e in out], schema)
                 out = []

@@ -635,6 +635,18 @@ def test_search_of_many_queries_equals_the_batch(spark):
     assert not search.many_bm25(m, q.where("false"), 10).collect() and not search.many_bm25(m.where("false"), q, 10).collect()
 
 
+def test_groups_in_turn_are_the_greedy_groups():
+    import random
+
+    r = random.Random(11)
+    for _ in range(60):
+        rows = [{"norm": "".join(r.choices("ab (", k=r.choice((0, 4, 12, 30)))), "path": r.choice(("a/b.py", "b.py", "c/d.js")), "kind": r.choice("fg")} for _ in range(25)]
+        grouper, want = chunking.Grouper(0.7), {}
+        for i, x in enumerate(rows):
+            want.setdefault(grouper.add(x), []).append(i)
+        assert list(chunking.groups_in_turn(rows, 0.7)) == list(want.values())
+
+
 def test_recall_writes_no_code(spark, monkeypatch):
     # the code of a row went to disk once for every edit that finds it, and once more in chunks
     columns = []
